@@ -6,20 +6,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import neardup
+from lodestone.llm import langid, neardup, quality, sentencepiece_codec, tokenbin
+from lodestone.llm.common import new_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), sentencepiece_codec.read_model())
+
+
+def sentencepiece_library_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held against the library over the benchmark texts, whole."""
+    benchmark = _table(spark, sf_dir, "benchmark")
+    return sentencepiece_codec.library_check(benchmark, sentencepiece_codec.read_model(), id_col="item_id")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "tokens")
+    rows = tokenbin.write(_table(spark, sf_dir, "documents"), folder, sentencepiece_codec.read_model())
+    return tokenbin.read_back(rows, folder)
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_minhash_near_dedup": op5_minhash_near_dedup}
+    found = [op2_sentencepiece, op4_language_id, op5_minhash_near_dedup, op6_token_binary, op8_quality_classifier, sentencepiece_library_check]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"sentencepiece_library_check": "SELECT item_id AS doc_id, TRUE AS agrees FROM benchmark"}
