@@ -57,11 +57,12 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of each word, and how many words each row has."""
+def word_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash of each word, where it starts and ends, and how many words each row has."""
     rows = len(offsets) - 1
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(rows, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, np.zeros(rows, np.int64)
     folded = _FOLD[data]
     inside = folded != 0
     first = inside.copy()
@@ -77,7 +78,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     np.cumsum(folded * power[: len(data)], out=sums[1:])
     hashes = mix64((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * _GOLD)
     place = np.searchsorted(start, offsets)
-    return hashes, np.diff(place)
+    return hashes, start, end, np.diff(place)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    hashes, _, _, counts = word_table(data, offsets)
+    return hashes, counts
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import langid, neardup, quality, sentencepiece_codec, tokenbin
+from lodestone.llm import chat, disclosure, knn_join, langid, neardup, packing, quality, sentencepiece_codec, tiff, tokenbin
 from lodestone.llm.common import new_folder
 
 
@@ -14,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.sanitise(_table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), sentencepiece_codec.read_model())
 
@@ -24,6 +29,18 @@ def sentencepiece_library_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.library_check(benchmark, sentencepiece_codec.read_model(), id_col="item_id")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def packing_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the packing: every token of every document is in one bin, and no bin holds too much."""
+    rows = packing.pack(_table(spark, sf_dir, "documents"))
+    full = rows.groupBy("bin_id").agg(F.sum("length").alias("used")).agg(F.max(F.col("used") > packing.CAPACITY).alias("any_over"))
+    each = rows.groupBy("doc_id").agg(F.sum("length").alias("tokens"), F.count("*").alias("pieces"), F.max(F.col("start") + F.col("length")).alias("end"))
+    return each.crossJoin(F.broadcast(full))  # one row
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -39,15 +56,89 @@ def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read_back(rows, folder)
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations whose first turn has the page of its number as a document and later ones an image or a recording."""
+    turns = _table(spark, sf_dir, "conversations")
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.ceil(F.length("html") / 3000).cast("int").alias("sheets"))
+    joined = turns.join(pages, (turns["conv_id"] == pages["page_id"]) & (turns["turn"] == 0), "left")
+    size = (F.length("text") % 7 + 1) * 256
+    extra = F.when(F.col("url").isNotNull(), chat.other_part("document", F.col("url"), pages=F.col("sheets")))
+    extra = extra.when(F.col("turn") % 3 == 1, chat.other_part("image", F.concat(F.lit("image/"), "conv_id", F.lit("/"), "turn"), width=size, height=size))
+    extra = extra.when((F.col("turn") > 0) & (F.col("turn") % 3 == 0), chat.other_part("audio", F.concat(F.lit("audio/"), "conv_id", F.lit("/"), "turn"), seconds=F.length("text") / 15))
+    typed = joined.select("conv_id", "turn", "role", F.concat(chat.text_part(F.col("text")), F.coalesce(extra, F.array().cast(f"array<{chat.PART}>"))).alias("parts"))
+    return chat.format_chats(typed, sentencepiece_codec.read_model())
+
+
+def chat_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.transcript(_table(spark, sf_dir, "conversations"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_join.knn_join(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's source as the pixels of a TIFF, read again."""
+    read = tiff.read_pages(tiff.scans(_table(spark, sf_dir, "pages")))
+    return read.withColumn("md5", F.md5("pixels")).drop("pixels")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_sentencepiece, op4_language_id, op5_minhash_near_dedup, op6_token_binary, op8_quality_classifier, sentencepiece_library_check]
+    found = [op1_pii_disclosure, op2_sentencepiece, op3_best_fit_packing, op4_language_id, op5_minhash_near_dedup, op6_token_binary, op7_chat_formatting, op8_quality_classifier, op9_voronoi_knn, op10_tiff_pages, sentencepiece_library_check, packing_totals, chat_transcript, pipeline]
     return {f.__name__: f for f in found}
 
 
+_KNN = f"""
+WITH pairs AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS id, sqrt(list_reduce(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE)), lambda s, x: s + x)) AS distance
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place FROM pairs
+)
+SELECT query_id, id, place::INTEGER AS rank, distance FROM placed WHERE place <= {knn_join.K}
+"""
+
+_PIXELS = tiff.WIDE * tiff.TALL
+_TIFF = f"""
+WITH raw AS (SELECT page_id, hex(encode(html)) AS h FROM pages),
+sheets AS (
+  SELECT page_id, h, unnest(range(greatest(1, (length(h) + {2 * _PIXELS - 1}) // {2 * _PIXELS}))) AS k FROM raw
+)
+SELECT page_id AS image_id, k::INTEGER AS page, {tiff.WIDE} AS width, {tiff.TALL} AS height, 1 AS samples, 8 AS bits,
+  (['none', 'packbits', 'lzw', 'deflate', 'lzw', 'deflate'])[((page_id + k) % 6 + 1)::INTEGER] AS compression,
+  ([1, 1, 2, 2, 1, 1])[((page_id + k) % 6 + 1)::INTEGER] AS predictor,
+  {_PIXELS}::BIGINT AS n_bytes, NULL::VARCHAR AS error,
+  md5(unhex(rpad(substr(h, (1 + k * {2 * _PIXELS})::BIGINT, {2 * _PIXELS}), {2 * _PIXELS}, '0'))) AS md5
+FROM sheets
+"""
+
+_PACKING = f"""
+WITH sized AS (SELECT doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) + 1 AS tokens FROM documents)
+SELECT doc_id, tokens::BIGINT AS tokens, ((tokens + {packing.CAPACITY - 1}) // {packing.CAPACITY})::BIGINT AS pieces, tokens::BIGINT AS "end", FALSE AS any_over FROM sized
+"""
+
+_CHAT = """
+SELECT conv_id, string_agg('<|' || replace(role, '|', '') || '|>' || chr(10) || replace(text, '<|', '<' || chr(8203) || '|') || '<|end|>' || chr(10), '' ORDER BY turn, role) AS text, count(*)::INTEGER AS n_turns
+FROM conversations GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"sentencepiece_library_check": "SELECT item_id AS doc_id, TRUE AS agrees FROM benchmark"}
+    return {
+        "sentencepiece_library_check": "SELECT item_id AS doc_id, TRUE AS agrees FROM benchmark",
+        "op9_voronoi_knn": _KNN,
+        "op10_tiff_pages": _TIFF,
+        "packing_totals": _PACKING,
+        "chat_transcript": _CHAT,
+    }
