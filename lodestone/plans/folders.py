@@ -1,0 +1,24 @@
+"""Folders for what queries write."""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+_roots: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which all executors share; without it (local tests) below a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        app = spark.sparkContext.applicationId
+        if app not in _roots:
+            _roots[app] = tempfile.mkdtemp(prefix="lodestone-")
+            atexit.register(shutil.rmtree, _roots[app], ignore_errors=True)
+        root = _roots[app]
+    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
