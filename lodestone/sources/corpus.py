@@ -45,8 +45,10 @@ def markdown(metrics: DataFrame) -> str:
 def shorten(text, most: int = 140):
     """At most ``most`` bytes of UTF-8, a cut character left out, with dots behind what was cut."""
     raw = F.encode(text, "UTF-8")
-    cut = F.decode(F.substring(raw, 1, most), "UTF-8")
-    return F.when(F.octet_length(text) > most, F.concat(F.regexp_replace(cut, "�+$", ""), F.lit("..."))).otherwise(text)
+    # a text can be cut before a byte that doesn't continue a character; one has four bytes at most
+    ends = [F.substring(raw, 1, n) for n in range(most, max(0, most - 4), -1)]
+    whole = [F.when(F.is_valid_utf8(e.cast("string")), e.cast("string")) for e in ends]
+    return F.when(F.octet_length(text) > most, F.concat(F.coalesce(*whole, F.lit("")), F.lit("..."))).otherwise(text)
 
 
 def with_records(found: DataFrame, records: DataFrame, most: int = 140) -> DataFrame:
