@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that the vectorised kernels work on at once; bounds their memory, never what is processed.
 SLICE_BYTES = 4 << 20
 
+#: Bytes of an Arrow batch that is handed to Python.
+BATCH_BYTES = 4 << 20
+
 _roots: dict[str, str] = {}
 
 
@@ -30,6 +33,13 @@ def shared_root(spark: SparkSession) -> str:
     return _roots[app]
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Spark hand texts to Python in batches of ``BATCH_BYTES``, unless the session says otherwise; 10,000 long ones would fill a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") in ("67108864b", "64MB"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_root(spark)}/lodestone/{what}-{uuid.uuid4().hex}"
 

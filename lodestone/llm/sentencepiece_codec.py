@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import spans, text_parts
+from lodestone.llm.common import bounded_batches, spans, text_parts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -288,7 +288,7 @@ def _lists(ids: np.ndarray, offsets: np.ndarray, nulls: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=pa.array(nulls))
 
 
-def _pieces(column: pa.Array, most: int = 16 << 20) -> Iterator[pa.Array]:
+def _pieces(column: pa.Array, most: int = 1 << 20) -> Iterator[pa.Array]:
     """Runs of rows of ``most`` bytes, so that a batch of long texts is answered in several."""
     _, offsets = text_parts(column)
     for low, high in spans(offsets, most):
@@ -315,6 +315,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                     same &= np.array([back[x:y].tobytes() == data[u:v].tobytes() for x, y, u, v in zip(back_at, back_at[1:], at, at[1:])])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), _lists(ids, offsets, nulls), pa.array(np.diff(offsets), mask=nulls), pa.array(same, mask=nulls)], names=["doc_id", "ids", "n_tokens", "round_trip"])
 
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id bigint, ids array<int>, n_tokens bigint, round_trip boolean")
 

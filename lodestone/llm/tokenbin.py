@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import materialize, spans, text_parts
+from lodestone.llm.common import bounded_batches, materialize, spans, text_parts
 from lodestone.llm.sentencepiece_codec import codec
 
 
@@ -46,7 +46,7 @@ def write(docs: DataFrame, folder: str, model: bytes, id_col: str = "doc_id", te
         stream, at = None, 0
         for b in batches:
             _, offsets = text_parts(b.column(1))
-            for low, high in spans(offsets, 16 << 20):
+            for low, high in spans(offsets):
                 ids, ends = c.encode(b.column(1).slice(low, high - low))
                 out = np.full(len(ids) + high - low, c.end, kind)
                 out[np.arange(len(ids)) + np.repeat(np.arange(high - low), np.diff(ends))] = ids
@@ -60,6 +60,7 @@ def write(docs: DataFrame, folder: str, model: bytes, id_col: str = "doc_id", te
             stream.close()
 
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    bounded_batches(docs.sparkSession)
     rows = materialize(source.mapInArrow(run, "doc_id bigint, file string, first bigint, n_tokens bigint"), "token-index")
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     # one row a partition of the input, in the order of partitions
