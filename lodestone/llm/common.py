@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that the vectorised kernels work on at once; bounds their memory, never what is processed.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: Bytes of an Arrow batch that is handed to Python.
 BATCH_BYTES = 4 << 20

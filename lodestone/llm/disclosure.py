@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fresh, materialize, mix64, spans, text_parts
+from lodestone.llm.common import bounded_batches, fresh, materialize, mix64, spans, text_parts
 from lodestone.llm.neardup import word_table
 
 WINDOW = 10
@@ -172,6 +172,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def disclosures(docs: DataFrame, text_col: str = "text", window: int = WINDOW, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> tuple[DataFrame, DataFrame]:
     """(entity, term, hidden, removed) of terms that reveal an entity, ``hidden`` being the bits that stay; and (key, size, entity) of the texts that hold it."""
+    bounded_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
     keyed = docs.select(F.xxhash64(text).alias("key"), F.octet_length(text).alias("size"), text.alias("text")).where("text is not null")
     near = materialize(keyed.mapInArrow(_surroundings(window), "key bigint, size int, entity bigint, term bigint, around bigint"), "surroundings")

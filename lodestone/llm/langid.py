@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import fresh, spans, text_parts
+from lodestone.llm.common import bounded_batches, fresh, spans, text_parts
 
 SAMPLE = 12288
 SOURCES = 48
@@ -201,6 +201,7 @@ def _udf(samples: dict[str, bytes]):
 
 def _add(docs: DataFrame, samples: dict[str, bytes], name: str, text_col: str, lang_col: str | None, tolerance: float) -> DataFrame:
     """Add struct column ``name``: (lang, bits, accepted)."""
+    bounded_batches(docs.sparkSession)
     raw = fresh([*docs.columns, name], "language_raw")
     out = docs.withColumn(raw, _udf(samples)(docs[text_col]))
     ok = F.col(f"{raw}.lang").isNotNull()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import fresh, materialize, mix64, spans, text_parts
+from lodestone.llm.common import bounded_batches, fresh, materialize, mix64, spans, text_parts
 
 SHINGLE = 3
 BANDS = 40
@@ -305,6 +305,7 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, group_id, keep): ``group_id`` is the least id of the document's group, which is the one to keep."""
+    bounded_batches(docs.sparkSession)
     size = bands * rows
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     signed = materialize(source.mapInArrow(_sign(width, size), "id bigint, whole bigint, sig binary"), "signatures")
