@@ -60,8 +60,8 @@ def magnitude(v: Column | str) -> Column:
 def normalize(v: Column | str) -> Column:
     """Unit vector; a zero vector stays as it is."""
     v = _col(v)
-    total = sum_of_squares(v)
-    return F.when(v.isNotNull(), bound(F.when(total > 0, (1 / F.sqrt(total)).cast("float")).otherwise(F.lit(1.0).cast("float")), lambda s: F.transform(v, lambda x: x.cast("float") * s)))
+    factor = bound(sum_of_squares(v), lambda total: F.when(total > 0, (1 / F.sqrt(total)).cast("float")).otherwise(F.lit(1.0).cast("float")))
+    return F.when(v.isNotNull(), bound(factor, lambda s: F.transform(v, lambda x: x.cast("float") * s)))
 
 
 def truncate(v: Column | str, dim: int, renormalize: bool = True) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import vector as V
 from lodestone.operators import index as I
+from lodestone.operators.shared import materialize
 
 
 def sample(df: DataFrame, n: int, seed: int = 42, id_col: str = "id") -> DataFrame:
@@ -34,7 +35,7 @@ def sweep(vectors: DataFrame, dims: list[int], modes: list[str], k: int = 10, ba
     """(dim, mode, bytes, recall): mean recall@k of each prefix and quantisation against whole vectors in fp32, a query itself apart."""
     asked = vectors if queries is None else queries
     whole = I.build(vectors, "fp32", base_dim)
-    truth = I.search(whole, asked, k, exclude_self=True)
+    truth = materialize(I.search(whole, asked, k, exclude_self=True), "truth")  # held against by every configuration
     rows = []
     for dim in dims:
         cut = vectors.select("id", V.truncate("vec", dim).alias("vec"))

@@ -43,7 +43,7 @@ class Options:
 
     def __post_init__(self) -> None:
         if self.metric not in ("cosine", "euclidean"):
-            raise I.IndexError_(f"unknown metric {self.metric!r}")
+            raise I.VectorError(f"unknown metric {self.metric!r}")
         if self.trees < 1:
             object.__setattr__(self, "trees", 1)
         if self.leaf < 1:
@@ -284,12 +284,12 @@ def _over_shards(queries: DataFrame, folder: str, answer, out: str, names: list[
 def search(queries: DataFrame, folder: str, k: int = 10, search_k: int | None = None, exclude_self: bool = False, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
     """(query_id, id, distance, rank); ``search_k`` leaves of each shard, ``trees * k`` unless given."""
     if k < 1:
-        raise I.IndexError_("k must be positive")
+        raise I.VectorError("k must be positive")
     dim = json.loads(_read(folder, "forest.json"))["dim"]
     rows = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec"))
     wrong = rows.where(F.col("vec").isNull() | (F.size("vec") != dim)).first()
     if wrong:
-        raise I.IndexError_(f"query {wrong['id']} isn't of dimension {dim}")
+        raise I.VectorError(f"query {wrong['id']} isn't of dimension {dim}")
 
     def answer(forest: Forest, ids: np.ndarray, q: np.ndarray) -> list[pa.Array]:
         found = [search_local(forest, v, k, search_k, int(i) if exclude_self else None) for i, v in zip(ids, q)]

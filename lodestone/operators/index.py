@@ -19,13 +19,14 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import vector as V
 from lodestone.operators.blocks import Top, best_pairs, pack, unpack
+from lodestone.operators.shared import materialize, small
 
 QUERY_ROWS = 1024
 CORPUS_ROWS = 8192
 _KINDS = {"fp32": "float32", "int8": "int8", "int16": "int16"}
 
 
-class IndexError_(ValueError):
+class VectorError(ValueError):
     """Vectors or arguments that an index can't be built from or searched with."""
 
 
@@ -83,14 +84,14 @@ def check(vectors: DataFrame, dim: int | None = None) -> int:
         F.max(F.size("vec")).alias("most"),
     ).first()
     if not sizes["n"]:
-        raise IndexError_("there are no vectors")
+        raise VectorError("there are no vectors")
     if sizes["nulls"]:
-        raise IndexError_(f"{sizes['nulls']} rows have a null id, vector or component")
+        raise VectorError(f"{sizes['nulls']} rows have a null id, vector or component")
     if sizes["least"] != sizes["most"] or dim and sizes["most"] != dim:
-        raise IndexError_(f"dimensions from {sizes['least']} to {sizes['most']}, expected {dim or 'one'}")
+        raise VectorError(f"dimensions from {sizes['least']} to {sizes['most']}, expected {dim or 'one'}")
     twice = vectors.groupBy("id").count().where("count > 1").first()
     if twice:
-        raise IndexError_(f"id {twice['id']} occurs {twice['count']} times")
+        raise VectorError(f"id {twice['id']} occurs {twice['count']} times")
     return sizes["most"]
 
 
@@ -101,18 +102,18 @@ def build(vectors: DataFrame, mode: str = "int8", dim: int | None = None, id_col
     if validate:
         dim = check(rows, dim)
     if dim is None:
-        raise IndexError_("dim is needed for vectors that aren't checked")
+        raise VectorError("dim is needed for vectors that aren't checked")
     return Index(rows.select("id", V.quantize(V.normalize("vec"), mode).alias("codes")), dim, mode)
 
 
 def _queries(index: Index, queries: DataFrame, id_col: str, vec_col: str, normalized: bool, k: int, check_dim: bool) -> DataFrame:
     if k < 1:
-        raise IndexError_("k must be positive")
+        raise VectorError("k must be positive")
     rows = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
     if check_dim:
         wrong = rows.where(F.col("vec").isNull() | (F.size("vec") != index.dim)).first()
         if wrong:
-            raise IndexError_(f"query {wrong['id']} isn't of dimension {index.dim}")
+            raise VectorError(f"query {wrong['id']} isn't of dimension {index.dim}")
     return rows if normalized else rows.select("id", V.normalize("vec").alias("vec"))
 
 
@@ -136,10 +137,14 @@ def solve(queries: DataFrame, corpus: DataFrame, k: int, metric: str, kind: str,
     """(query_id, id, score): the best ``k`` of each task, which hold the best of all.
 
     Blocks of queries are paired with blocks of the corpus, by broadcast where Spark finds a side small and as a
-    cartesian product otherwise; a task keeps the best of a query over all of its blocks.
+    cartesian product otherwise; a task keeps the best of a query over all of its blocks. A cartesian product reads
+    each side many times, so both are then packed once and written.
     """
+    once = not small(queries) and not small(corpus)
     left = pack(queries, QUERY_ROWS, "float32").select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
     right = pack(corpus, CORPUS_ROWS, kind).select("ids", "matrix")
+    if once:
+        left, right = materialize(left, "query-blocks"), materialize(right, "corpus-blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tops: dict[str, tuple[Top, np.ndarray]] = {}

@@ -15,7 +15,7 @@ from lodestone.operators import evaluate as E
 from lodestone.operators import forest as T
 from lodestone.operators import index as I
 from lodestone.operators.tokenizer import mark_spaces_column
-from lodestone.plans.folders import shared_folder
+from lodestone.operators.shared import shared_folder
 
 K = 10
 SWEEP_DIMS = [64, 32, 16, 8]

@@ -83,13 +83,13 @@ def test_file_round_trip(points):
 
 def test_options_and_errors(spark, tmp_path):
     assert (T.Options(trees=0).trees, T.Options(leaf=-1).leaf) == (1, 32)
-    with pytest.raises(I.IndexError_):
+    with pytest.raises(I.VectorError):
         T.Options("dot")
     rows = frame(spark, np.eye(3))
     T.build(rows, str(tmp_path))
-    with pytest.raises(I.IndexError_):
+    with pytest.raises(I.VectorError):
         T.search(rows, str(tmp_path), 0)
-    with pytest.raises(I.IndexError_):
+    with pytest.raises(I.VectorError):
         T.search(frame(spark, [[1.0]]), str(tmp_path), 1)
-    with pytest.raises(I.IndexError_):
+    with pytest.raises(I.VectorError):
         T.build(frame(spark, np.eye(2), [1, 1]), str(tmp_path))

@@ -85,14 +85,14 @@ def test_euclidean(spark, gauss):
 def test_errors(spark):
     good = frame(spark, np.eye(3))
     for bad in (frame(spark, np.eye(3), [1, 1, 2]), spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id int, vec array<float>"), spark.createDataFrame([(1, None)], "id int, vec array<float>"), good.limit(0)):
-        with pytest.raises(I.IndexError_):
+        with pytest.raises(I.VectorError):
             I.build(bad)
-    with pytest.raises(I.IndexError_):
+    with pytest.raises(I.VectorError):
         I.build(good, dim=4)
     built = I.build(good)
-    with pytest.raises(I.IndexError_):
+    with pytest.raises(I.VectorError):
         I.search(built, good, 0)
-    with pytest.raises(I.IndexError_):
+    with pytest.raises(I.VectorError):
         I.search(built, frame(spark, [[1.0, 0.0]]), 1)
     with pytest.raises(ValueError):
         I.build(good, "int4")
