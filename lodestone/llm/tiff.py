@@ -307,33 +307,37 @@ def pack_bits(raw: bytes) -> bytes:
 
 def pack_lzw(raw: bytes) -> bytes:
     """LZW of ``raw`` with the high bit first."""
-    codes, widths = [256], [9]
-    table = {bytes([i]): i for i in range(256)}
-    size, width, now = 258, 9, b""
-    for k in range(len(raw)):
-        longer = now + raw[k : k + 1]
-        if longer in table:
-            now = longer
+    codes: list[int] = []
+    put, runs = codes.append, []  # runs: how many codes until each clear
+    table: dict[int, int] = {}  # (code of what came before, byte) to code
+    known = table.get
+    size, now = 258, -1
+    for byte in raw:
+        if now < 0:
+            now = byte
             continue
-        codes.append(table[now])
-        widths.append(width)
-        table[longer] = size
+        key = now << 8 | byte
+        code = known(key)
+        if code is not None:
+            now = code
+            continue
+        put(now)
+        table[key] = size
         size += 1
-        now = raw[k : k + 1]
+        now = byte
         if size == 4094:
-            codes.append(256)
-            widths.append(12)
-            table, size, width = {bytes([i]): i for i in range(256)}, 258, 9
-        elif size + 1 > (1 << width):
-            width += 1
-    if now:
-        codes.append(table[now])
-        widths.append(width)
-        if size + 2 > (1 << width) and width < 12:
-            width += 1
-    codes.append(257)
-    widths.append(width)
-    n, w = np.array(codes), np.array(widths)
+            put(256)
+            runs.append(len(codes))
+            table.clear()
+            size = 258
+    if now >= 0:
+        put(now)
+    put(257)
+    runs.append(len(codes))
+    # a reader's table has 258 entries at the first code after a clear and at the second, then one more at each
+    place = np.arange(len(codes)) - np.repeat([0, *runs[:-1]], np.diff([0, *runs]))
+    widths = 9 + np.searchsorted([511, 1023, 2047], 258 + np.maximum(place - 1, 0), side="right")
+    n, w = np.array([256, *codes]), np.array([9, *widths])
     bits = ((n[:, None] >> (w[:, None] - 1 - np.arange(12))) & 1).astype(np.uint8)
     return np.packbits(bits[np.arange(12) < w[:, None]]).tobytes()
 
