@@ -218,13 +218,14 @@ def knn_join(queries: DataFrame, data: DataFrame | None = None, k: int = K, id_c
         for i in cells:
             for j, x in least.get(i, {}).items():
                 wanted[j] = min(wanted.get(j, float("inf")), x)
-        needed += [(j, g, x) for g in range(next_group, next_group + parts) for j, x in wanted.items()]
+        needed += [(j, next_group, parts, x) for j, x in wanted.items()]
         next_group += parts
-    # rows of cells, at most PIVOTS and PIVOTS times groups; Spark broadcasts them only if they are small
+    # at most PIVOTS rows, and their square, whatever the tables' size; Spark broadcasts them only if they are small
     homes = spark.createDataFrame(to_group, "cell int, base int, parts int")
-    pairs = spark.createDataFrame(needed, "cell int, grp int, least double")
+    pairs = spark.createDataFrame(needed, "cell int, base int, parts int, least double")
     own = assigned.join(homes, "cell").select((F.col("base") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("grp"), F.lit(0).alias("kind"), "id", "vec", F.lit(0.0).alias("far"))
-    sent = against.join(pairs, "cell").where("far >= least").select("grp", F.lit(1).alias("kind"), "id", "vec", "far")
+    to = F.explode(F.sequence("base", F.col("base") + F.col("parts") - 1)).alias("grp")
+    sent = against.join(pairs, "cell").where("far >= least").select(to, F.lit(1).alias("kind"), "id", "vec", "far")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     both = own.union(sent).repartition(max(1, min(next_group, 64 * parts)), "grp").sortWithinPartitions("grp", "kind")
     return both.select("grp", "kind", "id", "vec").mapInArrow(_solve(k), out)

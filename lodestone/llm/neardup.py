@@ -1,7 +1,7 @@
 """Near-duplicate groups by SuperMinHash signatures, banding, verification and union-find.
 
 A document's set is its runs of ``SHINGLE`` words (a shorter document has one run of all its words).
-Words are maximal runs of ASCII letters and digits and of non-ASCII bytes, ASCII letters in lower case.
+Words are maximal runs of ASCII letters and digits and of non-ASCII bytes, ASCII and Latin-1 letters in lower case.
 Each element permutes the signature's positions; position ``p`` takes the least ``rank + fraction`` over all
 elements, where ``rank`` is the place of ``p`` in an element's permutation. Ranks are worked off one after the
 other for all elements at once, and a document drops out as soon as all its positions are taken: a position
@@ -64,6 +64,8 @@ def word_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, np.zeros(rows, np.int64)
     folded = _FOLD[data]
+    capital = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[:-1] == 0xC3) & (data[1:] != 0x97)) + 1
+    folded[capital] += np.uint64(0x20)
     inside = folded != 0
     first = inside.copy()
     first[1:] &= ~inside[:-1]

@@ -27,7 +27,7 @@ def jaccard(a, b):
 
 
 def test_word_hashes_tell_words_apart():
-    texts = pa.array(["The cat's café", "the CAT S café", "", None, "x" * 9, "a-b"], pa.large_string())
+    texts = pa.array(["The cat's café", "the CAT S CAFÉ", "", None, "x" * 9, "a-b"], pa.large_string())
     data, offsets = N.text_parts(texts)
     h, counts = N.word_hashes(data, offsets)
     assert counts.tolist() == [4, 4, 0, 0, 1, 2]
