@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import vector as V
 from lodestone.operators import index as I
-from lodestone.operators.shared import materialize
+from lodestone.operators.blocks import pack, unpack
+from lodestone.operators.shared import materialize, small
 
 
 def sample(df: DataFrame, n: int, seed: int = 42, id_col: str = "id") -> DataFrame:
@@ -52,13 +56,46 @@ def index_size(count: int, dim: int, mode: str) -> int:
     return 20 + 4 * count + count * dim * (V.bits(mode) // 8)
 
 
-def pairwise(vectors: DataFrame) -> DataFrame:
-    """(a, b, similarity) of all pairs of rows with ``a < b``."""
-    left = vectors.select(F.col("id").alias("a"), F.col("vec").alias("va"))
-    right = vectors.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
-    return left.join(right, F.col("a") < F.col("b")).select("a", "b", V.cosine("va", "vb").alias("similarity"))
-
-
-def most_similar(pairs: DataFrame) -> DataFrame:
-    """The pair with the largest similarity, the first by ids of equals."""
-    return pairs.where(~F.isnan("similarity")).orderBy(F.desc("similarity"), "a", "b").limit(1)
+def pairwise(vectors: DataFrame, best: int | None = None) -> DataFrame:
+    """(a, b, similarity) of all pairs of rows with ``a < b``; rows without a vector are left out.
+
+    Blocks are paired and their cosines summed component by component. With ``best``, each task gives no more than the
+    ``best`` most similar pairs, which hold those of all; NaN of zero vectors is none of them.
+    """
+    rows = vectors.where(F.col("vec").isNotNull())
+    blocks = pack(rows, 1024, "float32").select("ids", "matrix")
+    if not small(rows):
+        blocks = materialize(blocks, "pair-blocks")  # read many times
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
+        for batch in batches:
+            for cells in zip(*(batch.column(i) for i in range(4))):
+                (own, m), (theirs, o) = (unpack(i.as_py(), v.as_py(), "float32") for i, v in (cells[:2], cells[2:]))
+                m, o = m.astype(np.float64), o.astype(np.float64)
+                m_size, o_size = (np.sqrt(np.add.accumulate(x * x, axis=1)[:, -1]) for x in (m, o))
+                for low in range(0, len(own), 32):
+                    r, c = np.nonzero(own[low : low + 32, None] < theirs[None, :])
+                    if not len(r):
+                        continue
+                    r += low
+                    size = m_size[r] * o_size[c]
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        cosine = np.where(size == 0, np.nan, np.add.accumulate(m[r] * o[c], axis=1)[:, -1] / size)
+                    found = (own[r], theirs[c], cosine)
+                    if best is None:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "similarity"])
+                        continue
+                    a, b, value = (np.concatenate([x, y[~np.isnan(cosine)]]) for x, y in zip(kept, found))
+                    order = np.lexsort((b, a, -value))[:best]
+                    kept = (a[order], b[order], value[order])
+        if best is not None and len(kept[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept], names=["a", "b", "similarity"])
+
+    pairs = blocks.toDF("a_ids", "a_matrix").crossJoin(blocks.toDF("b_ids", "b_matrix"))
+    return pairs.mapInArrow(run, "a bigint, b bigint, similarity double")
+
+
+def most_similar(vectors: DataFrame, n: int = 1) -> DataFrame:
+    """The ``n`` pairs of rows with the largest similarity, the first by ids of equals."""
+    return pairwise(vectors, n).orderBy(F.desc("similarity"), "a", "b").limit(n)

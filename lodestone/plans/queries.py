@@ -123,7 +123,7 @@ def recall_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairwise_most_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.most_similar(E.pairwise(vectors(spark, sf_dir)))
+    return E.most_similar(vectors(spark, sf_dir))
 
 
 def similarity_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,8 +141,7 @@ def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topk_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred most similar pairs (a report, so the limit is the feature)."""
-    pairs = E.pairwise(vectors(spark, sf_dir))
-    return pairs.orderBy(F.desc("similarity"), "a", "b").limit(100)
+    return E.most_similar(vectors(spark, sf_dir), 100)
 
 
 def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

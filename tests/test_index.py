@@ -153,9 +153,11 @@ def test_sweep(spark, gauss):
 
 def test_most_similar(spark):
     rows = frame(spark, [[1, 0], [0, 1], [1, 0.1], [0, 0]])
-    best = E.most_similar(E.pairwise(rows)).first()
+    best = E.most_similar(rows).first()
     assert (best.a, best.b) == (0, 2)
-    assert E.pairwise(rows).count() == 6 and V.bits("q8") == 8
+    pairs = {(r.a, r.b): r.similarity for r in E.pairwise(rows).collect()}
+    assert len(pairs) == 6 and np.isnan(pairs[0, 3]) and pairs[0, 1] == 0
+    assert V.bits("q8") == 8
 
 
 def test_sample_follows_the_seed(spark, gauss):
