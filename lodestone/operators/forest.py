@@ -8,6 +8,11 @@ textbook forest: each tree splits a node by the plane halfway between two of its
 
 Where a search collects fewer than ``k`` candidates of a shard, the shard is searched whole. With ``search_k`` of at
 least all leaves, results are exact. Distances rise; equal ones are ordered by id.
+
+A fixed ``search_k`` finds less the larger the shards are. With ``recall`` the leaves of each shard follow from
+measuring: a sample of the queries is held against the exact answers, and the least number of leaves is taken at
+which the recall, less twice its standard error, is that asked for. Where so many leaves would hold more items than
+the shard has, the shard is searched whole, which is exact.
 """
 
 from __future__ import annotations
@@ -29,6 +34,9 @@ from lodestone.operators import index as I
 from lodestone.operators.blocks import matrix, pack, unpack
 
 SHARD_BYTES = 64 << 20
+#: Queries that ``recall`` is measured with, and bytes of a block of products in a search of whole shards.
+MEASURED = 96
+PRODUCT_BYTES = 8 << 20
 _STRIDE = 7919
 
 
@@ -126,7 +134,13 @@ def build_local(ids: np.ndarray, vectors: np.ndarray, options: Options) -> Fores
 
 
 def candidates(forest: Forest, query: np.ndarray, search_k: int) -> np.ndarray:
-    """Positions in the first ``search_k`` leaves, all trees in one queue by the distance to the last plane crossed."""
+    """Positions in the first ``search_k`` leaves."""
+    found = visit(forest, query, search_k)
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
+
+
+def visit(forest: Forest, query: np.ndarray, search_k: int) -> list[np.ndarray]:
+    """Items of the first ``search_k`` leaves in order, all trees in one queue by the distance to the last plane crossed."""
     queue: list[tuple[float, int, int, int]] = [(0.0, t, t, 0) for t in range(len(forest.trees))]
     heapq.heapify(queue)
     order, visited, found = len(queue), 0, []
@@ -142,7 +156,7 @@ def candidates(forest: Forest, query: np.ndarray, search_k: int) -> np.ndarray:
         heapq.heappush(queue, (abs(margin), order, t, near))
         heapq.heappush(queue, (abs(margin) + 1e-6, order + 1, t, far))
         order += 2
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
+    return found
 
 
 def distances(metric: str, query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -169,6 +183,57 @@ def search_local(forest: Forest, query: np.ndarray, k: int, search_k: int | None
     return ids[order], away[order]
 
 
+def search_whole(forest: Forest, queries: np.ndarray, k: int, exclude: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids and distances of the ``k`` nearest of all vectors, for every query: products in single precision sift, with a margin for their error."""
+    metric, own = forest.options.metric, forest.vectors
+    q = _unit(queries) if metric == "cosine" else queries.astype(np.float32)
+    want = min(k + (exclude is not None), len(own))
+    norms = np.sqrt(np.einsum("ij,ij->i", own, own, dtype=np.float64))
+    most, error = norms.max(initial=0), 4 * (own.shape[1] + 4) * float(np.finfo(np.float32).eps)
+    out = []
+    step = max(1, PRODUCT_BYTES // (4 * max(1, len(own))))
+    for low in range(0, len(q), step):
+        part = q[low : low + step]
+        near = part @ own.T
+        if metric == "euclidean":  # half of the squared distance less that of the query, turned
+            near -= (norms**2 / 2).astype(np.float32)
+        length = np.sqrt((part.astype(np.float64) ** 2).sum(axis=1))
+        for i, row in enumerate(near):
+            least = float(np.partition(row, len(row) - want)[len(row) - want])
+            if metric == "cosine":
+                least = min(least, 1.0)  # as distances are clipped
+            margin = error * most * (float(length[i]) + (most if metric == "euclidean" else 0.0))
+            at = np.flatnonzero(~(row < least - margin))
+            ids, away = forest.ids[at], distances(metric, part[i], own[at])
+            if exclude is not None:
+                ids, away = ids[ids != exclude[low + i]], away[ids != exclude[low + i]]
+            order = np.lexsort((ids, away))[:k]
+            out.append((ids[order], away[order]))
+    return out
+
+
+def leaves_for(forest: Forest, queries: np.ndarray, k: int, recall: float, exclude: np.ndarray | None = None) -> int:
+    """Least number of leaves at which ``queries`` find ``recall`` of their ``k`` nearest, less twice its standard error; 0: search the shard whole."""
+    most = len(forest.ids) // forest.options.leaf
+    truth = search_whole(forest, queries, k, exclude)
+    if not most or not len(queries) or not all(len(ids) for ids, _ in truth):
+        return 0
+    place = np.argsort(forest.ids, kind="stable")
+    hits = np.zeros((len(queries), most + 1))
+    asked = _unit(queries) if forest.options.metric == "cosine" else queries
+    for n, (q, (ids, _)) in enumerate(zip(asked, truth)):
+        near = np.zeros(len(forest.ids), bool)
+        near[place[np.searchsorted(forest.ids, ids, sorter=place)]] = True
+        for leaf, items in enumerate(visit(forest, q, most)):
+            new = items[near[items]]
+            near[new] = False
+            hits[n, leaf + 1] = len(new) / len(ids)
+    got = np.cumsum(hits, axis=1)
+    sure = got.mean(axis=0) - 2 * got.std(axis=0) / np.sqrt(len(got))
+    enough = np.flatnonzero(sure >= recall)
+    return int(enough[0]) if len(enough) else 0
+
+
 def _place(folder: str) -> tuple[pafs.FileSystem, str]:
     if "://" in folder or folder.startswith("file:"):
         return pafs.FileSystem.from_uri(folder)
@@ -266,7 +331,7 @@ def nodes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _over_shards(queries: DataFrame, folder: str, answer, out: str, names: list[str]) -> DataFrame:
-    """``answer(forest, ids, vectors)`` for every block of queries and every shard."""
+    """``answer(forest, ids, vectors, file)`` for every block of queries and every shard."""
     blocks = pack(queries.select(F.col("id"), F.col("vec").cast("array<float>").alias("vec")), 256, "float32").select("ids", "matrix")
     shards = load(queries.sparkSession, folder).select("shard", "file")
     parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -275,24 +340,48 @@ def _over_shards(queries: DataFrame, folder: str, answer, out: str, names: list[
         for b in batches:
             for file, ids, raw in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 own, q = unpack(ids.as_py(), raw.as_py(), "float32")
-                yield pa.RecordBatch.from_arrays(answer(open_shard(folder, file), own, q), names=names)
+                yield pa.RecordBatch.from_arrays(answer(open_shard(folder, file), own, q, file), names=names)
 
     pairs = blocks.crossJoin(F.broadcast(shards))  # a row a shard: names alone
     return pairs.select("file", "ids", "matrix").repartition(parts).sortWithinPartitions("file").mapInArrow(run, out)
 
 
-def search(queries: DataFrame, folder: str, k: int = 10, search_k: int | None = None, exclude_self: bool = False, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
-    """(query_id, id, distance, rank); ``search_k`` leaves of each shard, ``trees * k`` unless given."""
+def measured_leaves(queries: DataFrame, folder: str, k: int, recall: float, exclude_self: bool) -> dict[str, int]:
+    """Leaves of each shard's file that ``recall`` needs (``leaves_for``), by ``MEASURED`` of the queries."""
+    sample = queries.orderBy(F.xxhash64("id"), "id").limit(MEASURED).collect()  # bounded
+    if not sample:
+        return {}
+    ids = np.array([r.id if r.id is not None else 0 for r in sample], np.int64)
+    q = np.array([r.vec for r in sample], np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            files = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([leaves_for(open_shard(folder, f), q, k, recall, ids if exclude_self else None) for f in files], pa.int32())], names=["file", "need"])
+
+    shards = load(queries.sparkSession, folder)
+    parts = max(1, shards.count())
+    return {r.file: r.need for r in shards.select("file").repartition(parts).mapInArrow(run, "file string, need int").collect()}  # a row a shard
+
+
+def search(queries: DataFrame, folder: str, k: int = 10, search_k: int | None = None, exclude_self: bool = False, id_col: str = "id", vec_col: str = "vec", recall: float | None = None) -> DataFrame:
+    """(query_id, id, distance, rank); ``search_k`` leaves of each shard, ``trees * k`` unless given, or as many as ``recall`` needs."""
     if k < 1:
         raise I.VectorError("k must be positive")
+    if recall is not None and (search_k is not None or not 0 < recall <= 1):
+        raise I.VectorError("recall must be in (0, 1] and takes the place of search_k")
     dim = json.loads(_read(folder, "forest.json"))["dim"]
     rows = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec"))
     wrong = rows.where(F.col("vec").isNull() | (F.size("vec") != dim)).first()
     if wrong:
         raise I.VectorError(f"query {wrong['id']} isn't of dimension {dim}")
+    need = measured_leaves(rows, folder, k, recall, exclude_self) if recall is not None else {}
 
-    def answer(forest: Forest, ids: np.ndarray, q: np.ndarray) -> list[pa.Array]:
-        found = [search_local(forest, v, k, search_k, int(i) if exclude_self else None) for i, v in zip(ids, q)]
+    def answer(forest: Forest, ids: np.ndarray, q: np.ndarray, file: str) -> list[pa.Array]:
+        if recall is not None and not need.get(file):
+            found = search_whole(forest, q, k, ids if exclude_self else None)
+        else:
+            found = [search_local(forest, v, k, need.get(file, search_k), int(i) if exclude_self else None) for i, v in zip(ids, q)]
         return [pa.array(np.repeat(ids, [len(a) for a, _ in found])), pa.array(np.concatenate([a for a, _ in found])), pa.array(np.concatenate([d for _, d in found]))]
 
     scored = _over_shards(rows, folder, answer, "query_id bigint, id bigint, distance double", ["query_id", "id", "distance"])
@@ -303,7 +392,7 @@ def search(queries: DataFrame, folder: str, k: int = 10, search_k: int | None =
 def candidate_sets(queries: DataFrame, folder: str, search_k: int) -> DataFrame:
     """(query_id, id) of every candidate, without measuring."""
 
-    def answer(forest: Forest, ids: np.ndarray, q: np.ndarray) -> list[pa.Array]:
+    def answer(forest: Forest, ids: np.ndarray, q: np.ndarray, file: str) -> list[pa.Array]:
         found = [forest.ids[candidates(forest, _unit(v) if forest.options.metric == "cosine" else v, search_k)] for v in q]
         return [pa.array(np.repeat(ids, [len(a) for a in found])), pa.array(np.concatenate(found).astype(np.int64))]
 

@@ -93,3 +93,35 @@ def test_options_and_errors(spark, tmp_path):
         T.search(frame(spark, [[1.0]]), str(tmp_path), 1)
     with pytest.raises(I.VectorError):
         T.build(frame(spark, np.eye(2), [1, 1]), str(tmp_path))
+
+
+@pytest.mark.parametrize("spread", [1.0, 0.05])
+def test_recall_holds_on_tens_of_thousands(spark, tmp_path, spread):
+    """64 components without clusters (a fixed number of leaves finds a fifth) and in 200 tight clusters."""
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((20_000, 64)) * spread
+    if spread < 1:
+        v += rng.standard_normal((200, 64))[rng.integers(200, size=len(v))]
+    v = v.astype(np.float32)
+    rows = frame(spark, v)
+    T.build(rows, str(tmp_path), shard_bytes=-(-v.nbytes // 2))
+    asked = rows.where("id < 100")
+    found = {}
+    for r in T.search(asked, str(tmp_path), 10, exclude_self=True, recall=0.9).collect():
+        found.setdefault(r.query_id, set()).add(r.id)
+    p = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    score = p[:100] @ p.T
+    score[np.arange(100), np.arange(100)] = -2
+    want = np.argsort(-score, axis=1)[:, :10]
+    assert np.mean([len(found[q] & set(want[q].tolist())) / 10 for q in range(100)]) >= 0.9
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_whole_search_has_the_bits_of_the_local_one(points, metric):
+    twice = np.concatenate([points, points[:50]])
+    forest = T.build_local(np.arange(450), twice, T.Options(metric, 1, 8))
+    every = sum(t.leaves() for t in forest.trees)
+    ids = np.arange(450)
+    for i, (a, d) in zip(ids, T.search_whole(forest, twice, 7, ids)):
+        b, e = T.search_local(forest, twice[i], 7, every, int(i))
+        assert a.tolist() == b.tolist() and d.tolist() == e.tolist()
