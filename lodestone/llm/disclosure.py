@@ -2,16 +2,18 @@
 
 Protected entities (addresses, phone, card and account numbers, keys and passwords) are found by their form and
 generalised to their kind: ``[EMAIL]``. What else gives an entity away is estimated from the corpus. With ``n(t)``
-documents that hold term ``t`` of ``N``, ``n(e)`` that hold entity ``e`` and ``n(e, t)`` in which ``t`` stands within
-``WINDOW`` words of ``e``:
+documents that hold term ``t`` of ``N``, ``n(e)`` that hold entity ``e`` and ``n(e, t)`` that hold both:
 
     information of e      IC(e)    = log2(N / n(e))
     what t reveals of e   PMI(e;t) = log2(n(e, t) * N / (n(e) * n(t)))
 
 The bits of ``e`` that stay hidden from who knows ``t`` are ``IC(e) - PMI(e;t) = -log2(n(e, t) / n(t))``. In documents
 that hold ``e``, terms that leave at most ``REMOVE`` bits are taken out, terms that leave at most ``GENERALISE`` bits
-become ``[TERM]``. Estimates need ``SUPPORT`` different surroundings: a term that was seen beside an entity once says
-nothing about the corpus, and copies of one passage count as one surrounding. Counts are over all documents.
+become ``[TERM]``. Small counts may be chance: of a pair with fewer than ``SUPPORT`` different surroundings (the words
+within ``WINDOW`` of ``e``, a document), the PMI less ``SURE`` standard errors, ``1 / (sqrt(n(e, t)) * ln 2)`` each,
+must be above 0. Counts are over all documents, copies included.
+
+Entities that the same documents hold have the same counts with every term, so they are scored as one.
 
 Defined cases: a null text stays null; an empty text stays empty; a text without entities is returned byte for byte;
 an entity that every document holds has no information, so nothing is taken out for it; rows are told apart by their
@@ -34,6 +36,7 @@ from lodestone.llm.neardup import word_table
 
 WINDOW = 10
 SUPPORT = 3
+SURE = 1.645
 GENERALISE = 1.0
 REMOVE = 0.15
 
@@ -108,7 +111,7 @@ def _parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 
 
 def _surroundings(window: int):
-    """Rows of (key, size, entity, term, around): the terms near each entity of a text; term 0 stands for the entity itself."""
+    """Of each text with entities (key, size, entities, arounds, terms): its entities, a hash of the words near each, and its terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,19 +139,18 @@ def _surroundings(window: int):
                     before, after = np.arange(max(int(edge[k]), a - window), a), np.arange(z, min(int(edge[k + 1]), z + window))
                     near = np.concatenate([before, after])
                     seen.setdefault((k, name), []).append(hashes[near[free[near]]])
-                out: list[tuple[np.ndarray, ...]] = []
+                names: list[list[int]] = [[] for _ in rows]
+                arounds: list[list[int]] = [[] for _ in rows]
                 for (k, name), near in seen.items():
                     words = np.concatenate(near)
                     with np.errstate(over="ignore"):
                         around = int(mix64(words + np.arange(len(words), dtype=np.uint64)).sum(dtype=np.uint64))
-                    terms = np.unique(np.append(words, np.uint64(0)))
-                    out.append((low + rows[k], name, terms.view(np.int64), around - (1 << 63)))
-                n = [len(t) for _, _, t, _ in out]
-                line = np.repeat([r for r, *_ in out], n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[line]), pa.array(sizes[line]), pa.array(np.repeat(np.array([e for _, e, *_ in out], np.int64), n)), pa.array(np.concatenate([t for _, _, t, _ in out])), pa.array(np.repeat(np.array([a for *_, a in out], np.int64), n))],
-                    names=["key", "size", "entity", "term", "around"],
-                )
+                    names[k].append(name)
+                    arounds[k].append(around - (1 << 63))
+                terms = [np.unique(hashes[x:y][free[x:y]]).view(np.int64) for x, y in zip(edge[:-1].tolist(), edge[1:].tolist())]
+                line = np.array(rows) + low
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(keys[line]), pa.array(sizes[line]), pa.array(names, longs), pa.array(arounds, longs), pa.array(terms, longs)], names=["key", "size", "entities", "arounds", "terms"])
 
     return run
 
@@ -171,24 +173,34 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def disclosures(docs: DataFrame, text_col: str = "text", window: int = WINDOW, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> tuple[DataFrame, DataFrame]:
-    """(entity, term, hidden, removed) of terms that reveal an entity, ``hidden`` being the bits that stay; and (key, size, entity) of the texts that hold it."""
+    """(entity, term, hidden, removed) of terms that reveal an entity, ``hidden`` being the bits that stay; and (key, size, entity, term) of the texts that hold both.
+
+    ``entity`` stands for all entities that the same documents hold. The second table has the terms that are rare enough to reveal."""
     bounded_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
     keyed = docs.select(F.xxhash64(text).alias("key"), F.octet_length(text).alias("size"), text.alias("text")).where("text is not null")
-    near = materialize(keyed.mapInArrow(_surroundings(window), "key bigint, size int, entity bigint, term bigint, around bigint"), "surroundings")
-    # the copies of one surrounding are one, but each document counts for the frequencies
-    both = near.groupBy("entity", "term", "around").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("arounds"))
-    both = materialize(both, "co-occurrence")
-    held = both.where("term = 0").select("entity", F.col("together").alias("n_entity"))
-    wanted = both.where(f"term <> 0 and arounds >= {support}")
+    found = materialize(keyed.mapInArrow(_surroundings(window), "key bigint, size int, entities array<bigint>, arounds array<bigint>, terms array<bigint>"), "surroundings")
+    each = found.select("key", "size", F.explode(F.arrays_zip("entities", "arounds")).alias("at")).select("key", "size", F.col("at.entities").alias("name"), F.col("at.arounds").alias("around"))
+    # a class is the entities of the same documents: as many, and of the same texts
+    classes = each.groupBy("name").agg(F.count("*").alias("n_entity"), F.sum(F.xxhash64("key", "size").cast("decimal(38,0)")).alias("texts")).select("name", "n_entity", F.xxhash64("n_entity", "texts").alias("entity"))
+    held = each.distinct().join(classes, "name").groupBy("key", "size", "entity").agg(F.max("n_entity").alias("n_entity"), F.sum(F.xxhash64("name", "around").cast("decimal(38,0)")).alias("around"))
+    held = materialize(held.withColumn("around", F.xxhash64("around")), "entities-of-texts")
+    most = held.groupBy("key", "size").agg(F.max("n_entity").alias("most"))
     counts = docs.select(text.alias("text")).mapInArrow(_frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
     counts = materialize(counts, "document-frequency")
     total = counts.where("term = 0").select(F.col("n_term").alias("n_all"))
-    joined = wanted.join(counts.where("term <> 0"), "term").join(held, "entity").crossJoin(F.broadcast(total))  # one row
+    # a term of more than 2^generalise documents for each of the entity's can't leave so few bits
+    ratio = 2.0**generalise * (1 + 1e-9)
+    terms = found.groupBy("key", "size").agg(F.first("terms").alias("terms"), F.count("*").alias("copies")).join(most, ["key", "size"])
+    rare = terms.select("key", "size", "copies", "most", F.explode("terms").alias("term")).join(counts.where("term <> 0"), "term").where(F.col("n_term") <= F.col("most") * ratio)
+    pairs = materialize(rare.join(held, ["key", "size"]).where(F.col("n_term") <= F.col("n_entity") * ratio).select("key", "size", "copies", "entity", "term", "around", "n_term", "n_entity"), "co-occurrence")
+    both = pairs.groupBy("entity", "term", "n_term", "n_entity", "around").agg(F.sum("copies").alias("n")).groupBy("entity", "term", "n_term", "n_entity").agg(F.sum("n").alias("together"), F.count("*").alias("arounds"))
+    joined = both.crossJoin(F.broadcast(total))  # one row
     known = F.log2(F.col("n_all") / F.col("n_entity"))
     pointwise = F.log2(F.col("together") * F.col("n_all").cast("double") / F.col("n_entity") / F.col("n_term"))
-    scored = joined.select("entity", "term", known.alias("ic"), (known - pointwise).alias("hidden")).where(f"ic > 0 and hidden <= {generalise}")
-    return scored.select("entity", "term", "hidden", (F.col("hidden") <= remove).alias("removed")), near.where("term = 0").select("key", "size", "entity").distinct()
+    sure = (F.col("arounds") >= support) | (pointwise > SURE / np.log(2) / F.sqrt("together"))
+    scored = joined.where(sure).select("entity", "term", known.alias("ic"), (known - pointwise).alias("hidden")).where(f"ic > 0 and hidden <= {generalise}")
+    return scored.select("entity", "term", "hidden", (F.col("hidden") <= remove).alias("removed")), pairs.select("key", "size", "entity", "term")
 
 
 def rewrite(texts: pa.Array, terms: pa.Array | None = None, removed: pa.Array | None = None) -> tuple[list[bytes | None], np.ndarray]:
@@ -238,7 +250,7 @@ def _rewritten(texts: pa.Array, terms: pa.Array, removed: pa.Array) -> pa.Array:
 def _added(docs: DataFrame, name: str, text_col: str, **thresholds) -> DataFrame:
     """Add struct column ``name``: (text, n_entities, n_generalised, n_removed)."""
     found, held = disclosures(docs, text_col, **thresholds)
-    per_text = held.join(found, "entity").groupBy("key", "size", "term").agg(F.max("removed").alias("removed"))
+    per_text = held.join(found, ["entity", "term"]).groupBy("key", "size", "term").agg(F.max("removed").alias("removed"))
     per_text = per_text.groupBy("key", "size").agg(F.collect_list(F.struct("term", "removed")).alias("terms"))
     key, size, terms = (fresh([*docs.columns, name], x) for x in ("text_key", "text_size", "text_terms"))
     per_text = materialize(per_text.toDF(key, size, terms), "text-terms")

@@ -108,3 +108,14 @@ def test_all_tables_secrets_are_gone(spark):
         assert out.where(out.text.rlike(form)).count() == 0
     assert out.count() == docs.count()
     assert np.isclose(out.agg({"n_entities": "sum"}).first()[0], out.where("n_entities > 0").agg({"n_entities": "sum"}).first()[0])
+
+
+def test_entities_of_one_or_two_documents_are_scored(spark):
+    """A term in the one document of an entity, in its two, and in four copies of its passage."""
+    texts = ["marlow wrote to a@mail1.example.com often", "we met kurtz and b@mail1.example.com there", "then kurtz told b@mail1.example.com often"]
+    texts += ["ivory came for c@mail1.example.com often"] * 4 + [f"often we wrote and met there {i} then told came for to" for i in range(60)]
+    out = {r.doc_id: r for r in D.sanitise(frame(spark, texts)).collect()}
+    assert out[0].text.split() == ["wrote", "to", "[EMAIL]", "often"] and out[0].n_removed == 1
+    assert out[1].text.split() == ["we", "met", "and", "[EMAIL]", "there"] and out[2].text.split() == ["then", "told", "[EMAIL]", "often"]
+    assert {out[i].text for i in range(3, 7)} == {" came for [EMAIL] often"}
+    assert all(out[i].text == texts[i] and out[i].n_removed == 0 for i in range(7, len(texts)))
