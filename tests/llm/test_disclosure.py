@@ -119,3 +119,13 @@ def test_entities_of_one_or_two_documents_are_scored(spark):
     assert out[1].text.split() == ["we", "met", "and", "[EMAIL]", "there"] and out[2].text.split() == ["then", "told", "[EMAIL]", "often"]
     assert {out[i].text for i in range(3, 7)} == {" came for [EMAIL] often"}
     assert all(out[i].text == texts[i] and out[i].n_removed == 0 for i in range(7, len(texts)))
+
+
+def test_terms_far_from_the_entity_count(spark):
+    """Of ten documents of an entity a name stands near it in four and far from it in six."""
+    far = "common words of all texts " * 6
+    texts = [f"kurtz {'' if i % 5 < 2 else far}met d@mail1.example.com {i % 5}" for i in range(10)] + [f"{far}met {i % 5}" for i in range(60)]
+    found, _ = D.disclosures(frame(spark, texts))
+    assert [(r.hidden, r.removed) for r in found.collect()] == [(pytest.approx(0), True)]
+    out = {r.doc_id: r.text for r in D.sanitise(frame(spark, texts)).collect()}
+    assert not any("kurtz" in t for t in out.values()) and all("kurtz" in t for t in texts[:10])
