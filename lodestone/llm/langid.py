@@ -9,7 +9,8 @@ Symbols are the UTF-8 bytes of the text in lower case (ASCII and Latin-1 letters
 bytes as one space. A phrase ends with its block of ``BLOCK`` symbols, so that all blocks of a batch can be parsed
 side by side: a parse never goes back, so walking the automaton is one table lookup a symbol, done for all blocks
 at once. The labelled text is a bounded sample: ``SAMPLE`` symbols a language, from at least ``SOURCES`` documents
-where there are so many.
+where there are so many; texts shorter than ``SAMPLE / SOURCES`` bytes are taken where the longer ones don't fill it.
+As samples can differ in length, all are held to the length of the longest.
 
 Defined cases: a null text or one without letters has the language null; without labelled text all do; rows
 with a null label aren't learned from; other columns pass through.
@@ -160,27 +161,32 @@ def cross_entropies(samples: list[bytes], texts: pa.Array) -> tuple[np.ndarray,
         padded = np.concatenate([s, np.zeros(BLOCK, np.uint8)])
         lanes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, int(size[0]))[begin].T)
         for k, sample in enumerate(samples):
-            auto = automaton(sample)
-            out[low:high, k] = np.bincount(row, phrases(auto, lanes, live), high - low) * np.log2(max(2, auto.length))
+            out[low:high, k] = np.bincount(row, phrases(automaton(sample), lanes, live), high - low) * np.log2(max([2, *map(len, samples)]))
     return out / np.maximum(length, 1)[:, None], length
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, sources: int = SOURCES) -> dict[str, bytes]:
-    """Normalised labelled text of each language: ``sample`` symbols from the first documents by a hash of their ids."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.octet_length(text_col).alias("size"))
-    rows = rows.where(f"id is not null and lang is not null and size >= {sample // sources}")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= 2 * sources).select("id", "lang").distinct().collect()
+    """Normalised labelled text of each language: ``sample`` symbols from the first documents by a hash of their ids, long enough ones first."""
+    quota = sample // sources
+    key = F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(text_col))
+    letters = F.octet_length(F.regexp_replace(F.substring(text_col, 1, sample), r"[\x00-@\[-`{-\x7f]+", ""))
+    rows = docs.select(key.alias("id"), F.col(lang_col).cast("string").alias("lang"), (F.octet_length(text_col) < quota).alias("short"), letters.alias("letters"))
+    rows = rows.where("lang is not null and letters > 0").select("id", "lang", "short", F.least("letters", F.lit(quota)).alias("letters"))
+    w = Window.partitionBy("lang").orderBy("short", F.xxhash64("id"), "id")
+    # a row has a letter at least; of the first rows those that fill twice the sample
+    first = rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= 2 * sample)
+    before = F.sum("letters").over(Window.partitionBy("lang").orderBy("nth")) - F.col("letters")
+    chosen = first.withColumn("before", before).where(F.col("before") < 2 * sample).select("id", "lang").distinct().collect()
     if not chosen:
         return {}
-    # bounded: 2 * sources ids a language
+    # bounded: 2 * sample ids a language
     ids = docs.sparkSession.createDataFrame([(r.id, r.lang) for r in chosen], "id bigint, lang string")
-    text = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    got = text.join(F.broadcast(ids), ["id", "lang"]).select("lang", "id", F.substring("text", 1, sample).alias("text")).collect()
+    text = docs.select(key.alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), (F.octet_length(text_col) < quota).alias("short")).where("text is not null")
+    got = text.join(F.broadcast(ids), ["id", "lang"]).select("lang", "id", "short", F.substring("text", 1, sample).alias("text")).collect()
     out: dict[str, bytes] = {}
-    for r in sorted(got, key=lambda r: (r.lang, r.id, r.text)):
+    for r in sorted(got, key=lambda r: (r.lang, r.short, r.id, r.text)):
         have = out.get(r.lang, b"")
-        out[r.lang] = have + normalise(r.text)[: min(sample // sources, sample - len(have))]
+        out[r.lang] = have + normalise(r.text)[: min(quota, sample - len(have))]
     return {k: v for k, v in sorted(out.items()) if v}
 
 

@@ -71,3 +71,15 @@ def test_edges(spark):
     assert {r.lang for r in L.identify(docs, {}).collect()} == {None}
     assert L.identify(docs.limit(0), samples).count() == 0 and L.fit(docs.limit(0)) == {}
     assert L.fit(docs.where("lang is null")) == {}
+
+
+def test_languages_of_short_texts_are_learned(spark):
+    """A language of captions beside one of long texts, and a table of captions alone."""
+    captions = [(i, f"der hund und die katze nummer {'abcdefghij'[i % 10]}", "de") for i in range(30)]
+    long = [(100 + i, "the dog and the cat walked over the hill to the river again and again " * 6, "en") for i in range(20)]
+    for rows in (captions + long, captions + [(99, "the dog and the cat", "en"), (None, "ein hund", "nl")]):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+        samples = L.fit(docs)
+        assert set(samples) == {r[2] for r in rows} and all(0 < len(x) <= L.SAMPLE for x in samples.values())
+        out = L.identify(docs, samples).collect()
+        assert all(r.accepted for r in out if r.doc_id is not None)
