@@ -29,6 +29,11 @@ def sentencepiece_library_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.library_check(benchmark, sentencepiece_codec.read_model(), id_col="item_id")
 
 
+def sentencepiece_documents_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held against the library over op2's table, whole."""
+    return sentencepiece_codec.library_check(_table(spark, sf_dir, "documents"), sentencepiece_codec.read_model())
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -95,7 +100,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pii_disclosure, op2_sentencepiece, op3_best_fit_packing, op4_language_id, op5_minhash_near_dedup, op6_token_binary, op7_chat_formatting, op8_quality_classifier, op9_voronoi_knn, op10_tiff_pages, sentencepiece_library_check, packing_totals, chat_transcript, pipeline]
+    found = [op1_pii_disclosure, op2_sentencepiece, op3_best_fit_packing, op4_language_id, op5_minhash_near_dedup, op6_token_binary, op7_chat_formatting, op8_quality_classifier, op9_voronoi_knn, op10_tiff_pages, sentencepiece_library_check, sentencepiece_documents_check, packing_totals, chat_transcript, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -137,6 +142,7 @@ FROM conversations GROUP BY conv_id
 def oracle_sql() -> dict[str, str]:
     return {
         "sentencepiece_library_check": "SELECT item_id AS doc_id, TRUE AS agrees FROM benchmark",
+        "sentencepiece_documents_check": "SELECT doc_id, TRUE AS agrees FROM documents",
         "op9_voronoi_knn": _KNN,
         "op10_tiff_pages": _TIFF,
         "packing_totals": _PACKING,

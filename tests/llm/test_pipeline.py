@@ -54,3 +54,8 @@ def test_sql(spark, duck, name):
 def test_all_are_registered():
     names = list(entry.queries())
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+
+
+def test_all_documents_are_held_against_the_library(spark, duck):
+    got = sorted(map(tuple, entry.queries()["sentencepiece_documents_check"](spark, DATA).collect()))
+    assert got == sorted(duck.execute(entry.oracle_sql()["sentencepiece_documents_check"]).fetchall())
