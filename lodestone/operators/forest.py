@@ -24,7 +24,6 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,6 +31,7 @@ from pyspark.sql.window import Window
 from lodestone.functions import vector as V
 from lodestone.operators import index as I
 from lodestone.operators.blocks import matrix, pack, unpack
+from lodestone.operators.shared import qualified, read_bytes, write_bytes
 
 SHARD_BYTES = 64 << 20
 #: Queries that ``recall`` is measured with, and bytes of a block of products in a search of whole shards.
@@ -234,29 +234,11 @@ def leaves_for(forest: Forest, queries: np.ndarray, k: int, recall: float, exclu
     return int(enough[0]) if len(enough) else 0
 
 
-def _place(folder: str) -> tuple[pafs.FileSystem, str]:
-    if "://" in folder or folder.startswith("file:"):
-        return pafs.FileSystem.from_uri(folder)
-    return pafs.LocalFileSystem(), folder
-
-
-def _read(folder: str, name: str) -> bytes:
-    fs, root = _place(folder)
-    with fs.open_input_stream(f"{root}/{name}") as f:
-        return f.read()
-
-
-def _write(folder: str, name: str, raw: bytes) -> None:
-    fs, root = _place(folder)
-    fs.create_dir(root, recursive=True)
-    with fs.open_output_stream(f"{root}/{name}") as f:
-        f.write(raw)
-
-
 def build(vectors: DataFrame, folder: str, options: Options = Options(), id_col: str = "id", vec_col: str = "vec", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Build and write the forest; (shard, file, rows, leaves) of each shard. Files of lost attempts aren't listed."""
     from lodestone.sources.index_files import write_forest
 
+    folder = qualified(vectors.sparkSession, folder)
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
     dim = I.check(rows)
     shards = max(1, -(-rows.count() * dim * 4 // shard_bytes))
@@ -270,8 +252,8 @@ def build(vectors: DataFrame, folder: str, options: Options = Options(), id_col:
             own = held.pop(shard)
             forest = build_local(np.concatenate([i for i, _ in own]), np.concatenate([v for _, v in own]), options)
             name = f"shard-{shard:06d}-{TaskContext.get().taskAttemptId()}.forest"
-            _write(folder, f"{name}.ids", forest.ids.astype("<i8").tobytes())
-            _write(folder, name, write_forest(Forest(options, np.arange(len(forest.ids)), forest.vectors, forest.trees)))
+            write_bytes(f"{folder}/{name}.ids", forest.ids.astype("<i8").tobytes())
+            write_bytes(f"{folder}/{name}", write_forest(Forest(options, np.arange(len(forest.ids)), forest.vectors, forest.trees)))
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([name]), pa.array([len(forest.ids)], pa.int64()), pa.array([sum(t.leaves() for t in forest.trees)], pa.int64())], names=["shard", "file", "rows", "leaves"])
 
         for b in batches:
@@ -289,13 +271,17 @@ def build(vectors: DataFrame, folder: str, options: Options = Options(), id_col:
     hashed = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "vec")
     built = hashed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, file string, rows bigint, leaves bigint")
     listed = [r.asDict() for r in built.collect()]  # a row a shard
-    _write(folder, "forest.json", json.dumps({"options": asdict(options), "dim": dim, "shards": listed}).encode())
+    write_bytes(f"{folder}/forest.json", json.dumps({"options": asdict(options), "dim": dim, "shards": listed}).encode())
     return load(vectors.sparkSession, folder)
 
 
+def _about(spark: SparkSession, folder: str) -> dict:
+    return json.loads(read_bytes(f"{qualified(spark, folder)}/forest.json"))
+
+
 def load(spark: SparkSession, folder: str) -> DataFrame:
     """(shard, file, rows, leaves) of a written forest."""
-    about = json.loads(_read(folder, "forest.json"))
+    about = _about(spark, folder)
     return spark.createDataFrame([(r["shard"], r["file"], r["rows"], r["leaves"]) for r in about["shards"]], "shard int, file string, rows bigint, leaves bigint")
 
 
@@ -309,14 +295,15 @@ def open_shard(folder: str, file: str) -> Forest:
     key = f"{folder}/{file}"
     if key not in _open:
         _open.clear()
-        forest = read_forest(_read(folder, file))
-        forest.ids = np.frombuffer(_read(folder, f"{file}.ids"), "<i8")
+        forest = read_forest(read_bytes(key))
+        forest.ids = np.frombuffer(read_bytes(f"{key}.ids"), "<i8")
         _open[key] = forest
     return _open[key]
 
 
 def nodes(spark: SparkSession, folder: str) -> DataFrame:
     """One row a node: (shard, tree, node, leaf, hyperplane, threshold, left, right, items)."""
+    folder = qualified(spark, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.float32()), pa.float32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
@@ -332,6 +319,7 @@ def nodes(spark: SparkSession, folder: str) -> DataFrame:
 
 def _over_shards(queries: DataFrame, folder: str, answer, out: str, names: list[str]) -> DataFrame:
     """``answer(forest, ids, vectors, file)`` for every block of queries and every shard."""
+    folder = qualified(queries.sparkSession, folder)
     blocks = pack(queries.select(F.col("id"), F.col("vec").cast("array<float>").alias("vec")), 256, "float32").select("ids", "matrix")
     shards = load(queries.sparkSession, folder).select("shard", "file")
     parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -370,7 +358,8 @@ def search(queries: DataFrame, folder: str, k: int = 10, search_k: int | None =
         raise I.VectorError("k must be positive")
     if recall is not None and (search_k is not None or not 0 < recall <= 1):
         raise I.VectorError("recall must be in (0, 1] and takes the place of search_k")
-    dim = json.loads(_read(folder, "forest.json"))["dim"]
+    folder = qualified(queries.sparkSession, folder)
+    dim = _about(queries.sparkSession, folder)["dim"]
     rows = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec"))
     wrong = rows.where(F.col("vec").isNull() | (F.size("vec") != dim)).first()
     if wrong:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import vector as V
+from lodestone.operators import shared
 from lodestone.operators.blocks import Top, best_pairs, pack, unpack
 from lodestone.operators.shared import materialize, small
 
@@ -64,8 +65,7 @@ def load(spark: SparkSession, folder: str) -> Index:
 
 
 def exists(spark: SparkSession, folder: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/metadata/_SUCCESS")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return shared.exists(spark, f"{folder}/metadata/_SUCCESS")
 
 
 def cached(spark: SparkSession, folder: str, make) -> Index:

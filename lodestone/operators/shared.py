@@ -1,4 +1,4 @@
-"""Folders for what operators write, and the sizes that Spark expects."""
+"""Folders for what operators write, paths that Spark and pyarrow read alike, and the sizes that Spark expects."""
 
 from __future__ import annotations
 
@@ -7,21 +7,70 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _roots: dict[str, str] = {}
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors share. Without one, a temporary folder on a local master and an error elsewhere."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    app = spark.sparkContext.applicationId
+    if app not in _roots:
+        _roots[app] = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, _roots[app], ignore_errors=True)
+    return f"file://{_roots[app]}"
+
+
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share; without it (local tests) below a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _roots:
-            _roots[app] = tempfile.mkdtemp(prefix="lodestone-")
-            atexit.register(shutil.rmtree, _roots[app], ignore_errors=True)
-        root = _roots[app]
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A new folder below ``shared_root``."""
+    return f"{shared_root(spark)}/lodestone/{what}-{uuid.uuid4().hex}"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme, as Spark resolves it, so that Python workers open the same place."""
+    target, system = _hadoop(spark, path)
+    full = system.makeQualified(target).toString()
+    return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target, system = _hadoop(spark, path)
+    return system.exists(target)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    target, system = _hadoop(spark, path)
+    system.delete(target, True)
+
+
+def place(uri: str) -> tuple[pafs.FileSystem, str]:
+    """pyarrow's file system and path of a qualified path."""
+    return pafs.FileSystem.from_uri(uri)
+
+
+def read_bytes(uri: str) -> bytes:
+    system, path = place(uri)
+    with system.open_input_stream(path) as f:
+        return f.read()
+
+
+def write_bytes(uri: str, raw: bytes) -> None:
+    system, path = place(uri)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(path) as f:
+        f.write(raw)
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
