@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.operators.shared import drop_folder, exists, materialize, place, qualified, read_bytes, shared_folder, write_bytes
+
+__all__ = ["drop_folder", "exists", "materialize", "place", "qualified", "read_bytes", "shared_folder", "write_bytes"]
 
 #: Bytes of text that the vectorised kernels work on at once; bounds their memory, never what is processed.
 SLICE_BYTES = 1 << 20
@@ -18,43 +19,22 @@ SLICE_BYTES = 1 << 20
 #: Bytes of an Arrow batch that is handed to Python.
 BATCH_BYTES = 4 << 20
 
-_roots: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the one in ``spark.checkpoint.dir``, else (local tests) a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _roots:
-        _roots[app] = tempfile.mkdtemp(prefix="lodestone-")
-        atexit.register(shutil.rmtree, _roots[app], ignore_errors=True)
-    return _roots[app]
-
-
 def bounded_batches(spark: SparkSession) -> None:
-    """Let Spark hand texts to Python in batches of ``BATCH_BYTES``, unless the session says otherwise; 10,000 long ones would fill a worker."""
+    """Let Spark hand texts to Python in batches of ``BATCH_BYTES``; 10,000 long ones would fill a worker.
+
+    The size is a setting of the session, so it changes for all that the session runs, unless it was set to another than the default."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, "67108864b") in ("67108864b", "64MB"):
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_root(spark)}/lodestone/{what}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again, which cuts its lineage and survives lost executors."""
-    path = new_folder(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def quoted(name: str) -> str:
+    """A column's name as SQL takes it, dots and back quotes included."""
+    return "`" + name.replace("`", "``") + "`"
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def column(name: str) -> Column:
+    return F.col(quoted(name))
 
 
 def fresh(columns: Sequence[str], stem: str) -> str:

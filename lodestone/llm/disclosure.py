@@ -9,7 +9,7 @@ documents that hold term ``t`` of ``N``, ``n(e)`` that hold entity ``e`` and ``n
 
 The bits of ``e`` that stay hidden from who knows ``t`` are ``IC(e) - PMI(e;t) = -log2(n(e, t) / n(t))``. In documents
 that hold ``e``, terms that leave at most ``REMOVE`` bits are taken out, terms that leave at most ``GENERALISE`` bits
-become ``[TERM]``. Small counts may be chance: of a pair with fewer than ``SUPPORT`` different surroundings (the words
+become the kind of term they are: ``[NUMBER]``, ``[CODE]`` (digits and letters), ``[NAME]`` (with a capital) or ``[WORD]``. Small counts may be chance: of a pair with fewer than ``SUPPORT`` different surroundings (the words
 within ``WINDOW`` of ``e``, a document), the PMI less ``SURE`` standard errors, ``1 / (sqrt(n(e, t)) * ln 2)`` each,
 must be above 0. Counts are over all documents, copies included.
 
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded_batches, fresh, materialize, mix64, spans, text_parts
+from lodestone.llm.common import bounded_batches, column, fresh, materialize, mix64, spans, text_parts
 from lodestone.llm.neardup import word_table
 
 WINDOW = 10
@@ -40,17 +40,19 @@ SURE = 1.645
 GENERALISE = 1.0
 REMOVE = 0.15
 
-#: Forms are looked for this many bytes around digits, ``@`` and ``=``; every form has one of them.
-AROUND = 320
+#: Forms are looked for around digits, ``@``, ``=`` and the beginnings of keys, of which every form has one: in the run of
+#: non-blank bytes that it stands in, however long, and so many bytes on either side, more than the parts of a form before and behind it take.
+AROUND = 96
 
 _GAP = rb"[^0-9A-Za-z\n]{0,5}"
 _BYTE = rb"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+_VALUE = rb"[A-Za-z0-9_./+!#$%^&*~?@\x80-\xff-]"
 _FORMS = [
-    ("EMAIL", rb"(?<![A-Za-z0-9._%+\x80-\xff-])[A-Za-z0-9_\x80-\xff][A-Za-z0-9._%+\x80-\xff-]{0,127}@(?:[A-Za-z0-9\x80-\xff][A-Za-z0-9\x80-\xff-]{0,62}\.){1,8}[A-Za-z]{2,24}"),
+    ("EMAIL", rb"(?<![A-Za-z0-9._%+\x80-\xff-])[A-Za-z0-9_\x80-\xff][A-Za-z0-9._%+\x80-\xff-]*@(?:[A-Za-z0-9\x80-\xff][A-Za-z0-9\x80-\xff-]*\.)+[A-Za-z]{2,}"),
     ("SECRET", rb"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])"),
-    ("SECRET", rb"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{20,255}|sk-[A-Za-z0-9_-]{20,200}|xox[abprs]-[A-Za-z0-9-]{10,200}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,})"),
-    ("SECRET", rb"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?" + _GAP.replace(b"5", b"2") + rb"[:=]" + _GAP + rb"(?=[A-Za-z_./+-]{0,200}[0-9])[A-Za-z0-9_./+-]{6,}[\"']?"),
-    ("SECRET", rb"(?<![0-9A-Za-z])(?=[0-9]{0,200}[A-Fa-f])(?=[A-Fa-f]{0,200}[0-9])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])"),
+    ("SECRET", rb"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,})"),
+    ("SECRET", rb"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?" + _GAP.replace(b"5", b"2") + rb"[:=]" + _GAP + rb"(?=" + _VALUE.replace(b"0-9", b"") + rb"*[0-9])" + _VALUE + rb"{6,}[\"']?"),
+    ("SECRET", rb"(?<![0-9A-Za-z])(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])"),
     ("IP", rb"(?<![0-9.])(?:" + _BYTE + rb"\.){3}" + _BYTE + rb"(?![0-9])(?!\.[0-9])"),
     ("IP", rb"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
     ("ACCOUNT", rb"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
@@ -74,27 +76,55 @@ def _compile() -> tuple[re.Pattern, list[str]]:
 
 
 _FORM, _KINDS = _compile()
-_HOT = np.zeros(256, bool)
-_HOT[48:58] = True
-_HOT[[ord("@"), ord("=")]] = True
+_HOT = np.zeros(256, np.uint8)
+_HOT[48:58] = 1
+_HOT[[ord("@"), ord("=")]] = 1
+_KEYS = (b"AKIA", b"ASIA", b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_", b"sk-", b"xoxa-", b"xoxb-", b"xoxp-", b"xoxr-", b"xoxs-", b"eyJ")
+for _key in _KEYS:
+    _HOT[_key[-1]] = 2  # hot only behind the rest of its key
+_SPACES = np.zeros(256, bool)
+_SPACES[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _hot(data: np.ndarray) -> np.ndarray:
+    """Places of bytes that a form can be around."""
+    kind = _HOT[data]
+    hot = np.flatnonzero(kind)
+    maybe = kind[hot] == 2
+    at = hot[maybe]
+    real = np.zeros(len(at), bool)
+    for key in _KEYS:
+        own = np.flatnonzero((data[at] == key[-1]) & (at >= len(key) - 1))
+        for back, byte in enumerate(reversed(key[:-1]), 1):
+            own = own[data[at[own] - back] == byte]
+        real[own] = True
+    keep = np.ones(len(hot), bool)
+    keep[maybe] = real
+    return hot[keep]
 
 
 def entities(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, str]]:
     """(row, start, end, kind) of every protected entity, in order; places are in ``data``."""
-    hot = np.flatnonzero(_HOT[data])
+    hot = _hot(data)
     if not len(hot):
         return []
     row = np.searchsorted(offsets, hot, side="right") - 1
+    # the run of non-blank bytes around each, and AROUND on either side, within the row
+    blank = np.flatnonzero(_SPACES[data])
+    after = np.searchsorted(blank, hot)
+    edge = np.concatenate([[-1], blank, [len(data)]])
+    low = np.maximum(edge[after] + 1 - AROUND, offsets[row])
+    high = np.minimum(edge[after + 1] + AROUND, offsets[row + 1])
     new = np.ones(len(hot), bool)
-    new[1:] = (row[1:] != row[:-1]) | (np.diff(hot) > 2 * AROUND)
+    new[1:] = (row[1:] != row[:-1]) | (low[1:] > high[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(hot)) - 1
     out, at, text = [], -1, b""
-    for r, a, z in zip(row[first].tolist(), hot[first].tolist(), hot[last].tolist()):
+    for r, a, z in zip(row[first].tolist(), low[first].tolist(), high[last].tolist()):
         if r != at:
             at, begin = r, int(offsets[r])
             text = data[begin : offsets[r + 1]].tobytes()
-        for m in _FORM.finditer(text, max(0, a - begin - AROUND), min(len(text), z - begin + AROUND)):
+        for m in _FORM.finditer(text, a - begin, z - begin):
             out.append((r, begin + m.start(), begin + m.end(), _KINDS[m.lastindex]))
     return out
 
@@ -177,7 +207,7 @@ def disclosures(docs: DataFrame, text_col: str = "text", window: int = WINDOW, s
 
     ``entity`` stands for all entities that the same documents hold. The second table has the terms that are rare enough to reveal."""
     bounded_batches(docs.sparkSession)
-    text = F.col(text_col).cast("string")
+    text = column(text_col).cast("string")
     keyed = docs.select(F.xxhash64(text).alias("key"), F.octet_length(text).alias("size"), text.alias("text")).where("text is not null")
     found = materialize(keyed.mapInArrow(_surroundings(window), "key bigint, size int, entities array<bigint>, arounds array<bigint>, terms array<bigint>"), "surroundings")
     each = found.select("key", "size", F.explode(F.arrays_zip("entities", "arounds")).alias("at")).select("key", "size", F.col("at.entities").alias("name"), F.col("at.arounds").alias("around"))
@@ -203,6 +233,15 @@ def disclosures(docs: DataFrame, text_col: str = "text", window: int = WINDOW, s
     return scored.select("entity", "term", "hidden", (F.col("hidden") <= remove).alias("removed")), pairs.select("key", "size", "entity", "term")
 
 
+def _general(word: np.ndarray) -> bytes:
+    """What kind of term a word is: the more general term that takes its place."""
+    digit = (word >= 48) & (word <= 57)
+    if digit.any():
+        return b"[NUMBER]" if digit.all() else b"[CODE]"
+    capital = 65 <= word[0] <= 90 or len(word) > 1 and word[0] == 0xC3 and 0x80 <= word[1] <= 0x9E
+    return b"[NAME]" if capital else b"[WORD]"
+
+
 def rewrite(texts: pa.Array, terms: pa.Array | None = None, removed: pa.Array | None = None) -> tuple[list[bytes | None], np.ndarray]:
     """Each text without its entities and revealing terms (None: as it was), and counts of (entities, generalised, removed)."""
     out: list[bytes | None] = [None] * len(texts)
@@ -227,7 +266,7 @@ def rewrite(texts: pa.Array, terms: pa.Array | None = None, removed: pa.Array |
                         continue
                     gone_now = gone[int(hashes[k].view(np.int64))]
                     counts[low + r, 2 if gone_now else 1] += 1
-                    cuts.append((s, e, b"" if gone_now else b"[TERM]"))
+                    cuts.append((s, e, b"" if gone_now else _general(data[s:e])))
                 cuts.sort()
             made, at = [], begin
             for s, e, put in cuts:
@@ -254,7 +293,7 @@ def _added(docs: DataFrame, name: str, text_col: str, **thresholds) -> DataFrame
     per_text = per_text.groupBy("key", "size").agg(F.collect_list(F.struct("term", "removed")).alias("terms"))
     key, size, terms = (fresh([*docs.columns, name], x) for x in ("text_key", "text_size", "text_terms"))
     per_text = materialize(per_text.toDF(key, size, terms), "text-terms")
-    text = F.col(f"`{text_col}`").cast("string")
+    text = column(text_col).cast("string")
     joined = docs.withColumn(key, F.xxhash64(text)).withColumn(size, F.octet_length(text)).join(per_text, [key, size], "left")
     made = F.arrow_udf(_rewritten, "text string, n_entities bigint, n_generalised bigint, n_removed bigint").asNondeterministic()
     return joined.withColumn(name, made(text, F.col(f"{terms}.term"), F.col(f"{terms}.removed"))).drop(key, size, terms)
@@ -262,14 +301,15 @@ def _added(docs: DataFrame, name: str, text_col: str, **thresholds) -> DataFrame
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """(doc_id, text, n_entities, n_generalised, n_removed) of every row."""
-    return _added(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "made", "text", **thresholds).select("doc_id", "made.*")
+    return _added(docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text")), "made", "text", **thresholds).select("doc_id", "made.*")
 
 
 def sanitised(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_chars", **thresholds) -> DataFrame:
     """The rows of ``docs`` with their texts, and the numbers of characters in ``size_col`` of changed ones, replaced."""
     name = fresh(docs.columns, "sanitised_text")
     out = _added(docs, name, text_col, **thresholds)
+    made = column(name)
     if size_col in docs.columns:
-        changed = F.col(f"{name}.text") != F.col(text_col)
-        out = out.withColumn(size_col, F.when(changed, F.length(f"{name}.text")).otherwise(F.col(size_col)).cast(docs.schema[size_col].dataType))
-    return out.withColumn(text_col, F.col(f"{name}.text")).select(*docs.columns)
+        changed = made["text"] != column(text_col)
+        out = out.withColumn(size_col, F.when(changed, F.length(made["text"])).otherwise(column(size_col)).cast(docs.schema[size_col].dataType))
+    return out.withColumn(text_col, made["text"]).select(*(column(c) for c in docs.columns))

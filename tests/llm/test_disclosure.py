@@ -71,7 +71,7 @@ def test_against_brute_force(spark, corpus):
     out = {r.doc_id: r for r in D.sanitise(frame(spark, corpus)).collect()}
     for i, w in enumerate(("one", "two", "three", "four")):
         gone = {k for k, h in want.items() if h <= D.REMOVE}
-        told = [("" if x in gone else "[TERM]" if x in want else x) for x in corpus[i].split()]
+        told = [("" if x in gone else "[WORD]" if x in want else x) for x in corpus[i].split()]
         assert out[i].text == " ".join("[EMAIL]" if "@" in x else x for x in told)
         assert (out[i].n_entities, out[i].n_removed, out[i].n_generalised) == (1, len(gone), len(want) - len(gone))
     # documents without the entity are left alone, whatever their words
@@ -129,3 +129,37 @@ def test_terms_far_from_the_entity_count(spark):
     assert [(r.hidden, r.removed) for r in found.collect()] == [(pytest.approx(0), True)]
     out = {r.doc_id: r.text for r in D.sanitise(frame(spark, texts)).collect()}
     assert not any("kurtz" in t for t in out.values()) and all("kurtz" in t for t in texts[:10])
+
+
+LONG = [
+    "password=1" + "x" * 500, "ghp_" + "aB3" * 121, "password=" + "a" * 250 + "1", "sk-" + "abcdefgh" * 4, "eyJ" + "abcd" * 4 + "." + "efgh" * 3 + "." + "ijkl" * 3, "AKIA" + "ABCDEFGHIJKLMNOP",
+    "xoxb-" + "abcdefghijkl", "api_key: " + "k" * 300_000 + "7", "a" * 500 + "@" + "b" * 300 + ".example.com", "0123456789abcdef" * 40, "pwd: Tr0ub4dor&3!x",
+]
+
+
+@pytest.mark.parametrize("secret", LONG, ids=range(len(LONG)))
+def test_secrets_go_to_their_own_end(secret):
+    for text in (secret, f"one {secret} two", "long " * 300 + secret + " end" * 300):
+        made, counts = D.rewrite(pa.array([text]))
+        assert counts[0, 0] == 1
+        assert made[0].decode().replace("[SECRET]", "").replace("[EMAIL]", "") == text.replace(secret, "")
+
+
+def test_entities_are_those_of_a_search_of_the_whole_text():
+    rng = np.random.default_rng(1)
+    parts = [*SECRETS, *CLEAN, *LONG[:7], "sk-", "ASIA", "word", "x=y", "12", "é@è.fr", " ", " " * 200, "\n", "y" * 200]
+    for _ in range(60):
+        text = " ".join(rng.choice(parts, 30)).encode()
+        found = D.entities(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert [(s, e) for _, s, e, _ in found] == [m.span() for m in D._FORM.finditer(text)]
+
+
+def test_terms_become_more_general():
+    general = lambda w: D._general(np.frombuffer(w.encode(), np.uint8))
+    assert [general(w) for w in ("1999", "a4", "Marlow", "Élan", "élan", "harbour")] == [b"[NUMBER]", b"[CODE]", b"[NAME]", b"[NAME]", b"[WORD]", b"[WORD]"]
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "call +1 (988) 555-2485", "u", "v", "w")], ["doc_id", "text", "meta.url", "a`b", "text_terms"])
+    rows = D.sanitised(docs)
+    assert rows.columns == docs.columns and tuple(rows.first()) == (1, "call [PHONE]", "u", "v", "w")
