@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.shared import drop_folder, exists, materialize, place, qualified, read_bytes, shared_folder, write_bytes
@@ -28,6 +28,30 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+class Scratch:
+    """Intermediate tables of one call, which ``finish`` deletes once its result is written."""
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def keep(self, df: DataFrame, what: str) -> DataFrame:
+        """``df`` written and read again, as by ``materialize``."""
+        path = shared_folder(df.sparkSession, what)
+        df.write.parquet(path)
+        self.paths.append((df.sparkSession, path))
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def finish(self, df: DataFrame, what: str) -> DataFrame:
+        out = materialize(df, what)
+        self.drop()
+        return out
+
+    def drop(self) -> None:
+        for spark, path in self.paths:
+            drop_folder(spark, path)
+        self.paths.clear()
+
+
 def quoted(name: str) -> str:
     """A column's name as SQL takes it, dots and back quotes included."""
     return "`" + name.replace("`", "``") + "`"

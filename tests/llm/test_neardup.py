@@ -12,8 +12,13 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id bigint, text string")
 
 
+ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u9fff\uf900-\ufaff\U00020000-\U00033fff"
+BREAK = "\u0080-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2000-\u200b\u200e-\u2bff\u3000-\u3004\u3008-\u303f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65"
+
+
 def words(text):
-    return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", text.translate({c: c + 32 for c in range(65, 91)})) if text else []
+    lower = (text or "").translate({c: c + 32 for c in [*range(65, 91), *range(0xC0, 0xDF)] if c != 0xD7})
+    return re.findall(f"[{ALONE}]|(?:(?![{ALONE}{BREAK}])[0-9a-z\u0080-\U0010ffff])+", lower)
 
 
 def shingles(text, width=N.SHINGLE):
@@ -34,6 +39,25 @@ def test_word_hashes_tell_words_apart():
     assert h[:4].tolist() == h[4:8].tolist() and len(set(h.tolist())) == 7
 
 
+def test_words_of_all_scripts():
+    rng = np.random.default_rng(2)
+    marks = list("aZ0é×ÉÿıЖ日本ー々。、「カ한국ไทย„“–—… \u00a0\u200c½ªµº！Ａｚ～｡漢\U00020001🙂܀ᄀကႠჀខⰀ٠\u2c00€→")
+    texts = ["".join(rng.choice(marks, int(n))) for n in rng.integers(0, 40, 400)]
+    data, offsets = N.text_parts(pa.array(texts))
+    h, start, end, counts = N.word_table(data, offsets)
+    raw = data.tobytes()
+    got = [raw[s:e].decode() for s, e in zip(start, end)]
+    edge = np.concatenate([[0], np.cumsum(counts)])
+    for k, t in enumerate(texts):
+        assert [w for x in got[edge[k] : edge[k + 1]] for w in words(x)] == words(t) and counts[k] == len(words(t)), t
+
+
+def test_texts_without_spaces_have_near_copies(spark):
+    base = "日本語の文章は単語の間に空白を置かないので文字ごとに分けて比べる必要がある。これは長い例文です、よく似た写しがあります"
+    rows = [(1, base), (2, base.replace("例文", "文例")), (3, "全く別の話をするもう一つの文章で共通する部分はほとんどありません本当に")]
+    assert {r.doc_id: r.group_id for r in N.near_duplicates(frame(spark, rows)).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def plain_superminhash(elements, size):
     """One element after another, with its own shuffle of the positions."""
     best = [None] * size
@@ -169,4 +193,41 @@ def test_edges(spark):
     assert out == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5, 7: 7, 8: 7, 9: 9, 10: 9}
     docs = spark.createDataFrame([(1, "one two three four", "k"), (1, "one two three four", "k"), (2, "one two three four", "l"), (None, "one two three four", "m")], "doc_id bigint, text string, group_id string")
     kept = N.dedup(docs)
-    assert kept.columns == docs.columns and sorted(str(r.group_id) for r in kept.collect()) == ["k", "k", "m"]
+    assert kept.columns == docs.columns and sorted(str(r.group_id) for r in kept.collect()) == ["k", "m"]
+
+
+def test_large_buckets_are_compared_whole(spark):
+    """Parts of a few texts each, and texts that only a chain of links joins: groups are those of one part."""
+    rng = np.random.default_rng(8)
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows = [(i, shared + " " + " ".join(f"t{i // 3}x{j}" for j in range(int(rng.integers(5, 90))))) for i in range(150)]
+    rows += [(1000 + i, t) for i, t in corpus(rng, 30)]
+    want = {r.doc_id: r.group_id for r in N.near_duplicates(frame(spark, rows)).collect()}
+    assert len({g for i, g in want.items() if i < 150}) > 1
+    got = {r.doc_id: r.group_id for r in N.near_duplicates(frame(spark, rows), bucket=4).collect()}
+    assert got == want
+
+
+def test_buckets_in_pieces(monkeypatch):
+    monkeypatch.setattr(N, "_HELD", 10)
+    rng = np.random.default_rng(1)
+    keys = np.sort(rng.integers(0, 12, 300))
+    texts = np.arange(300)
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[s : s + 7]), pa.array(texts[s : s + 7])], names=["key", "text"]) for s in range(0, 300, 7)]
+    got = {}
+    for b in N._buckets(iter(batches)):
+        for bucket, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            got.setdefault(bucket, set()).add(text)
+    # every text is in the bucket of its key, whole or under the name of the key
+    assert set().union(*got.values()) == set(range(300))
+    assert all(len({keys[t] for t in own}) == 1 for own in got.values())
+
+
+def test_ids_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b + " more"), (4, c), (5, c + " more"), (5, None), (6, "none of them at all")]
+    got = {r.doc_id: r.group_id for r in N.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
+    docs = spark.createDataFrame([(1, "x", a), (1, "x", a), (1, "x", b), (2, "y", None), (2, "y", None), (None, "z", a), (None, "z", a)], ["doc_id", "a.b", "text"])
+    kept = N.dedup(docs)
+    assert kept.columns == docs.columns and sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(map(str, [(1, "x", a), (2, "y", None), (None, "z", a), (None, "z", a)]))
