@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import chat, disclosure, knn_join, langid, neardup, packing, quality, sentencepiece_codec, tiff, tokenbin
-from lodestone.llm.common import new_folder
+from lodestone.llm.common import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = new_folder(spark, "tokens")
+    folder = shared_folder(spark, "tokens")
     rows = tokenbin.write(_table(spark, sf_dir, "documents"), folder, sentencepiece_codec.read_model())
     return tokenbin.read_back(rows, folder)
 
