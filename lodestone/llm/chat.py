@@ -9,10 +9,11 @@ many as the tokenizer gives. Each turn is ``<|role|>\\ncontent<|end|>\\n``, whos
 Placeholders and turn marks that stand in a text are escaped (``<|`` becomes ``<\\u200b|``), so none can be forged.
 
 Turns of a conversation are brought together by one shuffle and streamed in order; only one conversation is held at a
-time. Defined cases: a null conversation id is a conversation of its own; a null turn comes first; equal turns are
+time. Defined cases: each row with a null conversation id is a conversation of its own; a null turn comes first; equal turns are
 ordered by role, then content; a null role is ``unknown``; null or empty content gives an empty turn; null parts are
 left out and a part of another type is a placeholder of its type's name; negative or null measures count as 0; rows
-that repeat are kept; other columns aren't read; an empty table gives no rows.
+that repeat are kept; other columns aren't read; an empty table gives no rows. A conversation's text is one value of one
+row, so a conversation has to fit a task; rows without an id aren't shuffled.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import column
 from lodestone.llm.sentencepiece_codec import codec
 
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
@@ -37,6 +39,7 @@ class Visitor:
     def __init__(self) -> None:
         self.out: list[str] = []
         self.length = 0
+        self.last = ""
         self.numbers: dict[str, int] = {}
         self.attachments: list[dict] = []
         self.texts: list[str] = []
@@ -44,8 +47,10 @@ class Visitor:
         self.turns = 0
 
     def put(self, text: str) -> None:
-        self.out.append(text)
-        self.length += len(text)
+        if text:
+            self.out.append(text)
+            self.length += len(text)
+            self.last = text[-1]
 
     def turn(self, role: str | None, parts: list[dict | None] | None) -> None:
         self.put(f"<|{(role or 'unknown').replace('|', '')}|>\n")
@@ -59,8 +64,9 @@ class Visitor:
 
     def visit_text(self, part: dict) -> None:
         text = part["text"] or ""
-        if "<|" in text:
-            text = text.replace("<|", "<​|")
+        if self.last == "<" and text[:1] == "|":
+            text = "\u200b" + text
+        text = text.replace("<|", "<\u200b|")
         self.texts.append(text)
         self.put(text)
 
@@ -109,7 +115,7 @@ def format_chats(turns: DataFrame, model: bytes, conv_col: str = "conv_id", turn
 
         for b in batches:
             for conv, role, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if visitor is None or conv != now:
+                if visitor is None or conv is None or conv != now:
                     if visitor is not None:
                         ready.append((now, visitor))
                     visitor, now = Visitor(), conv
@@ -121,9 +127,10 @@ def format_chats(turns: DataFrame, model: bytes, conv_col: str = "conv_id", turn
         if ready:
             yield close()
 
-    source = turns.select(F.col(conv_col).cast("bigint").alias("conv"), F.col(turn_col).cast("bigint").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(parts_col).cast(f"array<{PART}>").alias("parts"))
-    ordered = source.repartition("conv").sortWithinPartitions("conv", "turn", "role", F.to_json("parts"))
-    return ordered.select("conv", "role", "parts").mapInArrow(run, OUT)
+    source = turns.select(column(conv_col).cast("bigint").alias("conv"), column(turn_col).cast("bigint").alias("turn"), column(role_col).cast("string").alias("role"), column(parts_col).cast(f"array<{PART}>").alias("parts"))
+    columns = ("conv", "role", "parts")
+    ordered = source.where("conv is not null").repartition("conv").sortWithinPartitions("conv", "turn", "role", F.to_json("parts"))
+    return ordered.select(*columns).union(source.where("conv is null").select(*columns)).mapInArrow(run, OUT)
 
 
 def text_part(text) -> F.Column:
@@ -139,7 +146,7 @@ def other_part(kind: str, ref, width=None, height=None, seconds=None, pages=None
 def transcript(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, text, n_turns) of conversations of text alone, by Spark's own operators."""
     role = F.regexp_replace(F.coalesce(F.nullif(role_col, F.lit("")), F.lit("unknown")), r"\|", "")
-    body = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"<\|", "<​|")
+    body = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"<\|", "<\u200b|")
     line = F.concat(F.lit("<|"), role, F.lit("|>\n"), body, F.lit("<|end|>\n"))
     rows = F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(turn_col), F.lit(-(1 << 62))).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), line.alias("line"))))
     grouped = turns.groupBy(F.col(conv_col).alias("conv_id")).agg(rows.alias("rows"))
