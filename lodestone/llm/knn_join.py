@@ -5,18 +5,23 @@ distance of a query to the pivot, and the ``k`` least distances of data to the p
 ``i`` of queries, a bound ``theta`` on the distance of its queries' k-th neighbour (``U_i + |p_i p_j| + |p_j s|`` for
 the nearest data), and from that the data that can matter: ``s`` of cell ``j`` only if
 ``|p_j s| >= |p_i p_j| - U_i - theta_i``. Cells are put together into groups of about ``GROUP`` queries (a cell with
-more is cut), data are replicated to the groups that need them, and each group is solved by itself in blocks.
+more is cut), data are replicated to the groups that need them, and each group is solved by itself in blocks. A group
+that needs more than ``PART`` data is cut by a hash of the data, its queries go to every part, and the best of the parts
+are brought together; so no task takes a group of any size, and a few queries don't bring all data to one task.
 
-Blocks are sifted in single precision with a margin for its error, and what passes is measured in double precision in
-the order of the components, so results are those of comparing all pairs. Neighbours are ordered by distance, then id.
+Blocks are sifted in single precision with a margin for its error, scaled so that it can't overflow, and what passes is
+measured in double precision in the order of the components, so results are those of comparing all pairs. Neighbours
+are ordered by distance, then id.
 
 Pivots come from a bounded sample, which decides how much is pruned and nothing else. Their number grows with the
-square root of the table up to ``PIVOTS``, as the summaries and the pairs of cells are handled on the driver.
-
-Defined cases: rows with a null id or vector, without components, with a null, infinite or NaN component, or of
-another dimension than most rows have (the larger of equals) are neither queries nor data; an id that occurs in several rows is its
-least vector; a row isn't its own neighbour; fewer than ``k`` others give all of them; other columns aren't read; an
-empty table gives no rows.
+square root of the data up to ``PIVOTS``, as the summaries (formed by the executors) and the pairs of cells are handled
+on the driver.
+
+Defined cases: rows with a null id or vector, without components, with a null or NaN component or one over ``HUGE`` (its
+square would be infinite), or of another dimension than most rows of the data have (the larger of equals) are neither
+queries nor data; an id that occurs in several rows is its least vector; in a join of a table with itself a row isn't its
+own neighbour, in one of two tables equal ids mean nothing unless ``exclude_self`` says so; fewer than ``k`` others give
+all of them; other columns aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,15 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lodestone.llm.common import materialize
+from lodestone.llm.common import Scratch, column
 
 K = 10
 PIVOTS = 1024
 GROUP = 4096
+PART = 1 << 16
 BLOCK = 1024
+HUGE = 1e150
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -41,15 +49,19 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return np.asarray(flat, np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def clean(df: DataFrame, id_col: str, vec_col: str, dim: int | None = None) -> DataFrame:
-    """(id, vec) of the rows that count."""
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    good = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+def clean(df: DataFrame, id_col: str, vec_col: str, dim: int | None = None) -> tuple[DataFrame, int]:
+    """(id, vec) of the rows that count, and their dimension. Vectors of floats stay so."""
+    kind = df.select(column(vec_col)).dtypes[0][1]
+    rows = df.select(column(id_col).cast("bigint").alias("id"), column(vec_col).cast(kind if kind == "array<float>" else "array<double>").alias("vec"))
+    good = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= HUGE))
     rows = rows.where(F.col("id").isNotNull() & (F.size("vec") > 0) & good)
     if dim is None:
         most = rows.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
         dim = most["dim"] if most else 1
-    return rows.where(F.size("vec") == dim).groupBy("id").agg(F.min("vec").alias("vec"))
+    rows = rows.where(F.size("vec") == dim)
+    if rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # only ids are shuffled for this
+        return rows, dim
+    return rows.groupBy("id").agg(F.min("vec").alias("vec")), dim
 
 
 def _assign(pivots: np.ndarray):
@@ -60,9 +72,10 @@ def _assign(pivots: np.ndarray):
             cell, far = np.zeros(len(vec), np.int32), np.zeros(len(vec))
             for low in range(0, len(vec), BLOCK):
                 own = vec[low : low + BLOCK]
-                best = (norms[None, :] - 2 * own @ pivots.T).argmin(axis=1)
+                with np.errstate(over="ignore", invalid="ignore"):  # any cell will do, as long as the distance is right
+                    best = (norms[None, :] - 2 * own @ pivots.T).argmin(axis=1)
+                    far[low : low + BLOCK] = np.sqrt(((own - pivots[best]) ** 2).sum(axis=1))
                 cell[low : low + BLOCK] = best
-                far[low : low + BLOCK] = np.sqrt(((own - pivots[best]) ** 2).sum(axis=1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell), pa.array(far)], names=["id", "vec", "cell", "far"])
 
     return run
@@ -84,7 +97,8 @@ def bounds(pivots: np.ndarray, queries: list[tuple[int, int, float]], nearest: l
         upper = largest + apart[owner] + close
         theta[i] = float(np.partition(upper, k - 1)[k - 1]) if len(upper) >= k else float("inf")
         slack = 1e-9 * (1 + largest + apart)  # for rounding
-        least[i] = dict(zip(cells.tolist(), (apart - largest - theta[i] - slack).tolist()))
+        bound = apart - largest - theta[i] - slack
+        least[i] = dict(zip(cells.tolist(), np.where(np.isnan(bound), -np.inf, bound).tolist()))
     return theta, least
 
 
@@ -111,47 +125,63 @@ def group_cells(pivots: np.ndarray, queries: list[tuple[int, int, float]], most:
 
 
 class _Best:
-    """The ``k`` nearest so far of a block of queries."""
+    """The ``k`` nearest so far of a block of queries, none farther than ``bound``."""
 
-    def __init__(self, ids: np.ndarray, vec: np.ndarray, k: int):
-        self.ids, self.vec, self.k = ids, vec, k
-        self.single = vec.astype(np.float32)
-        self.square = (self.single**2).sum(axis=1)
-        self.kth = np.full(len(ids), np.inf)
+    def __init__(self, ids: np.ndarray, vec: np.ndarray, k: int, bound: np.ndarray, exclude_self: bool):
+        self.ids, self.vec, self.k, self.exclude_self = ids, vec, k, exclude_self
+        self.most = float(np.abs(vec).max(initial=0))
+        self.unit, self.single, self.square = 0.0, vec, vec
+        self.kth = bound * (1 + 1e-9)
         self.row, self.id, self.dist = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
     def add(self, ids: np.ndarray, vec: np.ndarray) -> None:
-        single = vec.astype(np.float32)
+        most = max(self.most, float(np.abs(vec).max(initial=0)), 1e-300)
+        unit = 2.0 ** np.ceil(np.log2(most))  # components are at most 1 then
+        if unit != self.unit:
+            self.unit, self.single = unit, (self.vec / unit).astype(np.float32)
+            self.square = (self.single**2).sum(axis=1)
+        single = (vec / unit).astype(np.float32)
         square = (single**2).sum(axis=1)
-        rough = self.square[:, None] + square[None, :] - 2 * (self.single @ single.T)
-        margin = 1e-4 * (1 + self.square + square.max(initial=0))
-        limit = self.kth**2
-        if not np.isfinite(limit).all():  # the block's own k nearest are bound enough
-            if rough.shape[1] > self.k + 1:
-                limit = np.minimum(limit, np.partition(rough, self.k, axis=1)[:, self.k] + 2 * margin)
+        for low in range(0, len(self.ids), 512):
+            self._add(ids, vec, single, square, low, min(len(self.ids), low + 512))
+
+    def _add(self, ids: np.ndarray, vec: np.ndarray, single: np.ndarray, square: np.ndarray, low: int, high: int) -> None:
+        rough = self.square[low:high, None] + square[None, :] - 2 * (self.single[low:high] @ single.T)
+        margin = 1e-4 * (1e-30 + self.square[low:high] + square.max(initial=0))
+        limit = (self.kth[low:high] / self.unit) ** 2
+        if not np.isfinite(limit).all() and rough.shape[1] > self.k + 1:  # the block's own k nearest are bound enough
+            limit = np.fmin(limit, np.partition(rough, self.k, axis=1)[:, self.k] + 2 * margin)
         q, d = np.nonzero(rough <= (limit + margin)[:, None])
-        other = self.ids[q] != ids[d]
-        q, d = q[other], d[other]
+        q += low
+        if self.exclude_self:
+            other = self.ids[q] != ids[d]
+            q, d = q[other], d[other]
+        if not len(q):
+            return
         exact = np.zeros(len(q))
-        for low in range(0, len(q), 1 << 15):
-            part = slice(low, low + (1 << 15))
+        for at in range(0, len(q), 1 << 15):
+            part = slice(at, at + (1 << 15))
             # one component after the other, as a plain loop would
             exact[part] = np.sqrt(np.add.accumulate((self.vec[q[part]] - vec[d[part]]) ** 2, axis=1)[:, -1])
-        row, near, dist = np.concatenate([self.row, q]), np.concatenate([self.id, ids[d]]), np.concatenate([self.dist, exact])
+        near = exact <= self.kth[q]
+        q, d, exact = q[near], d[near], exact[near]
+        first, last = np.searchsorted(self.row, [low, high])
+        row, near, dist = np.concatenate([self.row[first:last], q]), np.concatenate([self.id[first:last], ids[d]]), np.concatenate([self.dist[first:last], exact])
         order = np.lexsort((near, dist, row))
         row, near, dist = row[order], near[order], dist[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
         keep = place < self.k
-        self.row, self.id, self.dist = row[keep], near[keep], dist[keep]
-        last = place == self.k - 1
-        self.kth[row[last]] = dist[last]
+        self.row, self.id, self.dist = (np.concatenate([old[:first], new[keep], old[last:]]) for old, new in ((self.row, row), (self.id, near), (self.dist, dist)))
+        full = place == self.k - 1
+        self.kth[row[full]] = np.minimum(self.kth[row[full]], dist[full])
 
 
-def _solve(k: int):
+def _solve(k: int, exclude_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: int | None = None
         ids: list[np.ndarray] = []
         vecs: list[np.ndarray] = []
+        limits: list[np.ndarray] = []
         best: _Best | None = None
 
         def close() -> Iterator[pa.RecordBatch]:
@@ -165,17 +195,18 @@ def _solve(k: int):
             groups, kinds = b.column(0).to_numpy(), b.column(1).to_numpy()
             code = groups.astype(np.int64) * 2 + kinds
             edge = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
-            own_ids, own = b.column(2).to_numpy(), _vectors(b.column(3))
+            own_ids, own, limit = b.column(2).to_numpy(), _vectors(b.column(3)), b.column(4).to_numpy()
             for low, high in zip(edge, edge[1:]):
                 if groups[low] != group:
                     yield from close()
-                    group, ids, vecs, best = int(groups[low]), [], [], None
+                    group, ids, vecs, limits, best = int(groups[low]), [], [], [], None
                 if kinds[low] == 0:
                     ids.append(own_ids[low:high])
                     vecs.append(own[low:high])
+                    limits.append(limit[low:high])
                 elif ids:
                     if best is None:
-                        best = _Best(np.concatenate(ids), np.concatenate(vecs), k)
+                        best = _Best(np.concatenate(ids), np.concatenate(vecs), k, np.concatenate(limits), exclude_self)
                     for at in range(low, high, BLOCK):
                         best.add(own_ids[at : min(high, at + BLOCK)], own[at : min(high, at + BLOCK)])
         yield from close()
@@ -183,52 +214,72 @@ def _solve(k: int):
     return run
 
 
-def knn_join(queries: DataFrame, data: DataFrame | None = None, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, group: int = GROUP) -> DataFrame:
+def knn_join(queries: DataFrame, data: DataFrame | None = None, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, group: int = GROUP, part: int = PART, exclude_self: bool | None = None) -> DataFrame:
     """(query_id, id, rank, distance): the ``k`` nearest rows of ``data`` (or of ``queries`` itself) to every query by Euclidean distance."""
     if k < 1:
         raise ValueError("k must be positive")
-    spark = queries.sparkSession
+    spark, scratch = queries.sparkSession, Scratch()
+    exclude_self = data is None if exclude_self is None else exclude_self
     out = "query_id bigint, id bigint, rank int, distance double"
-    left = materialize(clean(queries, id_col, vec_col), "queries")
-    total = left.count()
-    if not total:
-        return spark.createDataFrame([], out)
-    dim = left.select(F.size("vec")).first()[0]
-    right = left if data is None else materialize(clean(data, id_col, vec_col, dim), "data")
-    want = max(1, min(pivots, int(total**0.5)))
+    right, dim = clean(queries if data is None else data, id_col, vec_col)
     # bounded by PIVOTS; which rows are taken changes the work alone
-    taken = left.select("vec").orderBy(F.xxhash64("id"), "id").limit(want).collect()
-    points = np.unique(np.array([r.vec for r in taken]), axis=0)
-    kind = "id bigint, vec array<double>, cell int, far double"
-    assigned = materialize(left.mapInArrow(_assign(points), kind), "query-cells")
-    against = assigned if data is None else materialize(right.mapInArrow(_assign(points), kind), "data-cells")
-    query_cells = [(r.cell, r.n, r.far) for r in assigned.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()]
-    # a query that is among the data may be its own nearest, so one more is needed
-    near = against.select("cell", "far").mapInArrow(_least(k + 1), "cell int, far double")
+    taken = right.select("vec", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(max(1, min(pivots, int(right.count() ** 0.5)))).collect()
+    if not taken:
+        return spark.createDataFrame([], out)
+    points = np.unique(np.array([r.vec for r in taken], np.float64), axis=0)
+    assigned = {}
+    for name, rows in (("data", right), ("queries", right if data is None else clean(queries, id_col, vec_col, dim)[0])):
+        if name == "queries" and data is None:
+            assigned[name] = assigned["data"]
+            continue
+        kind = f"id bigint, vec {rows.dtypes[1][1]}, cell int, far double"
+        assigned[name] = scratch.keep(rows.mapInArrow(_assign(points), kind), f"{name}-cells")
+    asked, against = assigned["queries"], assigned["data"]
+    query_cells = [(r.cell, r.n, r.far) for r in asked.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()]
+    if not query_cells:
+        return spark.createDataFrame([], out)
+    number = {i: n for i, n, _ in query_cells}
+    rows_of = {r.cell: r.n for r in against.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    # a query that is among the data may be its own nearest, so one more is needed; tasks give theirs, then cells
+    want, kind = k + exclude_self, "cell int, far double"
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near = against.select("cell", "far").mapInArrow(_least(want), kind).repartition(tasks, "cell").mapInArrow(_least(want), kind)
     found: dict[int, list[float]] = {}
-    for r in near.collect():  # k + 1 for each cell and task
+    for r in near.collect():  # at most ``want`` for each of PIVOTS cells
         found.setdefault(r.cell, []).append(r.far)
-    _, least = bounds(points, query_cells, [(j, sorted(x)[: k + 1]) for j, x in sorted(found.items())], k + 1)
-    number = {i: n for i, n, _ in query_cells}
-    to_group, needed, next_group = [], [], 0
+    theta, least = bounds(points, query_cells, [(j, sorted(x)) for j, x in sorted(found.items())], want)
+    homes: list[tuple] = []
+    needed: list[tuple] = []
+    total, cut = 0, False
     for cells in group_cells(points, query_cells, group):
-        parts = -(-sum(number[i] for i in cells) // group)
-        to_group += [(i, next_group, parts) for i in cells]
         wanted: dict[int, float] = {}
         for i in cells:
             for j, x in least.get(i, {}).items():
                 wanted[j] = min(wanted.get(j, float("inf")), x)
-        needed += [(j, next_group, parts, x) for j, x in wanted.items()]
-        next_group += parts
+        across, down = -(-sum(number[i] for i in cells) // group), -(-sum(rows_of[j] for j in wanted) // part)
+        homes += [(i, total, across, down, theta.get(i, float("inf"))) for i in cells]
+        needed += [(j, total, across, down, x) for j, x in wanted.items()]
+        total, cut = total + across * down, cut or down > 1
     # at most PIVOTS rows, and their square, whatever the tables' size; Spark broadcasts them only if they are small
-    homes = spark.createDataFrame(to_group, "cell int, base int, parts int")
-    pairs = spark.createDataFrame(needed, "cell int, base int, parts int, least double")
-    own = assigned.join(homes, "cell").select((F.col("base") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("grp"), F.lit(0).alias("kind"), "id", "vec", F.lit(0.0).alias("far"))
-    to = F.explode(F.sequence("base", F.col("base") + F.col("parts") - 1)).alias("grp")
-    sent = against.join(pairs, "cell").where("far >= least").select(to, F.lit(1).alias("kind"), "id", "vec", "far")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = own.union(sent).repartition(max(1, min(next_group, 64 * parts)), "grp").sortWithinPartitions("grp", "kind")
-    return both.select("grp", "kind", "id", "vec").mapInArrow(_solve(k), out)
+    shape = ["cell", "base", "across", "down"]
+    home, pair = (_small(spark, [*shape, last], rows) for last, rows in (("theta", homes), ("least", needed)))
+    column_of, row_of = (F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(n)).cast("int") for seed, n in ((1, "across"), (2, "down")))
+    own = asked.join(home, "cell").withColumn("at", column_of)
+    own = own.select(F.explode(F.expr("transform(sequence(0, down - 1), d -> base + at * down + d)")).alias("grp"), F.lit(0).alias("kind"), "id", "vec", "theta")
+    sent = against.join(pair, "cell").where("far >= least").withColumn("at", row_of)
+    sent = sent.select(F.explode(F.expr("transform(sequence(0, across - 1), a -> base + a * down + at)")).alias("grp"), F.lit(1).alias("kind"), "id", "vec", F.lit(0.0).alias("theta"))
+    both = own.union(sent).repartition(max(1, min(total, 64 * tasks)), "grp").sortWithinPartitions("grp", "kind")
+    solved = both.mapInArrow(_solve(k, exclude_self), out)
+    if cut:  # the best of all parts of a group
+        w = Window.partitionBy("query_id").orderBy("distance", "id")
+        solved = solved.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scratch.finish(solved, "neighbours")
+
+
+def _small(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
+    columns = list(zip(*rows)) or [[]] * len(names)
+    kinds = [pa.int32()] * (len(names) - 1) + [pa.float64()]
+    return spark.createDataFrame(pa.table({n: pa.array(c, kind) for n, c, kind in zip(names, columns, kinds)}))
 
 
 def _least(k: int):

@@ -9,11 +9,11 @@ def frame(spark, m, ids=None):
     return spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(ids, m)], "vec_id bigint, embedding array<float>")
 
 
-def brute(q, q_ids, m, ids, k):
+def brute(q, q_ids, m, ids, k, exclude=True):
     out = {}
     for i, v in zip(q_ids, q):
         d = np.sqrt(np.add.accumulate((m.astype(float) - v.astype(float)) ** 2, axis=1)[:, -1])
-        order = [j for j in np.lexsort((ids, d)) if ids[j] != i][:k]
+        order = [j for j in np.lexsort((ids, d)) if not exclude or ids[j] != i][:k]
         out[int(i)] = [(int(ids[j]), d[j]) for j in order]
     return out
 
@@ -26,8 +26,8 @@ def result(df):
 
 
 @pytest.mark.parametrize("kind", ["spread", "clusters", "ties"])
-@pytest.mark.parametrize("group", [4096, 40])
-def test_self_join_is_exact(spark, kind, group):
+@pytest.mark.parametrize("group,part", [(4096, 1 << 16), (40, 1 << 16), (60, 90)])
+def test_self_join_is_exact(spark, kind, group, part):
     rng = np.random.default_rng(3)
     m = rng.standard_normal((500, 12)).astype(np.float32)
     if kind == "clusters":
@@ -35,7 +35,7 @@ def test_self_join_is_exact(spark, kind, group):
     if kind == "ties":
         m = rng.integers(0, 2, (500, 4)).astype(np.float32)
     ids = rng.permutation(500) * 3
-    got = result(K.knn_join(frame(spark, m, ids), k=7, group=group))
+    got = result(K.knn_join(frame(spark, m, ids), k=7, group=group, part=part))
     assert got == brute(m, ids, m, ids, 7)
 
 
@@ -43,7 +43,30 @@ def test_two_tables(spark):
     rng = np.random.default_rng(4)
     q, m = rng.standard_normal((90, 6)).astype(np.float32), rng.standard_normal((300, 6)).astype(np.float32)
     got = result(K.knn_join(frame(spark, q, range(1000, 1090)), frame(spark, m), k=5, group=16))
-    assert got == brute(q, np.arange(1000, 1090), m, np.arange(300), 5)
+    assert got == brute(q, np.arange(1000, 1090), m, np.arange(300), 5, False)
+
+
+def test_two_tables_with_equal_ids(spark):
+    """Equal ids are other rows, unless the queries are said to be among the data."""
+    rng = np.random.default_rng(9)
+    m = rng.standard_normal((200, 5)).astype(np.float32)
+    q = m[::10] + np.float32(0.001)
+    got = result(K.knn_join(frame(spark, q), frame(spark, m), k=4, part=64))
+    assert got == brute(q, np.arange(20), m, np.arange(200), 4, False) and got[3][0][0] == 30
+    asked = frame(spark, m[::10], range(0, 200, 10))
+    assert result(K.knn_join(asked, frame(spark, m), k=4, exclude_self=True)) == brute(m[::10], np.arange(0, 200, 10), m, np.arange(200), 4)
+
+
+@pytest.mark.parametrize("scale", [1e20, 1e-25, 1e140])
+def test_components_of_any_size(spark, scale):
+    rng = np.random.default_rng(10)
+    m = rng.standard_normal((60, 4)) * scale
+    m[::3] /= 1e12
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id bigint, embedding array<double>")
+    ids = np.arange(60)
+    assert result(K.knn_join(df, k=3, group=20, part=25)) == brute(m, ids, m, ids, 3)
+    three = spark.createDataFrame([(1, [1e20, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0])], "vec_id bigint, embedding array<float>")
+    assert {i: x[0][0] for i, x in result(K.knn_join(three, k=1)).items()} == {1: 2, 2: 3, 3: 2}  # equally far from 1: by id
 
 
 def test_bounds_prune_but_never_too_much():
@@ -73,6 +96,7 @@ def test_groups_hold_every_cell_once():
 
 def test_edges(spark):
     rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (2, [0.5, 0.0]), (3, None), (None, [1.0, 1.0]), (4, [1.0]), (5, [float("nan"), 0.0]), (6, [float("inf"), 0.0]), (7, []), (8, [None, 1.0]), (9, [5.0, 5.0])]
+    assert K.clean(spark.createDataFrame([(1, [1e200]), (2, [1.0])], "vec_id bigint, embedding array<double>"), "vec_id", "embedding")[0].count() == 1
     df = spark.createDataFrame([(*r, 3) for r in rows], "vec_id bigint, embedding array<float>, cell int")
     got = result(K.knn_join(df, k=10))
     assert {i: [j for j, _ in x] for i, x in got.items()} == {1: [2, 9], 2: [1, 9], 9: [2, 1]}
