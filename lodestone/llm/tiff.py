@@ -6,8 +6,8 @@ interleaved and edges of tiles cut. Samples of 1, 2 or 4 bits become bytes of th
 
 Defined cases: a null, empty or broken file gives one row with ``page`` -1 and the fault in ``error``; a page that
 can't be decoded gives its row with null ``pixels`` and the fault, and the other pages are still read; a directory
-that points back to an earlier one ends the chain; a page that would take over ``MOST`` bytes is such a fault; rows
-with equal or null ids are kept as they are; other columns aren't read; an empty table gives no rows.
+that points back to an earlier one ends the chain; a page of over ``VALUE`` bytes, more than one value of a row can
+hold, is such a fault, and ``read_parts`` gives it strip by strip or tile by tile; rows with equal or null ids are kept as they are; other columns aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,13 +15,16 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-MOST = 1 << 30
+from lodestone.llm.common import column
+
+#: Bytes that a binary value can have in Arrow and in the JVM.
+VALUE = (1 << 31) - (1 << 16)
 OUT = "image_id bigint, page int, width int, height int, samples int, bits int, compression string, predictor int, n_bytes bigint, pixels binary, error string"
 NAMES = {1: "none", 5: "lzw", 8: "deflate", 32946: "deflate", 32773: "packbits"}
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8, 18: 8}
@@ -197,46 +200,89 @@ def _segment(raw: bytes, compression: int, predictor: int, rows: int, columns: i
     return np.cumsum(values, axis=1, dtype=f"<u{width}") if predictor == 2 else values
 
 
-def page(raw: bytes, tags: dict[int, list[int]]) -> np.ndarray:
-    """(height, width, samples) of one directory."""
+@dataclass(frozen=True)
+class Layout:
+    """How the samples of a page lie in its file."""
+
+    width: int
+    height: int
+    samples: int
+    bits: int
+    compression: int
+    predictor: int
+    planar: int
+    wide: int
+    tall: int
+    tiled: bool
+    offsets: list[int]
+    counts: list[int]
+
+    @property
+    def size(self) -> int:
+        return self.width * self.height * self.samples * max(1, self.bits // 8)
+
+
+def layout(tags: dict[int, list[int]]) -> Layout:
     one = lambda tag, default: tags.get(tag, [default])[0] if tags.get(tag, [default]) else default
     width, height, samples = one(256, 0), one(257, 0), one(277, 1)
-    widths = tags.get(258, [1])
-    bits, compression, predictor, planar = widths[0], one(259, 1), one(317, 1), one(284, 1)
+    widths = tags.get(258, [1]) or [1]
+    bits, predictor, planar = widths[0], one(317, 1), one(284, 1)
     if width <= 0 or height <= 0 or samples <= 0:
         raise Broken("no size")
     if any(b != bits for b in widths) or bits not in (1, 2, 4, 8, 16, 32, 64):
         raise Broken(f"bits {widths} aren't supported")
-    if width * height * samples * max(1, bits // 8) > MOST:
-        raise Broken("page too large")
     if one(266, 1) != 1:
         raise Broken("fill order isn't supported")
     if predictor not in (1, 2, 3) or predictor == 2 and bits < 8 or predictor == 3 and bits < 16:
         raise Broken(f"predictor {predictor} isn't supported")
     if 322 in tags:
         tall, wide, offsets, counts = one(323, 0), one(322, 0), tags.get(324, []), tags.get(325, [])
-        if tall <= 0 or wide <= 0 or tall * wide * samples * max(1, bits // 8) > MOST:
+        if tall <= 0 or wide <= 0:
             raise Broken("tile size")
     else:
         tall, wide, offsets, counts = min(one(278, height) or height, height), width, tags.get(273, []), tags.get(279, [])
-    across, down, planes = -(-width // wide), -(-height // tall), samples if planar == 2 else 1
-    if len(offsets) < across * down * planes or len(counts) < across * down * planes:
+    parts = -(-width // wide) * -(-height // tall) * (samples if planar == 2 else 1)
+    if len(offsets) < parts or len(counts) < parts:
         raise Broken("too few strips or tiles")
-    each = 1 if planar == 2 else samples
-    out = np.zeros((height, width, samples), f"<u{max(1, bits // 8)}")
+    return Layout(width, height, samples, bits, one(259, 1), predictor, planar, wide, tall, 322 in tags, offsets, counts)
+
+
+def parts(raw: bytes, tags: dict[int, list[int]], lay: Layout) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(plane, y, x, samples) of each strip or tile, edges cut; one is decoded at a time."""
+    across, down, planes = -(-lay.width // lay.wide), -(-lay.height // lay.tall), lay.samples if lay.planar == 2 else 1
+    each = 1 if lay.planar == 2 else lay.samples
     for k in range(across * down * planes):
         plane, cell = divmod(k, across * down)
         y, x = divmod(cell, across)
-        y, x = y * tall, x * wide
-        rows = tall if 322 in tags else min(tall, height - y)
-        if offsets[k] + counts[k] > len(raw):
+        y, x = y * lay.tall, x * lay.wide
+        rows = lay.tall if lay.tiled else min(lay.tall, lay.height - y)
+        if lay.offsets[k] + lay.counts[k] > len(raw):
             raise Broken("strip or tile beyond the end")
-        part = _segment(raw[offsets[k] : offsets[k] + counts[k]], compression, predictor, rows, wide, each, bits, bool(tags[-1][0]))
-        part = part[: height - y, : width - x]
-        out[y : y + part.shape[0], x : x + part.shape[1], plane * each : plane * each + each if planar == 2 else samples] = part
+        if rows * lay.wide * each * max(1, lay.bits // 8) > VALUE:
+            raise Broken("strip or tile too large for a value")
+        own = _segment(raw[lay.offsets[k] : lay.offsets[k] + lay.counts[k]], lay.compression, lay.predictor, rows, lay.wide, each, lay.bits, bool(tags[-1][0]))
+        yield plane, y, x, own[: lay.height - y, : lay.width - x]
+
+
+def page(raw: bytes, tags: dict[int, list[int]]) -> np.ndarray:
+    """(height, width, samples) of one directory."""
+    lay = layout(tags)
+    if lay.size > VALUE:
+        raise Broken(f"page of {lay.size} bytes is too large for a value")
+    out = None
+    for plane, y, x, own in parts(raw, tags, lay):
+        if own.shape == (lay.height, lay.width, lay.samples):  # the whole page in one
+            return own
+        if out is None:  # what can't be decoded takes no memory
+            out = np.zeros((lay.height, lay.width, lay.samples), f"<u{max(1, lay.bits // 8)}")
+        out[y : y + own.shape[0], x : x + own.shape[1], slice(plane, plane + 1) if lay.planar == 2 else slice(None)] = own
     return out
 
 
+def _bytes(pixels: np.ndarray) -> memoryview:
+    return memoryview(np.ascontiguousarray(pixels)).cast("B")
+
+
 def pages(raw: bytes | None) -> Iterator[tuple]:
     """(page, width, height, samples, bits, compression, predictor, pixels or None, error or None) of each page."""
     nothing = (0, 0, 0, 0, None, 0, None)
@@ -250,7 +296,7 @@ def pages(raw: bytes | None) -> Iterator[tuple]:
             shape = (first(256, 0), first(257, 0), first(277, 1), first(258, 1), NAMES.get(first(259, 1), str(first(259, 1))), first(317, 1))
             shape = (*(min(x, (1 << 31) - 1) for x in shape[:4]), *shape[4:])
             try:
-                yield (k, *shape, page(raw, tags).tobytes(), None)
+                yield (k, *shape, _bytes(page(raw, tags)), None)
             except Broken as e:
                 yield (k, *shape, None, str(e))
         if k < 0:
@@ -277,10 +323,52 @@ def read_pages(images: DataFrame, id_col: str = "image_id", media_col: str = "me
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    source = images.select(F.col(id_col).cast("bigint").alias("image_id"), F.col(media_col).cast("binary").alias("media"))
+    source = images.select(column(id_col).cast("bigint").alias("image_id"), column(media_col).cast("binary").alias("media"))
     return source.mapInArrow(run, OUT)
 
 
+PARTS = "image_id bigint, page int, plane int, y int, x int, height int, width int, samples int, pixels binary, error string"
+
+
+def read_parts(images: DataFrame, id_col: str = "image_id", media_col: str = "media") -> DataFrame:
+    """One row a strip or tile of each page: for pages of any size. ``plane`` counts separate planes, ``y`` and ``x`` are its place.
+
+    A page with a fault has a row with null ``pixels`` for it, after those of the strips and tiles before it.
+    """
+    kinds = [pa.int64(), *[pa.int32()] * 7, pa.binary(), pa.string()]
+    names = [x.split()[0] for x in PARTS.split(", ")]
+
+    def rows(i: int | None, raw: bytes | None) -> Iterator[tuple]:
+        k = -1
+        try:
+            for k, tags in enumerate(directories(raw or b"")):
+                try:
+                    for plane, y, x, own in parts(raw, tags, layout(tags)):
+                        yield (i, k, plane, y, x, *own.shape, _bytes(own), None)
+                except Broken as e:
+                    yield (i, k, *[None] * 7, str(e))
+            if k < 0:
+                raise Broken("no directory")
+        except (Broken, struct.error) as e:
+            yield (i, -1, *[None] * 7, "null" if raw is None else str(e))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready, size = [], 0
+        for b in batches:
+            for i, cell in zip(b.column(0).to_pylist(), b.column(1)):
+                for row in rows(i, cell.as_py()):
+                    ready.append(row)
+                    size += len(row[-2] or b"")
+                    if size > 8 << 20 or len(ready) >= 4096:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*ready), kinds)], names=names)
+                        ready, size = [], 0
+        if ready:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*ready), kinds)], names=names)
+
+    source = images.select(column(id_col).cast("bigint").alias("image_id"), column(media_col).cast("binary").alias("media"))
+    return source.mapInArrow(run, PARTS)
+
+
 def pack_bits(raw: bytes) -> bytes:
     """PackBits of ``raw``: equal neighbours of three or more as runs."""
     data = np.frombuffer(raw, np.uint8)
@@ -419,4 +507,4 @@ def scans(pages: DataFrame, id_col: str = "page_id", text_col: str = "html") ->
                     ids, out, size = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["image_id", "media"])
 
-    return pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "image_id bigint, media binary")
+    return pages.select(column(id_col).cast("bigint").alias("id"), column(text_col).cast("string").alias("text")).mapInArrow(run, "image_id bigint, media binary")

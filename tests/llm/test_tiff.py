@@ -83,6 +83,27 @@ def test_several_pages_and_faults(spark):
     assert T.read_pages(df.limit(0)).count() == 0
 
 
+def test_parts_make_up_the_pages(spark, monkeypatch):
+    a, b = image((37, 41, 3), "u2"), image((20, 33, 3), "u1", 3)
+    files = [(1, T.build([(a, 8, 2, 1), (b, 5, 1, 2)], tile=16)), (2, T.build([(b, 1, 1, 1)], rows=7)), (3, b"junk"), (4, None)]
+    df = spark.createDataFrame([(i, None if x is None else bytearray(x), 1) for i, x in files], "image_id bigint, media binary, y int")
+    whole = {(r.image_id, r.page): r for r in T.read_pages(df).collect()}
+    made = {}
+    for r in T.read_parts(df).collect():
+        if r.error:
+            assert r.page == -1 and r.image_id in (3, 4)
+            continue
+        w = whole[r.image_id, r.page]
+        own = made.setdefault((r.image_id, r.page), np.zeros((w.height, w.width, w.samples), f"<u{w.bits // 8}"))
+        part = np.frombuffer(r.pixels, own.dtype).reshape(r.height, r.width, r.samples)
+        own[r.y : r.y + r.height, r.x : r.x + r.width, r.plane : r.plane + r.samples] = part
+    assert {k: v.tobytes() for k, v in made.items()} == {k: bytes(w.pixels) for k, w in whole.items() if w.error is None} and len(made) == 3
+    # a page too large for one value has its fault there, and its parts all the same
+    monkeypatch.setattr(T, "VALUE", 2000)
+    assert [p[-1] is None for p in T.pages(files[0][1])] == [False, True]
+    assert len(list(T.parts(files[0][1], next(T.directories(files[0][1])), T.layout(next(T.directories(files[0][1])))))) == 9
+
+
 def test_random_damage_never_crashes():
     raw = T.build([(image((9, 8, 1), "u1"), c, 1, 1) for c in (1, 5, 8, 32773)])
     rng = np.random.default_rng(0)
