@@ -10,6 +10,9 @@ themselves. Each Arrow batch is cut into chunks with array operations, its disti
 (kept from batch to batch in a bounded cache) and the ids are gathered for all occurrences. Chunks of up to 32
 known characters are merged side by side, each with its agenda as a row of a matrix; the others one by one with a heap.
 
+A model that isn't of the merge type, or that changes texts otherwise (a normaliser, white space taken out, no mark before
+a text), is refused, as it would be encoded wrongly.
+
 Defined cases: a null text has null ids; the empty text has none. The mark itself in a text reads as a space.
 """
 
@@ -22,21 +25,57 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded_batches, spans, text_parts
+from lodestone.llm.common import bounded_batches, column, spans, text_parts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 CACHE = 300_000
 
 
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of the fields of a protocol buffer."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            out |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return out
+
+    while at < len(raw):
+        key = number()
+        kind = key & 7
+        if kind == 0:
+            yield key >> 3, number()
+        else:
+            size = number() if kind == 2 else {1: 8, 5: 4}[kind]
+            yield key >> 3, raw[at : at + size]
+            at += size
+
+
+def check_model(model: bytes) -> None:
+    """An error for a model that ``Codec`` doesn't encode as the library does."""
+    top = {n: dict(_fields(v)) for n, v in _fields(model) if n in (2, 3)}
+    trainer, normalizer = top.get(2, {}), top.get(3, {})
+    if trainer.get(3, 1) != 2:
+        raise ValueError("the model isn't of the merge type (BPE)")
+    if normalizer.get(2) or normalizer.get(4, 1) or not normalizer.get(3, 1) or not normalizer.get(5, 1) or trainer.get(24, 0):
+        raise ValueError("the model normalises texts: only a mark before the text and marks for spaces are supported")
+
+
 class Codec:
     """A vocabulary read from the bytes of a model file, with its agenda encoder and its decoder."""
 
     def __init__(self, model: bytes):
         import sentencepiece
 
+        check_model(model)
         p = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.library = p
         self.size = p.get_piece_size()
@@ -316,10 +355,24 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), _lists(ids, offsets, nulls), pa.array(np.diff(offsets), mask=nulls), pa.array(same, mask=nulls)], names=["doc_id", "ids", "n_tokens", "round_trip"])
 
     bounded_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(column(id_col).cast("bigint").alias("doc_id"), column(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id bigint, ids array<int>, n_tokens bigint, round_trip boolean")
 
 
+def counts(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens): how many ids ``encode`` gives each row; 0 for a null text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(model)
+        for b in batches:
+            _, offsets = c.encode(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets))], names=["doc_id", "n_tokens"])
+
+    bounded_batches(docs.sparkSession)
+    source = docs.select(column(id_col).cast("bigint").alias("doc_id"), column(text_col).cast("string").alias("text"))
+    return source.mapInArrow(run, "doc_id bigint, n_tokens bigint")
+
+
 def decode(rows: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, text) of rows of ids. Null ids give null; ids outside the vocabulary are left out; broken UTF-8 becomes U+FFFD."""
 
@@ -337,7 +390,7 @@ def decode(rows: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str =
             texts = [raw[x:y].decode("utf-8", "replace") for x, y in zip(at.tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string(), mask=nulls)], names=["doc_id", "text"])
 
-    source = rows.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    source = rows.select(column(id_col).cast("bigint").alias("doc_id"), column(ids_col).cast("array<int>").alias("ids"))
     return source.mapInArrow(run, "doc_id bigint, text string")
 
 
@@ -358,5 +411,5 @@ def library_check(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ok, pa.bool_())], names=["doc_id", "agrees"])
 
     bounded_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(column(id_col).cast("bigint").alias("doc_id"), column(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id bigint, agrees boolean")

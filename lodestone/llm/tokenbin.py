@@ -6,8 +6,11 @@ sums over the files' totals; a document's offset is its base plus its place in i
 of int64 global offsets, and a manifest lists the files that count with their bases. Files are named by partition
 and task attempt and a row names the file it lies in, so a repeated or lost task leaves nothing but an unlisted file.
 
+The folder is resolved as Spark resolves paths, and tasks write to it through pyarrow. ``Tokens`` maps local files and
+reads ranges of others.
+
 Defined cases: a null or empty text is a document of the end id alone; rows are kept as they are, repeated ids
-included; an empty table gives a manifest without files.
+included; other columns aren't read, so they can have any name; an empty table gives a manifest without files.
 """
 
 from __future__ import annotations
@@ -23,23 +26,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import bounded_batches, materialize, spans, text_parts
+from lodestone.llm.common import bounded_batches, column, drop_folder, materialize, place, qualified, spans, text_parts, write_bytes
 from lodestone.llm.sentencepiece_codec import codec
 
 
-def _place(folder: str) -> tuple[pafs.FileSystem, str]:
-    if "://" in folder or folder.startswith("file:"):
-        return pafs.FileSystem.from_uri(folder)
-    return pafs.LocalFileSystem(), folder
-
-
 def write(docs: DataFrame, folder: str, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the files to ``folder``; (doc_id, file, offset, n_tokens), ``offset`` being global."""
+    folder = qualified(docs.sparkSession, folder)
     kind = np.dtype(np.uint16 if codec(model).size <= 1 << 16 else np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        fs, root = _place(folder)
+        fs, root = place(folder)
         fs.create_dir(root, recursive=True)
         task = TaskContext.get()
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.bin"
@@ -59,17 +57,14 @@ def write(docs: DataFrame, folder: str, model: bytes, id_col: str = "doc_id", te
         if stream is not None:
             stream.close()
 
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(column(id_col).cast("bigint").alias("doc_id"), column(text_col).alias("text"))
     bounded_batches(docs.sparkSession)
     rows = materialize(source.mapInArrow(run, "doc_id bigint, file string, first bigint, n_tokens bigint"), "token-index")
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     # one row a partition of the input, in the order of partitions
     bases = materialize(totals.withColumn("base", F.coalesce(F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "token-bases")
     listed = [{"file": r.file, "base": r.base, "tokens": r.total} for r in bases.orderBy("base", "file").toLocalIterator()]
-    fs, root = _place(folder)
-    fs.create_dir(root, recursive=True)
-    with fs.open_output_stream(f"{root}/manifest.json") as f:
-        f.write(json.dumps({"dtype": kind.name, "files": listed}).encode())
+    write_bytes(f"{folder}/manifest.json", json.dumps({"dtype": kind.name, "files": listed}).encode())
     indexed = rows.join(bases.select("file", "base"), "file").select("doc_id", "file", (F.col("base") + F.col("first")).alias("offset"), "n_tokens", "base")
     return _write_offsets(indexed, folder)
 
@@ -78,7 +73,7 @@ def _write_offsets(indexed: DataFrame, folder: str) -> DataFrame:
     """One companion file of int64 offsets for each token file; the last is where the file ends."""
 
     def save(file: str, base: int, offset: np.ndarray, n: np.ndarray) -> None:
-        fs, root = _place(folder)
+        fs, root = place(folder)
         stamp = TaskContext.get().taskAttemptId()
         with fs.open_output_stream(f"{root}/.{file}-{stamp}.idx") as f:
             f.write(np.append(offset, offset[-1] + n[-1]).astype("<i8").tobytes())
@@ -106,12 +101,12 @@ def _write_offsets(indexed: DataFrame, folder: str) -> DataFrame:
 
 
 class Tokens:
-    """The written files as one sequence, memory-mapped."""
+    """The written files as one sequence: local ones memory-mapped, others read by ranges. ``folder`` as ``qualified`` gives it, or a local path."""
 
     def __init__(self, folder: str):
-        self.root = _place(folder)[1]
-        with open(f"{self.root}/manifest.json") as f:
-            m = json.load(f)
+        self.fs, self.root = place(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+        with self.fs.open_input_stream(f"{self.root}/manifest.json") as f:
+            m = json.loads(f.read())
         self.dtype = np.dtype(m["dtype"])
         self.files = m["files"]
         self.bases = np.array([x["base"] for x in self.files], np.int64)
@@ -120,14 +115,23 @@ class Tokens:
     def __len__(self) -> int:
         return self.files[-1]["base"] + self.files[-1]["tokens"] if self.files else 0
 
+    def _part(self, k: int, first: int, n: int) -> np.ndarray:
+        """Up to ``n`` ids of file ``k`` from its ``first`` on."""
+        path = f"{self.root}/{self.files[k]['file']}"
+        if isinstance(self.fs, pafs.LocalFileSystem):
+            if k not in self.maps:
+                self.maps[k] = np.memmap(path, self.dtype, "r")
+            return self.maps[k][first : first + n]
+        size = self.dtype.itemsize
+        with self.fs.open_input_file(path) as f:
+            return np.frombuffer(f.read_at(n * size, first * size), self.dtype)
+
     def read(self, offset: int, n: int) -> np.ndarray:
         """``n`` ids from a global offset on, across files if need be."""
         out = []
         while n > 0:
             k = int(np.searchsorted(self.bases, offset, side="right")) - 1
-            if k not in self.maps:
-                self.maps[k] = np.memmap(f"{self.root}/{self.files[k]['file']}", self.dtype, "r")
-            got = self.maps[k][offset - self.bases[k] : offset - self.bases[k] + n]
+            got = self._part(k, int(offset - self.bases[k]), n)
             if not len(got):
                 raise IndexError(offset)
             out.append(got)
@@ -136,11 +140,16 @@ class Tokens:
 
     def offsets(self, k: int) -> np.ndarray:
         """Global offsets of the documents of file ``k``, and where it ends."""
-        return np.memmap(f"{self.root}/{self.files[k]['file'][:-4]}.idx", "<i8", "r")
+        path = f"{self.root}/{self.files[k]['file'][:-4]}.idx"
+        if isinstance(self.fs, pafs.LocalFileSystem):
+            return np.memmap(path, "<i8", "r")
+        with self.fs.open_input_stream(path) as f:
+            return np.frombuffer(f.read(), "<i8")
 
 
 def read_back(rows: DataFrame, folder: str) -> DataFrame:
     """``rows`` of ``write`` with ``checksum``: the sum of id times place (from 1), modulo 2^61, from the mapped files."""
+    folder = qualified(rows.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(folder)
@@ -148,6 +157,7 @@ def read_back(rows: DataFrame, folder: str) -> DataFrame:
             sums = []
             for offset, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 ids = tokens.read(offset, n).astype(np.int64)
+                # a sum that wraps is right modulo 2^64, of which 2^61 is a divisor
                 sums.append(int((ids * np.arange(1, n + 1)).sum()) % (1 << 61))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sums, pa.int64())], names=["doc_id", "file", "offset", "n_tokens", "checksum"])
 
@@ -155,5 +165,4 @@ def read_back(rows: DataFrame, folder: str) -> DataFrame:
 
 
 def remove(spark: SparkSession, folder: str) -> None:
-    fs, root = _place(folder)
-    fs.delete_dir(root)
+    drop_folder(spark, folder)

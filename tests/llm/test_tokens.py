@@ -72,7 +72,7 @@ def test_binary_round_trip(spark, tmp_path):
     rows = [(i, t) for i, t in enumerate(TEXTS * 20)] + [(7, "again"), (None, "no id"), (1000, None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     folder = str(tmp_path / "bin")
-    index = B.write(docs, folder, MODEL).collect()
+    index = B.write(docs, folder, MODEL).collect()  # a local path
     tokens = B.Tokens(folder)
     assert tokens.dtype == np.uint16 and len(tokens) == sum(r.n_tokens for r in index)
     assert len(index) == len(rows)
@@ -99,3 +99,38 @@ def test_binary_round_trip(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert B.write(docs, str(tmp_path), MODEL).count() == 0 and len(B.Tokens(str(tmp_path))) == 0
+
+
+def test_other_models_are_refused():
+    def model(trainer, normalizer):
+        """A protocol buffer of small numbers."""
+        specs = [(2, trainer), (3, normalizer)]
+        raw = [b"".join(bytes([n << 3, v]) for n, v in spec.items()) for _, spec in specs]
+        return b"".join(bytes([n << 3 | 2, len(r)]) + r for (n, _), r in zip(specs, raw))
+
+    S.check_model(MODEL)
+    S.check_model(model({3: 2}, {4: 0}))
+    for trainer, normalizer in (({}, {4: 0}), ({3: 1}, {4: 0}), ({3: 3}, {4: 0}), ({3: 2}, {}), ({3: 2}, {4: 0, 3: 0}), ({3: 2}, {4: 0, 5: 0})):
+        with pytest.raises(ValueError):
+            S.check_model(model(trainer, normalizer))
+    with pytest.raises(ValueError):
+        S.codec(model({3: 1}, {}))
+
+
+def test_counts_are_those_of_encode(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, None])], "doc_id bigint, text string")
+    got = {r.doc_id: r.n_tokens for r in S.counts(docs, MODEL).collect()}
+    assert got == {r.doc_id: r.n_tokens or 0 for r in S.encode(docs, MODEL).collect()}
+
+
+def test_files_elsewhere_are_read_by_ranges(spark, tmp_path, monkeypatch):
+    import pyarrow.fs as pafs
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id bigint, text string")
+    folder = str(tmp_path / "bin")
+    rows = B.write(docs, folder, MODEL)
+    mapped = B.Tokens(folder)
+    other = B.Tokens(folder)
+    other.fs = pafs.SubTreeFileSystem("/", pafs.LocalFileSystem())
+    assert (mapped.read(0, len(mapped)) == other.read(0, len(other))).all() and (mapped.offsets(0) == other.offsets(0)).all()
+    assert rows.count() == len(TEXTS)
