@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import bounded_batches, fresh, spans, text_parts
+from lodestone.llm.common import bounded_batches, column, fresh, spans, text_parts
 
 SAMPLE = 12288
 SOURCES = 48
@@ -168,9 +168,9 @@ def cross_entropies(samples: list[bytes], texts: pa.Array) -> tuple[np.ndarray,
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, sources: int = SOURCES) -> dict[str, bytes]:
     """Normalised labelled text of each language: ``sample`` symbols from the first documents by a hash of their ids, long enough ones first."""
     quota = sample // sources
-    key = F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(text_col))
-    letters = F.octet_length(F.regexp_replace(F.substring(text_col, 1, sample), r"[\x00-@\[-`{-\x7f]+", ""))
-    rows = docs.select(key.alias("id"), F.col(lang_col).cast("string").alias("lang"), (F.octet_length(text_col) < quota).alias("short"), letters.alias("letters"))
+    key = F.coalesce(column(id_col).cast("bigint"), F.xxhash64(column(text_col)))
+    letters = F.octet_length(F.regexp_replace(F.substring(column(text_col), 1, sample), r"[\x00-@\[-`{-\x7f]+", ""))
+    rows = docs.select(key.alias("id"), column(lang_col).cast("string").alias("lang"), (F.octet_length(column(text_col)) < quota).alias("short"), letters.alias("letters"))
     rows = rows.where("lang is not null and letters > 0").select("id", "lang", "short", F.least("letters", F.lit(quota)).alias("letters"))
     w = Window.partitionBy("lang").orderBy("short", F.xxhash64("id"), "id")
     # a row has a letter at least; of the first rows those that fill twice the sample
@@ -181,8 +181,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return {}
     # bounded: 2 * sample ids a language
     ids = docs.sparkSession.createDataFrame([(r.id, r.lang) for r in chosen], "id bigint, lang string")
-    text = docs.select(key.alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), (F.octet_length(text_col) < quota).alias("short")).where("text is not null")
-    got = text.join(F.broadcast(ids), ["id", "lang"]).select("lang", "id", "short", F.substring("text", 1, sample).alias("text")).collect()
+    text = docs.select(key.alias("id"), column(lang_col).cast("string").alias("lang"), column(text_col).alias("text"), (F.octet_length(column(text_col)) < quota).alias("short")).where("text is not null")
+    # of a document that occurs in several rows one text, so what is collected is bounded too
+    head = F.substring("text", 1, sample)
+    got = text.join(ids, ["id", "lang"]).groupBy("lang", "id").agg(F.min("short").alias("short"), F.min_by(head, F.struct("short", head)).alias("text")).collect()
     out: dict[str, bytes] = {}
     for r in sorted(got, key=lambda r: (r.lang, r.short, r.id, r.text)):
         have = out.get(r.lang, b"")
@@ -209,21 +211,21 @@ def _add(docs: DataFrame, samples: dict[str, bytes], name: str, text_col: str, l
     """Add struct column ``name``: (lang, bits, accepted)."""
     bounded_batches(docs.sparkSession)
     raw = fresh([*docs.columns, name], "language_raw")
-    out = docs.withColumn(raw, _udf(samples)(docs[text_col]))
+    out = docs.withColumn(raw, _udf(samples)(column(text_col)))
     ok = F.col(f"{raw}.lang").isNotNull()
     if lang_col is not None and samples:
         said = F.lit(None).cast("double")
         for k, lang in enumerate(samples):
-            said = F.when(docs[lang_col] == lang, F.element_at(F.col(f"{raw}.each"), k + 1)).otherwise(said)
+            said = F.when(column(lang_col) == lang, F.element_at(F.col(f"{raw}.each"), k + 1)).otherwise(said)
         # a declared language that wasn't learned can't be contradicted by bits; it is by its name
-        ok = ok & (docs[lang_col].isNull() | F.coalesce(said <= F.col(f"{raw}.bits") * (1 + tolerance), F.lit(False)))
+        ok = ok & (column(lang_col).isNull() | F.coalesce(said <= F.col(f"{raw}.bits") * (1 + tolerance), F.lit(False)))
     return out.withColumn(name, F.struct(F.col(f"{raw}.lang").alias("lang"), F.col(f"{raw}.bits").alias("bits"), ok.alias("accepted"))).drop(raw)
 
 
 def identify(docs: DataFrame, samples: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, lang, bits, accepted): accepted unless no language was found or the declared one needs over ``1 + tolerance`` times the phrases of the best."""
     name = fresh(docs.columns, "language")
-    return _add(docs, samples, name, text_col, lang_col, tolerance).select(F.col(id_col).alias("doc_id"), f"{name}.lang", f"{name}.bits", f"{name}.accepted")
+    return _add(docs, samples, name, text_col, lang_col, tolerance).select(column(id_col).alias("doc_id"), f"{name}.lang", f"{name}.bits", f"{name}.accepted")
 
 
 def accept(docs: DataFrame, samples: dict[str, bytes], text_col: str = "text", lang_col: str | None = "lang", tolerance: float = TOLERANCE) -> DataFrame:

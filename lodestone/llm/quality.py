@@ -2,12 +2,12 @@
 
 Bytes are embedded; learned filters look at chunks of ``WIDTH`` bytes that start every ``STRIDE`` bytes, so chunks
 overlap and cover the whole document; each filter's largest response over all chunks feeds one logistic unit.
-The network is fitted on the driver on at most ``train_docs`` labelled documents (a bounded sample, taken by the
-order of a hash of their ids); scoring reads every byte of every document.
+The network is fitted on the driver on at most ``train_docs`` labelled documents of at most ``train_bytes`` bytes each (a
+bounded sample, taken by the order of a hash of their ids); scoring reads every byte of every document.
 
 Defined cases: a null, empty or blank text has probability 0; without labels of both kinds nothing can be learned
-and every other text has probability 1; a document with several labels counts with its least one; labels without
-a document, with null ids or null values are left out; other columns of ``docs`` pass through untouched.
+and every other text has probability 1; a document with several labels counts with its least one, one with several
+texts with the least; labels without a document, with null ids or null values are left out; other columns of ``docs`` pass through untouched.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded_batches, fresh, spans, text_parts
+from lodestone.llm.common import bounded_batches, column, fresh, spans, text_parts
 
 WIDTH, STRIDE = 16, 4
 EMBED, FILTERS = 8, 32
 TRAIN_DOCS = 1200
+TRAIN_BYTES = 1 << 20
 EPOCHS = 6
 BATCH = 32
 STEPS = 300
@@ -154,18 +155,18 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
     return Network(p["embed"], p["filters"], p["shift"], p["weights"], float(p["bias"][0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS, epochs: int = EPOCHS) -> Network | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES, epochs: int = EPOCHS) -> Network | None:
     """Network fitted on a sample of at most ``train_docs`` labelled documents, half of either label where there are enough."""
-    known = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null")
+    known = labels.select(column(id_col).cast("bigint").alias("id"), column(label_col).cast("int").alias("label")).where("id is not null and label is not null")
     known = known.groupBy("id").agg(F.min("label").alias("label"))
     order = [F.xxhash64("id"), F.col("id")]
     chosen = [r for want in (0, 1) for r in known.where(F.col("label") == want).orderBy(*order).limit(train_docs // 2).collect()]
     if not chosen:
         return None
     sample = docs.sparkSession.createDataFrame([(r.id, r.label) for r in chosen], "id bigint, label int")
-    text = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    # the sample is bounded by train_docs, whatever the table's size
-    rows = text.join(F.broadcast(sample), "id").select("id", "label", "text").collect()
+    text = docs.select(column(id_col).cast("bigint").alias("id"), column(text_col).alias("text")).where("text is not null")
+    # the sample is bounded by train_docs and train_bytes, whatever the table's size and however often a row occurs
+    rows = text.where(F.octet_length("text") <= train_bytes).join(sample, "id").groupBy("id").agg(F.min("label").alias("label"), F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r.id, r.text))
     return train([r.text.encode() for r in rows], np.array([r.label for r in rows]), epochs)
 
@@ -185,7 +186,7 @@ def probability(net: Network | None) -> callable:
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
     """(doc_id, probability, accepted) of every row."""
     bounded_batches(docs.sparkSession)
-    out = docs.select(F.col(id_col).alias("doc_id"), probability(net)(F.col(text_col)).alias("probability"))
+    out = docs.select(column(id_col).alias("doc_id"), probability(net)(column(text_col)).alias("probability"))
     return out.withColumn("accepted", F.col("probability") >= accept)
 
 
@@ -193,4 +194,4 @@ def accept(docs: DataFrame, net: Network | None, text_col: str = "text", least:
     """The rows of ``docs`` whose probability is at least ``least``."""
     bounded_batches(docs.sparkSession)
     name = fresh(docs.columns, "quality_probability")
-    return docs.withColumn(name, probability(net)(docs[text_col])).where(F.col(name) >= least).drop(name)
+    return docs.withColumn(name, probability(net)(column(text_col))).where(F.col(name) >= least).drop(name)

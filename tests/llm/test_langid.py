@@ -83,3 +83,9 @@ def test_languages_of_short_texts_are_learned(spark):
         assert set(samples) == {r[2] for r in rows} and all(0 < len(x) <= L.SAMPLE for x in samples.values())
         out = L.identify(docs, samples).collect()
         assert all(r.accepted for r in out if r.doc_id is not None)
+
+
+def test_repeated_rows_are_learned_from_once(spark):
+    rows = [(1, "the same words of one document", "en")] * 400 + [(2, "andere Worte", "de")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert L.fit(docs) == {"de": L.normalise("andere Worte"), "en": L.normalise("the same words of one document")}

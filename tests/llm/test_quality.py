@@ -77,3 +77,12 @@ def test_edges(spark):
     kept = Q.accept(docs, net)
     assert kept.columns == docs.columns and kept.where("doc_id in (1, 2, 3)").count() == 0
     assert Q.score(docs.limit(0), net).count() == 0
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "good words")] * 300 + [(2, "bad")] * 300 + [(3, "x" * 5000), (3, "short")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(Q, "train", lambda texts, y, epochs: seen.append((texts, y.tolist())))
+    Q.fit(docs, labels, train_bytes=100)
+    assert sorted(zip(*seen[0])) == [(b"bad", 0), (b"good words", 1), (b"short", 1)]
