@@ -1,7 +1,7 @@
 """Best-fit packing of documents into sequences of equal capacity by linear grouping.
 
-A document has a token for each run of non-blank characters and one that ends it; documents over ``capacity`` are cut
-into full pieces and a rest. Lengths are whole numbers up to ``capacity``, so their histogram, which is all that is
+A document's length is the number of ids that the SentencePiece codec gives its text, and one for the id that ends it;
+documents over ``capacity`` are cut into full pieces and a rest. Lengths are whole numbers up to ``capacity``, so their histogram, which is all that is
 brought to the driver, has at most ``capacity`` entries however many documents there are. On it
 
 1. pieces over ``capacity / SMALL`` are sorted by falling length and cut into ``GROUPS`` groups of equal cardinality;
@@ -17,7 +17,7 @@ brought to the driver, has at most ``capacity`` entries however many documents t
 Ranks within a length come from a window over (hash bucket, length) and prefix sums over buckets, so no task holds all
 pieces of a common length.
 
-Defined cases: a null, empty or blank text has the end token alone; null and repeated ids are packed like others,
+Defined cases: a null or empty text has the end token alone; null and repeated ids are packed like others,
 a row at a time; equal lengths are told apart by id; other columns aren't read; an empty table gives no rows.
 """
 
@@ -31,25 +31,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import materialize
+from lodestone.llm.common import Scratch
+from lodestone.llm.sentencepiece_codec import counts, read_model
 
 CAPACITY = 2048
 SMALL = 8
 GROUPS = 32
 BUCKETS = 1024
+#: Runs of ranks that are broadcast, some 10 MB; more are joined by their lengths.
+RUNS = 1 << 17
 
 _RUNS = "struct<low:bigint,high:bigint,room:bigint,first:bigint,each:bigint>"
 Run = tuple[int, int, int, int, int]
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length) of each document's runs of at most ``capacity`` tokens."""
-    tokens = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"\S+")), F.lit(0)) + 1
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), tokens.alias("tokens"))
-    last = ((F.col("tokens") - 1) / capacity).cast("int")
+def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", model: bytes | None = None) -> DataFrame:
+    """(doc_id, piece, start, length) of each document's runs of at most ``capacity`` ids."""
+    rows = counts(docs, model or read_model(), id_col, text_col).select("doc_id", (F.col("n_tokens") + 1).alias("tokens"))
+    last = F.floor((F.col("tokens") - 1) / capacity).cast("int")
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
-    start = F.col("piece") * capacity
-    return rows.select("doc_id", "piece", start.alias("start"), F.least(F.lit(capacity), F.col("tokens") - start).alias("length"))
+    start = F.col("piece").cast("bigint") * capacity
+    return rows.select("doc_id", "piece", start.alias("start"), F.least(F.lit(capacity), F.col("tokens") - start).cast("bigint").alias("length"))
 
 
 def ranked(rows: DataFrame, by: str, *order: str) -> DataFrame:
@@ -206,12 +208,15 @@ def _with_runs(rows: DataFrame, runs: dict[int, list[Run]]) -> DataFrame:
     table = spark.createDataFrame([(int(n), [tuple(map(int, r)) for r in own]) for n, own in runs.items()], f"run_length bigint, runs array<{_RUNS}>")
     flat = table.select("run_length", F.inline("runs"))
     # a few runs for each of at most ``capacity`` lengths, whatever the number of documents
-    return rows.join(F.broadcast(flat), (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))).drop("run_length", "high")
+    flat = F.broadcast(flat) if sum(map(len, runs.values())) <= RUNS else flat
+    return rows.join(flat, (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))).drop("run_length", "high")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bin_id, doc_id, piece, start, length): tokens ``start`` to ``start + length`` of the document are in the bin."""
-    rows = materialize(ranked(pieces(docs, capacity, id_col, text_col), "length", "doc_id", "piece"), "pieces")
+def pack(docs: DataFrame, capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS, id_col: str = "doc_id", text_col: str = "text", model: bytes | None = None) -> DataFrame:
+    """(bin_id, doc_id, piece, start, length): ids ``start`` to ``start + length`` of the document are in the bin."""
+    scratch = Scratch()
+    cut = scratch.keep(pieces(docs, capacity, id_col, text_col, model), "pieces")  # read twice, and texts are encoded once
+    rows = scratch.keep(ranked(cut, "length", "doc_id", "piece"), "ranked-pieces")
     hist = {r.length: r.n for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity entries at most
     limit = capacity // small
     large, bins = place_large({n: c for n, c in hist.items() if n > limit}, capacity, groups)
@@ -219,10 +224,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, small: int = SMALL, groups:
     put = _with_runs(rows.where(F.col("length") > limit), large)
     put = put.withColumn("bin_id", F.expr("first + floor((rank - low) / each)").cast("bigint"))
     filled = put.groupBy("bin_id").agg((F.lit(capacity) - F.sum("length")).cast("bigint").alias("room"))
-    filled = materialize(ranked(filled.where("room > 0"), "room", "bin_id").withColumnRenamed("rank", "bin_rank"), "rooms")
+    filled = scratch.keep(ranked(filled.where("room > 0"), "room", "bin_id").withColumnRenamed("rank", "bin_rank"), "rooms")
     rooms = {r.room: r.n for r in filled.groupBy("room").agg(F.count("*").alias("n")).collect()}  # as above
     runs = place_small({n: c for n, c in hist.items() if n <= limit}, rooms, capacity)
     rest = _with_runs(rows.where(F.col("length") <= limit), runs).withColumn("bin_rank", F.expr("first + floor((rank - low) / each)").cast("bigint"))
     into = rest.where("room >= 0").join(filled, ["room", "bin_rank"])
     opened = rest.where("room < 0").withColumn("bin_id", F.col("bin_rank") + bins)
-    return put.select(*columns).union(into.select(*columns)).union(opened.select(*columns))
+    return scratch.finish(put.select(*columns).union(into.select(*columns)).union(opened.select(*columns)), "bins")

@@ -2,11 +2,15 @@ import numpy as np
 import pytest
 
 from lodestone.llm import packing as P
+from lodestone.llm import sentencepiece_codec as S
+
+ONE = "the"  # one id each, with the space before it
+assert S.codec(S.read_model()).library.encode(" ".join([ONE] * 3)) == [S.codec(S.read_model()).ids[" the"]] * 3
 
 
 def frame(spark, sizes, ids=None):
     ids = range(len(sizes)) if ids is None else ids
-    return spark.createDataFrame([(i, None if n is None else " ".join(["w"] * (n - 1))) for i, n in zip(ids, sizes)], "doc_id bigint, text string")
+    return spark.createDataFrame([(i, None if n is None else " ".join([ONE] * (n - 1))) for i, n in zip(ids, sizes)], "doc_id bigint, text string")
 
 
 def best_fit(sizes, capacity):
@@ -51,7 +55,8 @@ def test_every_token_has_one_place_and_bins_are_few(spark, seed, low, high):
 
 def test_documents_are_packed_tightly(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    sizes = {r.doc_id: len(r.text.split()) + 1 for r in docs.collect()}
+    library = S.codec(S.read_model()).library
+    sizes = {r.doc_id: len(library.encode(r.text)) + 1 for r in docs.collect()}
     rows = P.pack(docs).collect()
     assert len({r.doc_id for r in rows}) == len(sizes)
     assert sum(r.length for r in rows) == sum(sizes.values())
@@ -113,12 +118,19 @@ def test_large_places_are_distinct():
 
 def test_edges(spark):
     assert P.pack(frame(spark, [])).count() == 0
-    docs = spark.createDataFrame([(None, "a b", 1), (None, "a b", 1), (3, None, 2), (3, "", 2), (4, "  \n ", 9), (5, "w " * 10_000, 9)], "doc_id bigint, text string, bin_id int")
+    docs = spark.createDataFrame([(None, "the the", 1), (None, "the the", 1), (3, None, 2), (3, "", 2), (4, "\n", 9), (5, "the " * 9_999 + "the", 9)], "doc_id bigint, text string, bin_id int")
     rows = P.pack(docs).collect()
-    assert sorted((r.doc_id or 0, r.length) for r in rows if r.doc_id != 5) == [(0, 3), (0, 3), (3, 1), (3, 1), (4, 1)]
+    assert sorted((r.doc_id or 0, r.length) for r in rows if r.doc_id != 5) == [(0, 3), (0, 3), (3, 1), (3, 1), (4, 3)]
     assert sorted((r.start, r.length) for r in rows if r.doc_id == 5) == [(0, 2048), (2048, 2048), (4096, 2048), (6144, 2048), (8192, 1809)]
 
 
 def test_equal_lengths(spark):
     rows = P.pack(frame(spark, [30] * 100), 100).collect()
     assert check(rows, [30] * 100, 100) == 34
+
+
+def test_many_runs_are_joined_without_a_broadcast(spark, monkeypatch):
+    sizes = np.random.default_rng(11).integers(1, 90, 200).tolist()
+    want = sorted(map(tuple, P.pack(frame(spark, sizes), 100, groups=8).collect()))
+    monkeypatch.setattr(P, "RUNS", 0)
+    assert sorted(map(tuple, P.pack(frame(spark, sizes), 100, groups=8).collect())) == want

@@ -41,7 +41,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["sentencepiece_library_check", "op9_voronoi_knn", "op10_tiff_pages", "packing_totals", "chat_transcript"])
+@pytest.mark.parametrize("name", ["sentencepiece_library_check", "op9_voronoi_knn", "op10_tiff_pages", "packing_totals", "chat_parts", "chat_transcript"])
 def test_sql(spark, duck, name):
     df = entry.queries()[name](spark, DATA)
     rows = sorted(tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect())
