@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import disclosure, langid, neardup, packing, quality
-from lodestone.llm.common import materialize
+from lodestone.llm.common import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -38,7 +38,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where the tokens of each document go: (bin_id, doc_id, piece, start, length)."""
+    """Where the ids that the SentencePiece codec gives each document go: (bin_id, doc_id, piece, start, length)."""
     return packing.pack(docs)
 
 
@@ -55,8 +55,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written to the shared folder and read again; a stage's documents are deleted once the next one's are written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch()
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        now = Scratch()
+        docs = now.keep(stage(spark, docs, sf_dir), name)
+        last.drop()
+        last = now
     return docs
