@@ -162,9 +162,9 @@ WITH typed AS (
   FROM conversations c LEFT JOIN pages p ON c.conv_id = p.page_id AND c.turn = 0),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, kind ORDER BY nth) AS number FROM typed),
 lines AS (SELECT *, said || CASE WHEN kind IS NULL THEN '' ELSE '<|' || kind || '_' || number || '|>' END || '<|end|>' || chr(10) AS line FROM numbered),
-placed AS (SELECT *, coalesce(sum(length(line)) OVER (PARTITION BY conv_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(said) AS at FROM lines),
+placed AS (SELECT *, coalesce(sum(length(line)) OVER (PARTITION BY conv_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(said) AS "at" FROM lines),
 whole AS (SELECT conv_id, md5(string_agg(line, '' ORDER BY nth)) AS md5, count(*)::INTEGER AS n_turns FROM lines GROUP BY conv_id)
-SELECT w.conv_id, md5, n_turns, kind, number::INTEGER AS number, CASE WHEN kind IS NOT NULL THEN ref END AS ref, nth::INTEGER AS turn, at::INTEGER AS at, tokens::BIGINT AS tokens
+SELECT w.conv_id, md5, n_turns, kind, number::INTEGER AS number, CASE WHEN kind IS NOT NULL THEN ref END AS ref, nth::INTEGER AS turn, "at"::INTEGER AS "at", tokens::BIGINT AS tokens
 FROM whole w LEFT JOIN placed p ON w.conv_id = p.conv_id AND p.kind IS NOT NULL
 """
 
