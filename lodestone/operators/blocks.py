@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +19,24 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def pack(vectors: DataFrame, rows: int, kind: str) -> DataFrame:
-    """Rows of (id, vec) as blocks of at most ``rows`` vectors with components of numpy type ``kind``."""
+def unit_rows(v: np.ndarray) -> np.ndarray:
+    """Unit vectors with the bits of the column expression: squares in single precision, summed one after another in double. Zero rows stay."""
+    v = v.astype(np.float32)
+    total = np.add.accumulate((v * v).astype(np.float64), axis=-1)[..., -1:]
+    return v * np.where(total > 0, 1 / np.sqrt(np.where(total > 0, total, 1)), 1).astype(np.float32)
+
+
+def quantize_rows(v: np.ndarray, mode: str) -> np.ndarray:
+    """Codes with the bits of the column expression: clamped to [-1, 1], halves away from zero."""
+    if mode == "fp32":
+        return v.astype(np.float32)
+    scaled = np.clip(v.astype(np.float64), -1, 1) * {"int8": 127, "int16": 32767}[mode]
+    whole = np.trunc(scaled)
+    return (whole + np.copysign(np.abs(scaled - whole) >= 0.5, scaled)).astype(mode)
+
+
+def pack(vectors: DataFrame, rows: int, kind: str, prepare: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """Rows of (id, vec) as blocks of at most ``rows`` vectors, ``prepare`` applied, with components of numpy type ``kind``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -40,7 +56,8 @@ def pack(vectors: DataFrame, rows: int, kind: str) -> DataFrame:
             return pa.RecordBatch.from_arrays(out, names=["block", "n", "ids", "matrix"])
 
         for b in batches:
-            own, m = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), matrix(b.column(1)).astype(kind)
+            own, m = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), matrix(b.column(1))
+            m = (prepare(m) if prepare is not None else m).astype(kind, copy=False)
             at = 0
             while at < len(own):
                 take = min(len(own) - at, rows - have)

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.functions import vector as V
 from lodestone.operators import index as I
-from lodestone.operators.blocks import pack, unpack
+from lodestone.operators.blocks import Top, best_pairs, pack, quantize_rows, unit_rows, unpack
 from lodestone.operators.shared import materialize, small
 
 
@@ -36,19 +36,54 @@ def recall(truth: DataFrame, found: DataFrame, empty: float = 0.0) -> DataFrame:
 
 
 def sweep(vectors: DataFrame, dims: list[int], modes: list[str], k: int = 10, base_dim: int | None = None, queries: DataFrame | None = None) -> DataFrame:
-    """(dim, mode, bytes, recall): mean recall@k of each prefix and quantisation against whole vectors in fp32, a query itself apart."""
-    asked = vectors if queries is None else queries
-    whole = I.build(vectors, "fp32", base_dim)
-    truth = materialize(I.search(whole, asked, k, exclude_self=True), "truth")  # held against by every configuration
-    rows = []
-    for dim in dims:
-        cut = vectors.select("id", V.truncate("vec", dim).alias("vec"))
-        cut_asked = asked.select("id", V.truncate("vec", dim).alias("vec"))
-        for mode in modes:
-            built = I.build(cut, mode, dim, validate=False)
-            mean = recall(truth, I.search(built, cut_asked, k, exclude_self=True, check_dim=False)).agg(F.avg("recall").alias("recall"))
-            rows.append(built.metadata().select("dim", "mode", "bytes").crossJoin(mean))
-    return reduce(DataFrame.union, rows)
+    """(dim, mode, bytes, recall): mean recall@k of each prefix and quantisation against whole vectors in fp32, a query itself apart.
+
+    One pass over the pairs of blocks serves all configurations: a task keeps the best of a query for each of them, and
+    what is shuffled is ``k`` rows a query, configuration and task.
+    """
+    asked = (vectors if queries is None else queries).select("id", F.col("vec").cast("array<float>").alias("vec"))
+    rows = vectors.select(F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<float>").alias("vec"))
+    _, count = I.measured(rows, base_dim)
+    modes = [V.parse_quantization(m) for m in modes]
+    kinds: list[tuple[int | None, str]] = [(None, "fp32"), *((d, m) for d in dims for m in modes)]
+
+    def cut(m: np.ndarray, dim: int | None) -> np.ndarray:
+        return unit_rows(m) if dim is None else unit_rows(unit_rows(m[:, :dim]))  # a prefix is made a unit vector, then indexed or asked for
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops: dict[str, list[tuple[Top, np.ndarray]]] = {}
+        last, coded = "", []
+        for b in batches:
+            for block, q_ids, q_raw, name, ids, raw in zip(*(b.column(i) for i in range(6))):
+                if block.as_py() not in tops:
+                    own, q = unpack(q_ids.as_py(), q_raw.as_py(), "float32")
+                    heads = {dim: cut(q, dim) for dim, _ in kinds}
+                    tops[block.as_py()] = [(Top(own, k), heads[dim]) for dim, _ in kinds]
+                if name.as_py() != last:
+                    theirs, m = unpack(ids.as_py(), raw.as_py(), "float32")
+                    heads = {dim: cut(m, dim) for dim, _ in kinds}
+                    last, coded = name.as_py(), [quantize_rows(heads[dim], mode) for dim, mode in kinds]
+                for (top, q), m, (_, mode) in zip(tops[block.as_py()], coded, kinds):
+                    best_pairs(top, q, theirs, m, "dot", float(V.SCALES.get(mode, 1)), True)
+        for found in tops.values():
+            for n, (top, _) in enumerate(found):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top.row), n, np.int32)), pa.array(top.ids[top.row]), pa.array(top.id), pa.array(top.value)], names=["kind", "query_id", "id", "score"])
+
+    left, right = pack(asked, I.QUERY_ROWS, "float32").select("block", "ids", "matrix"), pack(rows, I.CORPUS_ROWS, "float32").select("block", "ids", "matrix")
+    if not small(asked) and not small(rows):
+        left, right = materialize(left, "query-blocks"), materialize(right, "corpus-blocks")
+    pairs = left.toDF("q_block", "q_ids", "q_matrix").crossJoin(right)
+    found = pairs.mapInArrow(run, "kind int, query_id bigint, id bigint, score double").repartition("query_id")
+    w = Window.partitionBy("query_id", "kind").orderBy(F.desc("score"), "id")
+    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    there = lambda n: F.max((F.col("kind") == n).cast("int"))
+    each = best.groupBy("query_id", "id").agg(*(there(n).alias(f"k{n}") for n in range(len(kinds))))
+    sums = [F.sum(f"k{n}").alias(f"n{n}") for n in range(len(kinds))] + [F.sum(F.col("k0") * F.col(f"k{n}")).alias(f"c{n}") for n in range(len(kinds))]
+    query = each.groupBy("query_id").agg(*sums)
+    least = lambda n: F.least("n0", f"n{n}")
+    means = query.agg(*(F.avg(F.when(least(n) > 0, F.col(f"c{n}") / least(n)).otherwise(0.0)).alias(f"r{n}") for n in range(1, len(kinds))))
+    lines = [F.struct(F.lit(d).alias("dim"), F.lit(m).alias("mode"), F.lit(index_size(count, d, m)).cast("bigint").alias("bytes"), F.col(f"r{n}").alias("recall")) for n, (d, m) in enumerate(kinds) if n]
+    return means.select(F.inline(F.array(*lines)))
 
 
 def index_size(count: int, dim: int, mode: str) -> int:
@@ -56,44 +91,92 @@ def index_size(count: int, dim: int, mode: str) -> int:
     return 20 + 4 * count + count * dim * (V.bits(mode) // 8)
 
 
-def pairwise(vectors: DataFrame, best: int | None = None) -> DataFrame:
-    """(a, b, similarity) of all pairs of rows with ``a < b``; rows without a vector are left out.
+def _pairs(vectors: DataFrame, use: Callable[[Iterator[tuple]], Iterator[pa.RecordBatch]], out: str, tail: int = 0) -> DataFrame:
+    """``use`` of (a, b, similarity, tail of a, tail of b) of all pairs with ``a < b``, each once, some thousand at a time.
 
-    Blocks are paired and their cosines summed component by component. With ``best``, each task gives no more than the
-    ``best`` most similar pairs, which hold those of all; NaN of zero vectors is none of them.
+    Blocks are paired, those in the upper triangle solved, and cosines summed component by component. The last ``tail``
+    components of a vector aren't part of it.
     """
-    rows = vectors.where(F.col("vec").isNotNull())
-    blocks = pack(rows, 1024, "float32").select("ids", "matrix")
-    if not small(rows):
+    blocks = pack(vectors, 1024, "float64").select("block", "ids", "matrix")
+    if not small(vectors):
         blocks = materialize(blocks, "pair-blocks")  # read many times
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for cells in zip(*(batch.column(i) for i in range(4))):
-                (own, m), (theirs, o) = (unpack(i.as_py(), v.as_py(), "float32") for i, v in (cells[:2], cells[2:]))
-                m, o = m.astype(np.float64), o.astype(np.float64)
+            for name, i, v, other, j, w in zip(*(batch.column(n) for n in range(6))):
+                same = name.as_py() == other.as_py()
+                (own, m), (theirs, o) = unpack(i.as_py(), v.as_py(), "float64"), unpack(j.as_py(), w.as_py(), "float64")
+                (m, m_tail), (o, o_tail) = ((x[:, : x.shape[1] - tail], x[:, x.shape[1] - tail :]) for x in (m, o))
                 m_size, o_size = (np.sqrt(np.add.accumulate(x * x, axis=1)[:, -1]) for x in (m, o))
                 for low in range(0, len(own), 32):
-                    r, c = np.nonzero(own[low : low + 32, None] < theirs[None, :])
+                    here = own[low : low + 32, None]
+                    r, c = np.nonzero(here < theirs[None, :] if same else here != theirs[None, :])
                     if not len(r):
                         continue
                     r += low
                     size = m_size[r] * o_size[c]
                     with np.errstate(invalid="ignore", divide="ignore"):
                         cosine = np.where(size == 0, np.nan, np.add.accumulate(m[r] * o[c], axis=1)[:, -1] / size)
-                    found = (own[r], theirs[c], cosine)
-                    if best is None:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "similarity"])
-                        continue
-                    a, b, value = (np.concatenate([x, y[~np.isnan(cosine)]]) for x, y in zip(kept, found))
-                    order = np.lexsort((b, a, -value))[:best]
-                    kept = (a[order], b[order], value[order])
+                    a, b, first, second = own[r], theirs[c], m_tail[r], o_tail[c]
+                    turn = a > b
+                    first, second = np.where(turn[:, None], second, first), np.where(turn[:, None], first, second)
+                    yield np.minimum(a, b), np.maximum(a, b), cosine, first, second
+
+    pairs = blocks.toDF("a_block", "a_ids", "a_matrix").crossJoin(blocks.toDF("b_block", "b_ids", "b_matrix")).where("a_block <= b_block")
+    return pairs.mapInArrow(lambda batches: use(solved(batches)), out)
+
+
+def pairwise(vectors: DataFrame, best: int | None = None) -> DataFrame:
+    """(a, b, similarity) of all pairs of rows with ``a < b``; rows without a vector are left out.
+
+    With ``best``, each task gives no more than the ``best`` most similar pairs, which hold those of all; NaN of zero
+    vectors is none of them.
+    """
+
+    def use(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        kept = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
+        for a, b, cosine, _, _ in found:
+            if best is None:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, cosine)], names=["a", "b", "similarity"])
+                continue
+            a, b, value = (np.concatenate([x, y[~np.isnan(cosine)]]) for x, y in zip(kept, (a, b, cosine)))
+            order = np.lexsort((b, a, -value))[:best]
+            kept = (a[order], b[order], value[order])
         if best is not None and len(kept[0]):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept], names=["a", "b", "similarity"])
 
-    pairs = blocks.toDF("a_ids", "a_matrix").crossJoin(blocks.toDF("b_ids", "b_matrix"))
-    return pairs.mapInArrow(run, "a bigint, b bigint, similarity double")
+    rows = vectors.where(F.col("vec").isNotNull()).select("id", F.col("vec").cast("array<float>").cast("array<double>").alias("vec"))
+    return _pairs(rows, use, "a bigint, b bigint, similarity double")
+
+
+def similarity_of_groups(vectors: DataFrame, group_col: str) -> DataFrame:
+    """(group_a, group_b, pairs, most) of rows (id, vec) with a whole number as group: of all pairs ``a < b``, how many there are and the largest similarity.
+
+    The group goes with the vector into its block, so each task gives a row for each two groups that it met and no pair leaves it.
+    """
+
+    def use(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple[float, float], tuple[int, float]] = {}
+        for _, _, cosine, first, second in found:
+            both, which = np.unique(np.concatenate([first, second], axis=1), axis=0, return_inverse=True)
+            which = which.reshape(-1)
+            n, most = np.bincount(which), np.full(len(both), -np.inf)
+            np.maximum.at(most, which, np.where(np.isnan(cosine), -np.inf, cosine))
+            for key, count, top in zip(map(tuple, both.tolist()), n.tolist(), most.tolist()):
+                have = kept.get(key, (0, -np.inf))
+                kept[key] = (have[0] + count, max(have[1], top))
+        if kept:
+            a, b = zip(*kept)
+            n, most = zip(*kept.values())
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64)), pa.array(n, pa.int64()), pa.array(most, pa.float64())], names=["group_a", "group_b", "pairs", "most"])
+
+    kind = vectors.select(group_col).dtypes[0][1]
+    tailed = F.concat(F.col("vec").cast("array<float>").cast("array<double>"), F.array(F.col(group_col).cast("double")))
+    rows = vectors.where(F.col("vec").isNotNull() & F.col(group_col).isNotNull()).select("id", tailed.alias("vec"))
+    parts = _pairs(rows, use, "group_a bigint, group_b bigint, pairs bigint, most double", 1)
+    both = parts.groupBy("group_a", "group_b").agg(F.sum("pairs").alias("pairs"), F.max("most").alias("most"))
+    most = F.when(F.col("most") > float("-inf"), F.col("most"))
+    return both.select(F.col("group_a").cast(kind).alias("group_a"), F.col("group_b").cast(kind).alias("group_b"), "pairs", most.alias("most"))
 
 
 def most_similar(vectors: DataFrame, n: int = 1) -> DataFrame:

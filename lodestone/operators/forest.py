@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import vector as V
 from lodestone.operators import index as I
-from lodestone.operators.blocks import matrix, pack, unpack
+from lodestone.operators.blocks import matrix, pack, unit_rows, unpack
 from lodestone.operators.shared import qualified, read_bytes, write_bytes
 
 SHARD_BYTES = 64 << 20
@@ -88,13 +88,6 @@ class Forest:
     trees: list[Tree]
 
 
-def _unit(v: np.ndarray) -> np.ndarray:
-    """As the column expression: squares in single precision, summed one after another in double."""
-    v = v.astype(np.float32)
-    total = np.add.accumulate((v * v).astype(np.float64), axis=-1)[..., -1:]
-    return v * np.where(total > 0, 1 / np.sqrt(np.where(total > 0, total, 1)), 1).astype(np.float32)
-
-
 def grow(vectors: np.ndarray, leaf: int, seed: int) -> Tree:
     """One tree over all rows."""
     rng = np.random.default_rng(seed)
@@ -111,7 +104,7 @@ def grow(vectors: np.ndarray, leaf: int, seed: int) -> Tree:
             normal = two - one
             if not normal.any():
                 normal = rng.standard_normal(vectors.shape[1]).astype(np.float32)
-            normal = _unit(normal)
+            normal = unit_rows(normal)
             threshold = np.float32(normal @ ((one + two) / 2))
             low = vectors[items] @ normal <= threshold
             if low.any() and not low.all():
@@ -129,7 +122,7 @@ def build_local(ids: np.ndarray, vectors: np.ndarray, options: Options) -> Fores
     order = np.argsort(ids, kind="stable")
     own = vectors[order].astype(np.float32)
     if options.metric == "cosine":
-        own = _unit(own)
+        own = unit_rows(own)
     return Forest(options, ids[order], own, [grow(own, options.leaf, options.seed + t * _STRIDE) for t in range(options.trees)])
 
 
@@ -171,7 +164,7 @@ def distances(metric: str, query: np.ndarray, vectors: np.ndarray) -> np.ndarray
 def search_local(forest: Forest, query: np.ndarray, k: int, search_k: int | None = None, exclude: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids and distances of the ``k`` nearest candidates; a shard that gave fewer than ``k`` is searched whole."""
     if forest.options.metric == "cosine":
-        query = _unit(query)
+        query = unit_rows(query)
     want = k + (exclude is not None)
     at = candidates(forest, query, search_k if search_k and search_k > 0 else len(forest.trees) * want)
     if len(at) < want:
@@ -186,7 +179,7 @@ def search_local(forest: Forest, query: np.ndarray, k: int, search_k: int | None
 def search_whole(forest: Forest, queries: np.ndarray, k: int, exclude: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """Ids and distances of the ``k`` nearest of all vectors, for every query: products in single precision sift, with a margin for their error."""
     metric, own = forest.options.metric, forest.vectors
-    q = _unit(queries) if metric == "cosine" else queries.astype(np.float32)
+    q = unit_rows(queries) if metric == "cosine" else queries.astype(np.float32)
     want = min(k + (exclude is not None), len(own))
     norms = np.sqrt(np.einsum("ij,ij->i", own, own, dtype=np.float64))
     most, error = norms.max(initial=0), 4 * (own.shape[1] + 4) * float(np.finfo(np.float32).eps)
@@ -220,7 +213,7 @@ def leaves_for(forest: Forest, queries: np.ndarray, k: int, recall: float, exclu
         return 0
     place = np.argsort(forest.ids, kind="stable")
     hits = np.zeros((len(queries), most + 1))
-    asked = _unit(queries) if forest.options.metric == "cosine" else queries
+    asked = unit_rows(queries) if forest.options.metric == "cosine" else queries
     for n, (q, (ids, _)) in enumerate(zip(asked, truth)):
         near = np.zeros(len(forest.ids), bool)
         near[place[np.searchsorted(forest.ids, ids, sorter=place)]] = True
@@ -320,7 +313,7 @@ def nodes(spark: SparkSession, folder: str) -> DataFrame:
 def _over_shards(queries: DataFrame, folder: str, answer, out: str, names: list[str]) -> DataFrame:
     """``answer(forest, ids, vectors, file)`` for every block of queries and every shard."""
     folder = qualified(queries.sparkSession, folder)
-    blocks = pack(queries.select(F.col("id"), F.col("vec").cast("array<float>").alias("vec")), 256, "float32").select("ids", "matrix")
+    blocks = pack(queries.select(F.col("id"), F.col("vec").cast("array<float>").alias("vec")), 256, "float32").select("block", "ids", "matrix")
     shards = load(queries.sparkSession, folder).select("shard", "file")
     parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -330,8 +323,9 @@ def _over_shards(queries: DataFrame, folder: str, answer, out: str, names: list[
                 own, q = unpack(ids.as_py(), raw.as_py(), "float32")
                 yield pa.RecordBatch.from_arrays(answer(open_shard(folder, file), own, q, file), names=names)
 
-    pairs = blocks.crossJoin(F.broadcast(shards))  # a row a shard: names alone
-    return pairs.select("file", "ids", "matrix").repartition(parts).sortWithinPartitions("file").mapInArrow(run, out)
+    # a row a shard: names alone, which Spark broadcasts while they are small; a task gets the blocks of few shards
+    ordered = blocks.crossJoin(shards).repartitionByRange(parts, "file", "block").sortWithinPartitions("file")
+    return ordered.select("file", "ids", "matrix").mapInArrow(run, out)
 
 
 def measured_leaves(queries: DataFrame, folder: str, k: int, recall: float, exclude_self: bool) -> dict[str, int]:
@@ -382,7 +376,7 @@ def candidate_sets(queries: DataFrame, folder: str, search_k: int) -> DataFrame:
     """(query_id, id) of every candidate, without measuring."""
 
     def answer(forest: Forest, ids: np.ndarray, q: np.ndarray, file: str) -> list[pa.Array]:
-        found = [forest.ids[candidates(forest, _unit(v) if forest.options.metric == "cosine" else v, search_k)] for v in q]
+        found = [forest.ids[candidates(forest, unit_rows(v) if forest.options.metric == "cosine" else v, search_k)] for v in q]
         return [pa.array(np.repeat(ids, [len(a) for a in found])), pa.array(np.concatenate(found).astype(np.int64))]
 
     return _over_shards(queries, folder, answer, "query_id bigint, id bigint", ["query_id", "id"]).distinct()

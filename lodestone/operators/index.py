@@ -8,7 +8,7 @@ query in Spark's own operators. Both order by falling score, then id, so ties ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import vector as V
 from lodestone.operators import shared
-from lodestone.operators.blocks import Top, best_pairs, pack, unpack
+from lodestone.operators.blocks import Top, best_pairs, matrix, pack, quantize_rows, unit_rows, unpack
 from lodestone.operators.shared import materialize, small
 
 QUERY_ROWS = 1024
@@ -33,11 +33,12 @@ class VectorError(ValueError):
 
 @dataclass(frozen=True)
 class Index:
-    """``table``: (id bigint, codes array)."""
+    """``table``: (id bigint, codes array); ``raw``: the checked (id, vec) that it was built from, which a search packs without going through columns of codes."""
 
     table: DataFrame
     dim: int
     mode: str
+    raw: DataFrame | None = None
 
     def count(self) -> int:
         return self.table.count()
@@ -50,6 +51,24 @@ class Index:
         """(id, vec) of all rows, dequantised."""
         return self.table.select("id", V.dequantize("codes", self.mode).alias("vec"))
 
+    def for_each(self, call: Callable[[int, np.ndarray], None]) -> None:
+        """``call(id, vector)`` for every row, where the rows are; an error in it ends the scan."""
+
+        def run(rows) -> None:
+            for r in rows:
+                call(r["id"], np.array(r["vec"], np.float32))
+
+        self.scan().foreachPartition(run)
+
+    def map_rows(self, call: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: str = "double") -> DataFrame:
+        """(id, value): ``call(ids, vectors)`` gives the values of a batch of rows, of the Spark type ``kind``."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(call(b.column(0).to_numpy(), matrix(b.column(1))))], names=["id", "value"])
+
+        return self.scan().mapInArrow(run, f"id bigint, value {kind}")
+
     def metadata(self) -> DataFrame:
         n = self.table.agg(F.count("*").cast("bigint").alias("count"))
         return n.select(F.lit(self.dim).alias("dim"), F.lit(self.mode).alias("mode"), "count", (20 + 4 * F.col("count") + F.col("count") * self.dim * (V.bits(self.mode) // 8)).alias("bytes"))
@@ -75,24 +94,30 @@ def cached(spark: SparkSession, folder: str, make) -> Index:
     return load(spark, folder)
 
 
-def check(vectors: DataFrame, dim: int | None = None) -> int:
-    """Dimension of rows (id, vec); an error for none, null, repeated or unequal ones. One pass and one shuffle of ids."""
-    sizes = vectors.agg(
+def measured(vectors: DataFrame, dim: int | None = None) -> tuple[int, int]:
+    """(dimension, number) of rows (id, vec); an error for none, null, repeated or unequal ones. One job, which shuffles the ids alone."""
+    found = vectors.agg(
         F.count("*").alias("n"),
         F.sum((F.col("id").isNull() | F.col("vec").isNull() | F.exists("vec", lambda x: x.isNull())).cast("int")).alias("nulls"),
         F.min(F.size("vec")).alias("least"),
         F.max(F.size("vec")).alias("most"),
+        F.count_distinct("id").alias("ids"),
     ).first()
-    if not sizes["n"]:
+    if not found["n"]:
         raise VectorError("there are no vectors")
-    if sizes["nulls"]:
-        raise VectorError(f"{sizes['nulls']} rows have a null id, vector or component")
-    if sizes["least"] != sizes["most"] or dim and sizes["most"] != dim:
-        raise VectorError(f"dimensions from {sizes['least']} to {sizes['most']}, expected {dim or 'one'}")
-    twice = vectors.groupBy("id").count().where("count > 1").first()
-    if twice:
+    if found["nulls"]:
+        raise VectorError(f"{found['nulls']} rows have a null id, vector or component")
+    if found["least"] != found["most"] or dim and found["most"] != dim:
+        raise VectorError(f"dimensions from {found['least']} to {found['most']}, expected {dim or 'one'}")
+    if found["ids"] < found["n"]:
+        twice = vectors.groupBy("id").count().where("count > 1").first()
         raise VectorError(f"id {twice['id']} occurs {twice['count']} times")
-    return sizes["most"]
+    return found["most"], found["n"]
+
+
+def check(vectors: DataFrame, dim: int | None = None) -> int:
+    """Dimension of rows (id, vec), with the errors of ``measured``."""
+    return measured(vectors, dim)[0]
 
 
 def build(vectors: DataFrame, mode: str = "int8", dim: int | None = None, id_col: str = "id", vec_col: str = "vec", validate: bool = True) -> Index:
@@ -103,26 +128,29 @@ def build(vectors: DataFrame, mode: str = "int8", dim: int | None = None, id_col
         dim = check(rows, dim)
     if dim is None:
         raise VectorError("dim is needed for vectors that aren't checked")
-    return Index(rows.select("id", V.quantize(V.normalize("vec"), mode).alias("codes")), dim, mode)
+    return Index(rows.select("id", V.quantize(V.normalize("vec"), mode).alias("codes")), dim, mode, rows)
 
 
 def _queries(index: Index, queries: DataFrame, id_col: str, vec_col: str, normalized: bool, k: int, check_dim: bool) -> DataFrame:
     if k < 1:
         raise VectorError("k must be positive")
     rows = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
-    if check_dim:
+    if check_dim and not (index.raw is not None and rows.sameSemantics(index.raw)):  # what the index was built from was checked
         wrong = rows.where(F.col("vec").isNull() | (F.size("vec") != index.dim)).first()
         if wrong:
             raise VectorError(f"query {wrong['id']} isn't of dimension {index.dim}")
-    return rows if normalized else rows.select("id", V.normalize("vec").alias("vec"))
+    return rows
 
 
 def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "id", vec_col: str = "vec", normalized: bool = False, exclude_self: bool = False, check_dim: bool = True) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` rows with the largest inner product for each query."""
     own = _queries(index, queries, id_col, vec_col, normalized, k, check_dim)
     scale = float(V.SCALES.get(index.mode, 1))
+    mode, asked = index.mode, None if normalized else unit_rows
+    if index.raw is not None:
+        return ranked(solve(own, index.raw, k, "dot", _KINDS[mode], scale, exclude_self, asked, lambda m: quantize_rows(unit_rows(m), mode)), k)
     corpus = index.table.select("id", F.col("codes").alias("vec"))
-    return ranked(solve(own, corpus, k, "dot", _KINDS[index.mode], scale, exclude_self), k)
+    return ranked(solve(own, corpus, k, "dot", _KINDS[mode], scale, exclude_self, asked), k)
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str, exclude_self: bool = False) -> DataFrame:
@@ -133,16 +161,17 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str, exclude_
     return found.select("query_id", "id", away.alias("distance"), "rank")
 
 
-def solve(queries: DataFrame, corpus: DataFrame, k: int, metric: str, kind: str, scale: float, exclude_self: bool) -> DataFrame:
+def solve(queries: DataFrame, corpus: DataFrame, k: int, metric: str, kind: str, scale: float, exclude_self: bool, ask: Callable | None = None, keep: Callable | None = None) -> DataFrame:
     """(query_id, id, score): the best ``k`` of each task, which hold the best of all.
 
     Blocks of queries are paired with blocks of the corpus, by broadcast where Spark finds a side small and as a
     cartesian product otherwise; a task keeps the best of a query over all of its blocks. A cartesian product reads
-    each side many times, so both are then packed once and written.
+    each side many times, so both are then packed once and written. ``ask`` and ``keep`` are applied to the vectors of
+    queries and corpus as they are packed.
     """
     once = not small(queries) and not small(corpus)
-    left = pack(queries, QUERY_ROWS, "float32").select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
-    right = pack(corpus, CORPUS_ROWS, kind).select("ids", "matrix")
+    left = pack(queries, QUERY_ROWS, "float32", ask).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
+    right = pack(corpus, CORPUS_ROWS, kind, keep).select("ids", "matrix")
     if once:
         left, right = materialize(left, "query-blocks"), materialize(right, "corpus-blocks")
 
@@ -172,7 +201,8 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
 
 def search_native(index: Index, queries: DataFrame, k: int = 10, id_col: str = "id", vec_col: str = "vec", normalized: bool = False, exclude_self: bool = False) -> DataFrame:
     """As ``search``, by a join of all pairs and a window that keeps the best ``k`` before it shuffles."""
-    own = _queries(index, queries, id_col, vec_col, normalized, k, False).select(F.col("id").alias("query_id"), F.col("vec").alias("query"))
+    own = _queries(index, queries, id_col, vec_col, normalized, k, False)
+    own = own.select(F.col("id").alias("query_id"), (F.col("vec") if normalized else V.normalize("vec")).alias("query"))
     pairs = index.table.crossJoin(own)
     if exclude_self:
         pairs = pairs.where(F.col("id") != F.col("query_id"))

@@ -128,10 +128,8 @@ def pairwise_most_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def similarity_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs and their largest similarity, by the labels of both."""
-    labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    pairs = E.pairwise(vectors(spark, sf_dir))
-    pairs = pairs.join(labels.select(F.col("vec_id").alias("a"), F.col("label").alias("label_a")), "a").join(labels.select(F.col("vec_id").alias("b"), F.col("label").alias("label_b")), "b")
-    return pairs.groupBy("label_a", "label_b").agg(F.count("*").alias("pairs"), F.max("similarity").alias("most"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    return E.similarity_of_groups(rows, "label").withColumnsRenamed({"group_a": "label_a", "group_b": "label_b"})
 
 
 def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
