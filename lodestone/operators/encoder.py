@@ -1,7 +1,10 @@
 """Transformer encoder of quantised weights in numpy, and text-to-vector as a DataFrame operation.
 
-A model file is opened once in each Python worker. Weights are kept in single precision; activations are rounded to
-8 bits with one scale a tensor before every product, as the quantised arithmetic prescribes. The exponential is exact.
+A model file is opened once in each Python worker and mapped, so the workers of a machine share its 8-bit weights. A
+batch of texts goes through a layer together, whose weights are expanded to single precision for it and given up again:
+a worker holds one matrix, whatever the model's size. Activations are rounded to 8 bits with one scale a text's tensor
+before every product, as the quantised arithmetic prescribes, so a text's vector doesn't depend on its batch. Texts of
+equal length share the products of attention. The exponential is exact.
 """
 
 from __future__ import annotations
@@ -89,6 +92,22 @@ def product(x: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return (codes.astype(np.float32) @ weight.T) * scale
 
 
+def product_rows(x: np.ndarray, weight: np.ndarray, begin: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """``product`` of several texts at once: rows from ``begin`` on have one scale, ``owner`` is the text of each row."""
+    most = np.maximum.reduceat(np.abs(x).max(axis=1), begin)
+    scale = np.where(most > 0, most / np.float32(127), np.float32(1)).astype(np.float32)
+    y = x * (np.float32(1) / scale)[owner][:, None]
+    codes = np.clip(np.trunc(y + np.copysign(np.float32(0.5), y)), -127, 127)
+    return (codes @ weight.T) * scale[owner][:, None]
+
+
+def product_q8(codes: np.ndarray, scale: np.float32, blocks: np.ndarray) -> np.ndarray:
+    """``codes @ weight.T`` for a weight of rows of 8-bit blocks: sums of a block in 32-bit integers, then scaled and added."""
+    a = codes.reshape(len(codes), 1, -1, 32).astype(np.int32)
+    sums = (a * blocks["codes"].astype(np.int32)[None]).sum(axis=-1, dtype=np.int32)
+    return (sums.astype(np.float32) * blocks["scale"].astype(np.float32)[None]).sum(axis=-1, dtype=np.float32) * scale
+
+
 def product_int8(a: np.ndarray, a_scale: np.float32, b: np.ndarray, b_scale: np.float32) -> np.ndarray:
     """``a @ b.T`` of codes, summed in 32-bit integers."""
     return (a.astype(np.int32) @ b.astype(np.int32).T).astype(np.float32) * (a_scale * b_scale)
@@ -135,6 +154,14 @@ def attention(q: np.ndarray, k: np.ndarray, v: np.ndarray, scale: float, mask: n
     return np.einsum("hst,thd->shd", softmax(logits), v)
 
 
+def attention_many(q: np.ndarray, k: np.ndarray, v: np.ndarray, scale: float) -> np.ndarray:
+    """``attention`` of texts of equal length, (texts, tokens, heads, head_dim) each, by matrix products."""
+    group = q.shape[2] // k.shape[2]
+    q = q.transpose(0, 2, 1, 3)
+    k, v = (np.repeat(t.transpose(0, 2, 1, 3), group, axis=1) for t in (k, v))
+    return (softmax((q @ k.transpose(0, 1, 3, 2)) * np.float32(scale)) @ v).transpose(0, 2, 1, 3)
+
+
 def pool(x: np.ndarray, how: str = "mean", dim: int | None = None) -> np.ndarray:
     """One vector of the first ``dim`` components of all tokens."""
     x = x[:, : dim or x.shape[1]]
@@ -147,37 +174,48 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Weights and tokenizer of one model file."""
+    """Tokenizer and mapped weights of one model file. ``keep`` holds expanded weights, for many calls with few texts."""
 
     _MATRICES = ("attn_q", "attn_k", "attn_v", "attn_output", "ffn_gate", "ffn_up", "ffn_down")
     _NORMS = ("attn_q_norm", "attn_k_norm", "post_attention_norm", "post_ffw_norm")
 
-    def __init__(self, model: Model):
-        self.config = read_config(model)
+    def __init__(self, model: Model, keep: bool = False):
+        self.config, self.model = read_config(model), model
         name = next((n for n in ("token_embd.weight", "model.embed_tokens.weight") if n in model.tensors), None)
         if name is None:
             raise GGUFError("no token embeddings")
-        self.embed = self._quantised(model, name)
-        self.layers = []
+        self.embed_name, self.kept = self._quantised(name), {} if keep else None
+        self.norms = []
         for i in range(self.config.layers):
-            layer = {n: self._quantised(model, f"blk.{i}.{n}.weight") for n in self._MATRICES}
-            layer |= {n: model.floats(f"blk.{i}.{n}.weight") for n in ("attn_norm", "ffn_norm")}
+            for n in self._MATRICES:
+                self._quantised(f"blk.{i}.{n}.weight")
+            layer = {n: model.floats(f"blk.{i}.{n}.weight") for n in ("attn_norm", "ffn_norm")}
             layer |= {n: model.floats(f"blk.{i}.{n}.weight") for n in self._NORMS if f"blk.{i}.{n}.weight" in model.tensors}
-            self.layers.append(layer)
+            self.norms.append(layer)
         self.last_norm = model.floats("output_norm.weight") if "output_norm.weight" in model.tensors else None
         self.tokenizer = Tokenizer.from_metadata(model.metadata)
 
-    @staticmethod
-    def _quantised(model: Model, name: str) -> np.ndarray:
-        t = model.tensors.get(name)
+    def _quantised(self, name: str) -> str:
+        t = self.model.tensors.get(name)
         if t is None:
             raise GGUFError(f"no tensor {name}")
         if t.dtype != "Q8_0":
             raise GGUFError(f"tensor {name} is {t.dtype}, not Q8_0")
-        return model.floats(name)
+        return name
 
-    def forward(self, ids: list[int], dim: int | None = None) -> np.ndarray:
-        """Unit vector of the first ``dim`` components of the mean over tokens."""
+    def _weight(self, name: str) -> np.ndarray:
+        if self.kept is None:
+            return self.model.floats(name)
+        if name not in self.kept:
+            self.kept[name] = self.model.floats(name)
+        return self.kept[name]
+
+    def _embedded(self, ids: np.ndarray) -> np.ndarray:
+        if self.config.dim % 32:
+            return self._weight(self.embed_name)[ids]
+        return self.model.take(self.embed_name, ids)
+
+    def check(self, ids: list[int]) -> None:
         c = self.config
         if not ids:
             raise ValueError("no tokens")
@@ -185,46 +223,95 @@ class Encoder:
             raise ValueError(f"{len(ids)} tokens are more than {c.longest}")
         if min(ids) < 0 or max(ids) >= c.vocab:
             raise ValueError("token out of range")
-        x = self.embed[ids].astype(np.float32) * np.float32(np.sqrt(c.dim))
-        places = np.arange(len(ids))
-        for layer in self.layers:
-            y = rms_norm(x, layer["attn_norm"], c.eps)
-            q, k, v = (product(y, layer[n]).reshape(len(ids), -1, c.head_dim) for n in ("attn_q", "attn_k", "attn_v"))
-            if "attn_q_norm" in layer:
-                q = rms_norm(q, layer["attn_q_norm"], c.eps)
-            if "attn_k_norm" in layer:
-                k = rms_norm(k, layer["attn_k_norm"], c.eps)
-            mixed = attention(rope(q, places, c.base), rope(k, places, c.base), v, c.head_dim**-0.5)
-            y = product(mixed.reshape(len(ids), -1), layer["attn_output"])
-            if "post_attention_norm" in layer:
-                y = rms_norm(y, layer["post_attention_norm"], c.eps)
+
+    def forward(self, ids: list[int], dim: int | None = None) -> np.ndarray:
+        """Unit vector of the first ``dim`` components of the mean over tokens."""
+        return self.forward_many([ids], [dim])[0]
+
+    def forward_many(self, texts: list[list[int]], dims: list[int | None]) -> list[np.ndarray]:
+        """``forward`` of several texts, layer by layer together."""
+        c = self.config
+        for ids in texts:
+            self.check(ids)
+        order = sorted(range(len(texts)), key=lambda n: len(texts[n]))  # texts of equal length beside each other
+        length = np.array([len(texts[n]) for n in order])
+        begin = np.cumsum(length) - length
+        owner = np.repeat(np.arange(len(order)), length)
+        places = np.arange(int(length.sum())) - begin[owner]
+        edge = np.flatnonzero(np.diff(length, prepend=-1))
+        runs = [(int(begin[a]), int(z - a), int(length[a])) for a, z in zip(edge, np.append(edge[1:], len(length)))]  # (first row, texts, tokens each)
+        x = self._embedded(np.concatenate([texts[n] for n in order])).astype(np.float32) * np.float32(np.sqrt(c.dim))
+        for i, norms in enumerate(self.norms):
+            weight = lambda n: self._weight(f"blk.{i}.{n}.weight")  # noqa: B023, E731
+            y = rms_norm(x, norms["attn_norm"], c.eps)
+            q, k, v = (product_rows(y, weight(n), begin, owner).reshape(len(x), -1, c.head_dim) for n in ("attn_q", "attn_k", "attn_v"))
+            if "attn_q_norm" in norms:
+                q = rms_norm(q, norms["attn_q_norm"], c.eps)
+            if "attn_k_norm" in norms:
+                k = rms_norm(k, norms["attn_k_norm"], c.eps)
+            q, k = rope(q, places, c.base), rope(k, places, c.base)
+            mixed = np.empty_like(q)
+            for first, many, tokens in runs:
+                rows = slice(first, first + many * tokens)
+                mixed[rows] = attention_many(*(t[rows].reshape(many, tokens, -1, c.head_dim) for t in (q, k, v)), c.head_dim**-0.5).reshape(many * tokens, -1, c.head_dim)
+            y = product_rows(mixed.reshape(len(x), -1), weight("attn_output"), begin, owner)
+            if "post_attention_norm" in norms:
+                y = rms_norm(y, norms["post_attention_norm"], c.eps)
             x = x + y
-            y = rms_norm(x, layer["ffn_norm"], c.eps)
-            y = product(gelu_quick(product(y, layer["ffn_gate"])) * product(y, layer["ffn_up"]), layer["ffn_down"])
-            if "post_ffw_norm" in layer:
-                y = rms_norm(y, layer["post_ffw_norm"], c.eps)
+            y = rms_norm(x, norms["ffn_norm"], c.eps)
+            y = gelu_quick(product_rows(y, weight("ffn_gate"), begin, owner)) * product_rows(y, weight("ffn_up"), begin, owner)
+            y = product_rows(y, weight("ffn_down"), begin, owner)
+            if "post_ffw_norm" in norms:
+                y = rms_norm(y, norms["post_ffw_norm"], c.eps)
             x = x + y
         if self.last_norm is not None:
             x = rms_norm(x, self.last_norm, c.eps)
-        return unit(pool(x, "mean", dim if dim and 0 < dim <= c.dim else None)).astype(np.float32)
+        out: list[np.ndarray] = [np.zeros(0)] * len(texts)
+        for n, first, tokens in zip(order, begin, length):
+            dim = dims[n]
+            out[n] = unit(pool(x[first : first + tokens], "mean", dim if dim and 0 < dim <= c.dim else None)).astype(np.float32)
+        return out
 
     def embed_text(self, text: str, dim: int | None = None) -> np.ndarray:
         """A text with more tokens than the model takes is an error; nothing is cut off."""
         return self.forward(self.tokenizer.encode(text), dim)
 
+    def embed_many(self, texts: list[str], dims: list[int | None], tokens: int = 4096) -> list[np.ndarray | ValueError]:
+        """Vectors of texts, or the error of one that can't be encoded; about ``tokens`` tokens go through the layers at once."""
+        out: list[np.ndarray | ValueError] = []
+        for text in texts:
+            try:
+                ids = self.tokenizer.encode(text)
+                self.check(ids)
+                out.append(ids)
+            except ValueError as e:
+                out.append(e)
+        order = sorted((n for n, ids in enumerate(out) if not isinstance(ids, ValueError)), key=lambda n: len(out[n]))
+        low = 0
+        while low < len(order):
+            high, total = low, 0
+            while high < len(order) and (high == low or total + len(out[order[high]]) <= tokens):
+                total += len(out[order[high]])
+                high += 1
+            own = order[low:high]
+            for n, vec in zip(own, self.forward_many([out[n] for n in own], [dims[n] for n in own])):
+                out[n] = vec
+            low = high
+        return out
+
 
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """Opened once in each process. ``path`` is a file, or the name of one given to ``SparkContext.addFile``."""
+def encoder(path: str, keep: bool = False) -> Encoder:
+    """Opened once in each process, expanded weights kept if the first call says so. ``path`` is a file, or the name of one given to ``SparkContext.addFile``."""
     if path not in _encoders:
         _encoders.clear()
-        _encoders[path] = Encoder(open_file(path if "/" in path else SparkFiles.get(path)))
+        _encoders[path] = Encoder(open_file(path if "/" in path else SparkFiles.get(path)), keep)
     return _encoders[path]
 
 
-def embed(requests: DataFrame, path: str, id_col: str = "id", strict: bool = True, batch: int = 128) -> DataFrame:
+def embed(requests: DataFrame, path: str, id_col: str = "id", strict: bool = True, batch: int = 512) -> DataFrame:
     """(id, vec, error) of requests (task, content, title, description, dim; all but content may be absent).
 
     ``strict``: requests without a prompt or with an unsupported dimension fail the call before any text is encoded,
@@ -246,17 +333,16 @@ def embed(requests: DataFrame, path: str, id_col: str = "id", strict: bool = Tru
         for b in batches:
             for low in range(0, b.num_rows, batch):
                 part = b.slice(low, batch)
-                vecs, errors = [], part.column(3).to_pylist()
-                for k, (prompt, size) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
-                    vec = None
-                    if errors[k] is None:
-                        try:
-                            vec = model.embed_text(prompt, size)
-                        except ValueError as e:
-                            if strict:
-                                raise
-                            errors[k] = str(e)
-                    vecs.append(vec)
+                errors, prompts, sizes = (part.column(n).to_pylist() for n in (3, 1, 2))
+                vecs: list[np.ndarray | None] = [None] * part.num_rows
+                good = [n for n, e in enumerate(errors) if e is None]
+                for n, got in zip(good, model.embed_many([prompts[n] for n in good], [sizes[n] for n in good])):
+                    if isinstance(got, ValueError):
+                        if strict:
+                            raise got
+                        errors[n] = str(got)
+                    else:
+                        vecs[n] = got
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vecs, pa.list_(pa.float32())), pa.array(errors, pa.string())], names=["id", "vec", "error"])
 
     return rows.mapInArrow(run, "id bigint, vec array<float>, error string")
@@ -272,4 +358,4 @@ def embed_texts(texts: DataFrame, path: str, task: str = "SearchQuery", dim: int
 def embed_one(path: str, content: str, task: str = "SearchQuery", dim: int = 0, title: str | None = None, description: str | None = None) -> np.ndarray:
     """One request, in this process."""
     prompt, size = P.build_prompt(task, content, title, description), P.resolve_dim(dim)
-    return encoder(path).embed_text(prompt, size)
+    return encoder(path, keep=True).embed_text(prompt, size)

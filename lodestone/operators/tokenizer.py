@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 FIRST_BYTE = 238
+_CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_KEPT = 100_000
 _ONE_SPACE = re.compile(r"(?<! ) (?! )")
 
 
@@ -60,6 +62,9 @@ class Tokenizer:
         self.ids = {t: i for i, t in enumerate(self.vocab)}
         # merges of equal scores go from the right
         self.gain = {t: -self.scores[i] for t, i in self.ids.items()}
+        # no merge joins a mark to what is before it, so a text falls into words that are merged by themselves
+        self.by_word = not any(MARK in t.lstrip(MARK) for t in self.vocab)
+        self.known: dict[str, list[str]] = {}
 
     @classmethod
     def from_metadata(cls, metadata: dict[str, object]) -> Tokenizer:
@@ -73,7 +78,21 @@ class Tokenizer:
         return cls(list(metadata[prefix + "tokens"]), [float(x) for x in metadata[prefix + "scores"]], list(types), **flags, **special)
 
     def pieces(self, text: str) -> list[str]:
-        """Symbols after all merges, best score first and rightmost of equals, by a heap instead of a scan for each."""
+        """Symbols after all merges, best score first and rightmost of equals. Words are merged once and kept."""
+        if not self.by_word:
+            return self.merged(text)
+        out: list[str] = []
+        for word in _CHUNK.findall(text):
+            got = self.known.get(word)
+            if got is None:
+                if len(self.known) >= _KEPT:
+                    self.known.clear()
+                got = self.known[word] = self.merged(word)
+            out += got
+        return out
+
+    def merged(self, text: str) -> list[str]:
+        """``pieces`` of a text as one, by a heap instead of a scan for each merge."""
         gain = self.gain
         part: list[str | None] = list(text)
         n = len(part)

@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.operators.shared import place, write_bytes
+
 VERSION = 3
 ALIGN = 32
 #: Name, bytes of a block and values in it (0: of variable size) of each tensor type.
@@ -45,10 +47,31 @@ class Tensor:
         return int(np.prod(self.shape, dtype=np.int64))
 
 
+class Ranges:
+    """A file that isn't local, read by ranges; what lies around a small one is kept for the next."""
+
+    AHEAD = 1 << 20
+
+    def __init__(self, uri: str):
+        system, path = place(uri)
+        self.file = system.open_input_file(path)
+        self.size, self.first, self.kept = self.file.size(), 0, b""
+
+    def __len__(self) -> int:
+        return self.size
+
+    def read(self, at: int, n: int) -> bytes:
+        if n > self.AHEAD:
+            return self.file.read_at(n, at)
+        if at < self.first or at + n > self.first + len(self.kept):
+            self.first, self.kept = at, self.file.read_at(min(self.AHEAD, max(0, self.size - at)), at)
+        return self.kept[at - self.first : at - self.first + n]
+
+
 class Model:
     """A file's bytes, read as far as its tensor data; tensors are views, so a mapped file isn't copied."""
 
-    def __init__(self, raw: bytes | np.memmap):
+    def __init__(self, raw: bytes | np.memmap | Ranges):
         self.raw = raw
         self.metadata: dict[str, object] = {}
         self.types: dict[str, str] = {}
@@ -59,9 +82,12 @@ class Model:
         except (struct.error, UnicodeDecodeError, OverflowError, MemoryError) as e:
             raise GGUFError(f"broken file: {e}") from None
 
+    def _slice(self, at: int, n: int) -> bytes:
+        return self.raw.read(at, n) if isinstance(self.raw, Ranges) else bytes(self.raw[at : at + n])
+
     def _take(self, form: str):
         size = struct.calcsize("<" + form)
-        out = struct.unpack("<" + form, bytes(self.raw[self._at : self._at + size]))
+        out = struct.unpack("<" + form, self._slice(self._at, size))
         self._at += size
         return out[0]
 
@@ -69,7 +95,7 @@ class Model:
         n = self._take("Q")
         if self._at + n > len(self.raw):
             raise GGUFError("string beyond the end")
-        out = bytes(self.raw[self._at : self._at + n]).decode("utf-8", "replace")
+        out = self._slice(self._at, n).decode("utf-8", "replace")
         self._at += n
         return out
 
@@ -86,7 +112,7 @@ class Model:
                 dtype = np.dtype("<" + _VALUES[inner].replace("I", "u4").replace("i", "i4").replace("Q", "u8").replace("q", "i8").replace("H", "u2").replace("h", "i2").replace("f", "f4").replace("d", "f8").replace("B", "u1").replace("b", "i1"))
                 if self._at + n * dtype.itemsize > len(self.raw):
                     raise GGUFError("array beyond the end")
-                out = np.frombuffer(self.raw, dtype, n, self._at).tolist()
+                out = np.frombuffer(self._slice(self._at, n * dtype.itemsize), dtype).tolist()
                 self._at += n * dtype.itemsize
                 return out
             return [self._value(inner) for _ in range(n)]
@@ -95,7 +121,7 @@ class Model:
     def _parse(self) -> None:
         if len(self.raw) < 24:
             raise GGUFError("too short for a header")
-        if bytes(self.raw[:4]) != b"GGUF":
+        if self._slice(0, 4) != b"GGUF":
             raise GGUFError("no GGUF file")
         self._at = 4
         if (version := self._take("I")) != VERSION:
@@ -115,14 +141,15 @@ class Model:
             self.tensors[name] = Tensor(name, kind, shape, offset, size)
         self.start = -(-self._at // ALIGN) * ALIGN
 
-    def data(self, name: str) -> np.ndarray:
-        """Bytes of a tensor."""
+    def data(self, name: str, first: int = 0, n: int | None = None) -> np.ndarray:
+        """Bytes of a tensor, or ``n`` of them from the ``first`` on."""
         t = self.tensors.get(name)
         if t is None:
             raise GGUFError(f"no tensor {name}")
         if self.start + t.offset + t.size > len(self.raw):
             raise GGUFError(f"tensor {name} beyond the end")
-        return np.frombuffer(self.raw, np.uint8, t.size, self.start + t.offset)
+        at, n = self.start + t.offset + first, t.size - first if n is None else min(n, t.size - first)
+        return np.frombuffer(self.raw.read(at, n), np.uint8) if isinstance(self.raw, Ranges) else np.frombuffer(self.raw, np.uint8, n, at)
 
     def view(self, name: str, dtype: str) -> np.ndarray:
         """A tensor of type F32, I8 or I32 as an array; another type than it has is an error."""
@@ -132,6 +159,20 @@ class Model:
             raise GGUFError(f"tensor {name} is {t.dtype}, not {dtype}")
         return raw.view({"F32": "<f4", "I8": "i1", "I32": "<i4"}[dtype]).reshape(t.shape[::-1])
 
+    def rows(self, name: str, first: int, n: int) -> np.ndarray:
+        """``n`` rows from the ``first`` on of a tensor of type F32 or Q8_0 in single precision; only their bytes are read."""
+        width, line = _line(self.tensors[name])
+        raw = self.data(name, first * line, n * line)
+        values = raw.view("<f4") if self.tensors[name].dtype == "F32" else dequantize_q8(raw, len(raw) // Q8_BLOCK.itemsize * 32)
+        return values.reshape(-1, width)
+
+    def take(self, name: str, at: np.ndarray) -> np.ndarray:
+        """The rows ``at`` of a tensor, as ``rows``."""
+        width, line = _line(self.tensors[name])
+        raw = self.data(name)
+        own = raw[: len(raw) // line * line].reshape(-1, line)[at]
+        return own.view("<f4") if self.tensors[name].dtype == "F32" else dequantize_q8(np.ascontiguousarray(own).reshape(-1), len(at) * width).reshape(-1, width)
+
     def floats(self, name: str) -> np.ndarray:
         """A tensor of type F32 or Q8_0 in single precision, its last dimension first as in memory."""
         t = self.tensors.get(name)
@@ -162,12 +203,26 @@ def quantize_q8(values: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def _line(t: Tensor) -> tuple[int, int]:
+    """Values and bytes of a row of a tensor that ``Model.rows`` can cut."""
+    width = t.shape[0] if t.shape else 1
+    if t.dtype == "F32":
+        return width, 4 * width
+    if t.dtype == "Q8_0" and width % 32 == 0:
+        return width, width // 32 * Q8_BLOCK.itemsize
+    raise GGUFError(f"tensor {t.name} of type {t.dtype} and shape {t.shape} has no rows of its own")
+
+
 def open_bytes(raw: bytes) -> Model:
     return Model(raw)
 
 
 def open_file(path: str) -> Model:
-    """Mapped, so executors on one machine share the pages."""
+    """A local file is mapped, so executors on one machine share the pages; another is read by ranges."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    if "://" in path:
+        return Model(Ranges(path))
     with open(path, "rb") as f:
         if not f.read(1):
             raise GGUFError("empty file")
@@ -175,7 +230,17 @@ def open_file(path: str) -> Model:
 
 
 def write(path: str, metadata: dict[str, tuple[int, object]], tensors: dict[str, tuple[int, tuple[int, ...], bytes]]) -> None:
-    """A file of metadata (type, value) and tensors (type, shape, bytes); an array's value is (type of its values, list)."""
+    """Write ``encode`` to a local path or a qualified one."""
+    raw = encode(metadata, tensors)
+    if "://" in path:
+        write_bytes(path, raw)
+        return
+    with open(path, "wb") as f:
+        f.write(raw)
+
+
+def encode(metadata: dict[str, tuple[int, object]], tensors: dict[str, tuple[int, tuple[int, ...], bytes]]) -> bytes:
+    """The bytes of a file of metadata (type, value) and tensors (type, shape, bytes); an array's value is (type of its values, list)."""
 
     def text(s: str) -> bytes:
         raw = s.encode()
@@ -191,24 +256,32 @@ def write(path: str, metadata: dict[str, tuple[int, object]], tensors: dict[str,
     out = b"GGUF" + struct.pack("<IQQ", VERSION, len(tensors), len(metadata))
     for key, (kind, v) in metadata.items():
         out += text(key) + struct.pack("<I", kind) + value(kind, v)
-    body = b""
+    body, at = [], 0
     for name, (kind, shape, raw) in tensors.items():
-        body += b"\0" * (-len(body) % ALIGN)
-        out += text(name) + struct.pack(f"<I{len(shape)}QIQ", len(shape), *shape, kind, len(body))
-        body += raw
-    with open(path, "wb") as f:
-        f.write(out + b"\0" * (-len(out) % ALIGN) + body)
+        body.append(b"\0" * (-at % ALIGN))
+        at += len(body[-1])
+        out += text(name) + struct.pack(f"<I{len(shape)}QIQ", len(shape), *shape, kind, at)
+        body.append(raw)
+        at += len(raw)
+    return out + b"\0" * (-len(out) % ALIGN) + b"".join(body)
 
 
 def _each_file(spark: SparkSession, path: str, rows, schema: str, kinds: list[pa.DataType], names: list[str]) -> DataFrame:
+    """A task opens each file by itself and reads what it needs, so files can be of any size."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, cell in zip(b.column(0).to_pylist(), b.column(1)):
-                got = [(name, *r) for r in rows(Model(cell.as_py()))]
+            for name in b.column(0).to_pylist():
+                got = [(name, *r) for r in rows(open_file(name))]
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got), kinds)], names=names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+    return _files(spark, path).mapInArrow(run, schema)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(path) of the files of a path; what they hold isn't read."""
+    return spark.read.format("binaryFile").load(path).select("path")
 
 
 def scan_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -230,10 +303,35 @@ def scan_tensors(spark: SparkSession, path: str) -> DataFrame:
     return _each_file(spark, path, rows, "file string, name string, dtype string, shape array<bigint>, offset bigint, size bigint", kinds, ["file", "name", "dtype", "shape", "offset", "size"])
 
 
+PIECE = 64 << 20
+
+
 def scan_data(spark: SparkSession, path: str, tensor: str) -> DataFrame:
-    """(file, name, data) of one tensor of all files of a path that have it."""
+    """(file, name, at, data) of one tensor of all files of a path that have it, in pieces of ``PIECE`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file in b.column(0).to_pylist():
+                m = open_file(file)
+                t = m.tensors.get(tensor)
+                for at in range(0, max(1, t.size), PIECE) if t is not None else ():
+                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([tensor]), pa.array([at], pa.int64()), pa.array([m.data(tensor, at, PIECE).tobytes()], pa.binary())], names=["file", "name", "at", "data"])
+
+    return _files(spark, path).mapInArrow(run, "file string, name string, at bigint, data binary")
 
-    def rows(m: Model):
-        return [(tensor, m.data(tensor).tobytes())] if tensor in m.tensors else []
 
-    return _each_file(spark, path, rows, "file string, name string, data binary", [pa.string(), pa.string(), pa.binary()], ["file", "name", "data"])
+def scan_rows(spark: SparkSession, path: str, tensor: str) -> DataFrame:
+    """(file, row, values) of one tensor (F32 or Q8_0) of all files of a path that have it, in single precision, some thousand rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file in b.column(0).to_pylist():
+                m = open_file(file)
+                t = m.tensors.get(tensor)
+                n = t.elements // _line(t)[0] if t is not None and t.elements else 0
+                for low in range(0, n, 4096):
+                    part = m.rows(tensor, low, min(4096, n - low))
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * part.shape[1], pa.int32()), pa.array(part.reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(part)), pa.array(np.arange(low, low + len(part))), lists], names=["file", "row", "values"])
+
+    return _files(spark, path).mapInArrow(run, "file string, row bigint, values array<float>")

@@ -13,11 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import index as I
+from lodestone.operators.blocks import matrix, pack
 from lodestone.operators.forest import Forest, Options, Tree
+from lodestone.operators.shared import materialize, place, qualified, write_bytes
 
 _MODES = ["fp32", "int8", "int16"]
 _TYPES = {"fp32": "<f4", "int8": "i1", "int16": "<i2"}
@@ -35,9 +38,7 @@ def _ids(ids: np.ndarray) -> bytes:
 
 
 def write_exact(ids: np.ndarray, codes: np.ndarray, mode: str) -> bytes:
-    if codes.shape[1] >= 1 << 16:
-        raise FormatError("dimension doesn't fit in 16 bits")
-    return struct.pack("<4sHHIB7x", b"BRUT", 1, codes.shape[1], len(ids), _MODES.index(mode)) + _ids(ids) + codes.astype(_TYPES[mode]).tobytes()
+    return _header(codes.shape[1], len(ids), mode) + _ids(ids) + codes.astype(_TYPES[mode]).tobytes()
 
 
 def read_exact(raw: bytes) -> tuple[np.ndarray, np.ndarray, str]:
@@ -53,46 +54,100 @@ def read_exact(raw: bytes) -> tuple[np.ndarray, np.ndarray, str]:
     return np.frombuffer(raw, "<i4", n, 20).astype(np.int64), np.frombuffer(raw, kind, n * dim, 20 + 4 * n).reshape(n, dim), _MODES[mode]
 
 
+def _header(dim: int, n: int, mode: str) -> bytes:
+    if dim >= 1 << 16:
+        raise FormatError("dimension doesn't fit in 16 bits")
+    return struct.pack("<4sHHIB7x", b"BRUT", 1, dim, n, _MODES.index(mode))
+
+
 def export_exact(index: I.Index, path: str) -> int:
-    """Write one file from rows streamed to the driver, by id; its size. For indexes that fit one file."""
+    """Write one file, by id; its size. Rows are sorted and packed once by the executors and come to the driver a block at a time."""
+    spark, kind = index.table.sparkSession, np.dtype(_TYPES[index.mode])
     n = index.count()
-    kind = _TYPES[index.mode]
-    with open(path, "wb") as f:
-        f.write(struct.pack("<4sHHIB7x", b"BRUT", 1, index.dim, n, _MODES.index(index.mode)))
-        ordered = index.table.orderBy("id")
-        for r in ordered.select("id").toLocalIterator():
-            f.write(_ids(np.array([r.id])))
-        for r in ordered.select("codes").toLocalIterator():
-            f.write(np.array(r.codes, kind).tobytes())
+    ordered = index.table.select("id", F.col("codes").alias("vec")).orderBy("id")
+    place_of = F.split("block", "-")
+    blocks = materialize(pack(ordered, 8192, kind.name).select(place_of[0].cast("int").alias("part"), place_of[1].cast("int").alias("nth"), "ids", "matrix"), "index-blocks").orderBy("part", "nth")
+    system, name = place(qualified(spark, path))
+    with system.open_output_stream(name) as f:
+        f.write(_header(index.dim, n, index.mode))
+        for r in blocks.select("ids").toLocalIterator():
+            f.write(_ids(np.frombuffer(r.ids, np.int64)))
+        for r in blocks.select("matrix").toLocalIterator():
+            f.write(bytes(r.matrix))
         return f.tell()
 
 
-def scan_exact(spark: SparkSession, path: str) -> DataFrame:
-    """(file, id, vec) of all exact-index files of a path, dequantised."""
+def export_exact_files(index: I.Index, folder: str, rows: int = 1 << 20) -> DataFrame:
+    """Write files of about ``rows`` vectors each, by ranges of ids; (file, first_id, rows, bytes). Files of lost attempts aren't listed."""
+    spark = index.table.sparkSession
+    folder, dim, mode = qualified(spark, folder), index.dim, index.mode
+    kind = _TYPES[mode]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        ids, codes = [], []
         for b in batches:
-            for name, cell in zip(b.column(0).to_pylist(), b.column(1)):
-                ids, codes, mode = read_exact(cell.as_py())
-                vec = (codes / {"fp32": 1, "int8": 127, "int16": 32767}[mode]).astype(np.float32)
-                for low in range(0, len(ids), 4096):
-                    part = vec[low : low + 4096]
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * vec.shape[1], pa.int32()), pa.array(part.reshape(-1)))
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(ids[low : low + 4096]), lists], names=["file", "id", "vec"])
+            if b.num_rows:
+                ids.append(b.column(0).to_numpy())
+                codes.append(matrix(b.column(1)).astype(kind))
+        if ids:
+            own = np.concatenate(ids)
+            raw = _header(dim, len(own), mode) + _ids(own) + b"".join(c.tobytes() for c in codes)
+            name = f"index-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}.brut"
+            write_bytes(f"{folder}/{name}", raw)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array(own[:1]), pa.array([len(own)]), pa.array([len(raw)])], names=["file", "first_id", "rows", "bytes"])
+
+    parts = max(1, -(-index.count() // rows))
+    ordered = index.table.select("id", "codes").repartitionByRange(parts, "id").sortWithinPartitions("id")
+    return materialize(ordered.mapInArrow(run, "file string, first_id bigint, rows bigint, bytes bigint"), "index-files")
+
+
+def _open_exact(uri: str) -> tuple[pafs.FileSystem, str, int, int, str]:
+    """(file system, path, dimension, number, mode) of a file, from its header and size."""
+    system, path = place("file:///" + uri[5:].lstrip("/") if uri.startswith("file:") else uri)
+    with system.open_input_file(path) as f:
+        head, size = f.read_at(20, 0), f.size()
+    if len(head) < 20 or head[:4] != b"BRUT":
+        raise FormatError("no exact index")
+    _, version, dim, n, mode = struct.unpack_from("<4sHHIB", head)
+    if version != 1 or mode >= len(_MODES):
+        raise FormatError(f"version {version}, mode {mode}")
+    if size < 20 + 4 * n + n * dim * np.dtype(_TYPES[_MODES[mode]]).itemsize:
+        raise FormatError("file too short")
+    return system, path, dim, n, _MODES[mode]
+
+
+def _scan(files: DataFrame, codes: bool) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                system, path, dim, n, mode = _open_exact(name)
+                kind = np.dtype(_TYPES[mode])
+                with system.open_input_file(path) as f:
+                    for low in range(0, n, 4096):
+                        rows = min(4096, n - low)
+                        ids = np.frombuffer(f.read_at(4 * rows, 20 + 4 * low), "<i4").astype(np.int64)
+                        own = np.frombuffer(f.read_at(rows * dim * kind.itemsize, 20 + 4 * n + low * dim * kind.itemsize), kind)
+                        vec = own.astype(np.float32) if codes else (own / {"fp32": 1, "int8": 127, "int16": 32767}[mode]).astype(np.float32)
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * dim, pa.int32()), pa.array(vec))
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * rows), pa.array(ids), lists], names=["file", "id", "vec"])
+
+    return files.mapInArrow(run, "file string, id bigint, vec array<float>")
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, id bigint, vec array<float>")
+
+def scan_exact(spark: SparkSession, path: str) -> DataFrame:
+    """(file, id, vec) of all exact-index files of a path, dequantised; read by ranges, so files can be of any size."""
+    return _scan(spark.read.format("binaryFile").load(path).select("path"), False)
 
 
 def load_exact(spark: SparkSession, path: str) -> I.Index:
     """One file as an index; a file without vectors gives one that finds nothing."""
-    with open(path, "rb") as f:
-        ids, codes, mode = read_exact(f.read())
+    uri = qualified(spark, path)
+    _, _, dim, _, mode = _open_exact(uri)
     kind = {"fp32": "float", "int8": "tinyint", "int16": "smallint"}[mode]
-    table = scan_exact(spark, path).select("id", F.col("vec").alias("codes"))
-    if mode != "fp32":
-        scale = {"int8": 127, "int16": 32767}[mode]
-        table = table.select("id", F.transform("codes", lambda x: F.round(x.cast("double") * scale).cast(kind)).alias("codes"))
-    return I.Index(table, codes.shape[1], mode)
+    table = _scan(spark.createDataFrame([(uri,)], "path string"), True)
+    return I.Index(table.select("id", F.col("vec").cast(f"array<{kind}>").alias("codes")), dim, mode)
 
 
 def write_forest(forest: Forest) -> bytes:

@@ -92,6 +92,31 @@ def test_forward_against_plain_loops(toy):
     assert short == pytest.approx(got[:16] / np.linalg.norm(got[:16]), abs=1e-6)
 
 
+def test_a_batch_has_the_vectors_of_single_texts(toy):
+    e = N.encoder(toy[0])
+    texts = ["abc", "hello world", "xyz", "a", "hello there", "b|c, d", "hello world"]
+    ids = [e.tokenizer.encode(t) for t in texts]
+    many = e.forward_many(ids, [None, 16, None, None, 32, None, None])
+    for t, d, got in zip(ids, [None, 16, None, None, 32, None, None], many):
+        assert got == pytest.approx(e.forward(t, d), abs=1e-6)
+    got = e.embed_many([*texts, "q" * 99], [None] * 8, tokens=12)
+    assert isinstance(got[-1], ValueError) and got[1] == pytest.approx(e.embed_text(texts[1]), abs=1e-6)
+    kept = N.Encoder(G.open_file(toy[0]), keep=True)
+    assert (kept.forward(ids[1]) == e.forward(ids[1])).all() and len(kept.kept) == 7 * LAYERS
+
+
+def test_products_of_blocks():
+    rng = np.random.default_rng(1)
+    w = rng.standard_normal((5, 64)).astype(np.float32)
+    raw = G.quantize_q8(w)
+    x = rng.standard_normal((3, 64)).astype(np.float32)
+    codes, scale = N.quantize_tensor(x)
+    want = N.product(x, G.dequantize_q8(raw, w.size).reshape(w.shape))
+    assert N.product_q8(codes, scale, G.q8_blocks(raw).reshape(5, 2)) == pytest.approx(want, rel=1e-5, abs=1e-5)
+    own = N.product_rows(np.concatenate([x, 9 * x[:2]]), w, np.array([0, 3]), np.array([0, 0, 0, 1, 1]))
+    assert own[:3] == pytest.approx(N.product(x, w)) and own[3:] == pytest.approx(N.product(9 * x[:2], w))
+
+
 def test_errors(toy, tmp_path):
     e = N.encoder(toy[0])
     for bad in ([], [999], [-1], [4] * 65):
@@ -156,6 +181,12 @@ def test_model_files(spark, toy, tmp_path):
     assert G.scan_tensors(spark, path).where("dtype = 'Q8_0'").count() == 1 + 7 * LAYERS
     data = G.scan_data(spark, path, "output_norm.weight").first().data
     assert np.array_equal(np.frombuffer(data, "<f4"), plain["output_norm.weight"])
+    far = G.Model(G.Ranges("file://" + path))  # read by ranges, as a file that isn't local
+    assert far.metadata == m.metadata and all(np.array_equal(far.data(n), m.data(n)) for n in m.tensors)
+    assert np.array_equal(far.rows("token_embd.weight", 3, 4), plain["token_embd.weight"][3:7])
+    assert np.array_equal(m.take("token_embd.weight", np.array([5, 0, 5])), plain["token_embd.weight"][[5, 0, 5]])
+    rows = {r.row: r["values"] for r in G.scan_rows(spark, path, "blk.1.ffn_down.weight").collect()}
+    assert np.array_equal(np.array([rows[i] for i in range(DIM)], np.float32), plain["blk.1.ffn_down.weight"])
     for bad in (raw[:20], b"XXXX" + raw[4:], raw[:4] + b"\2" + raw[5:], raw[:100]):
         with pytest.raises(G.GGUFError):
             G.open_bytes(bad)

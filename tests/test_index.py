@@ -164,3 +164,31 @@ def test_sample_follows_the_seed(spark, gauss):
     rows = frame(spark, gauss)
     one, two = ({r.id for r in E.sample(rows.repartition(n), 20).collect()} for n in (1, 5))
     assert one == two and len(one) == 20 and one != {r.id for r in E.sample(rows, 20, seed=1).collect()}
+
+
+def test_callbacks(spark, gauss):
+    built = I.build(frame(spark, gauss[:20]), "int8")
+    total = spark.sparkContext.accumulator(0)
+    built.for_each(lambda i, v: total.add(i * len(v)))
+    assert total.value == 64 * sum(range(20))
+    rows = {r.id: r.value for r in built.map_rows(lambda ids, m: m.sum(axis=1).astype(float)).collect()}
+    want = {r.id: sum(r.vec) for r in built.scan().collect()}
+    assert rows == pytest.approx(want, abs=1e-5)
+    with pytest.raises(Exception, match="stop here"):
+        built.for_each(lambda i, v: (_ for _ in ()).throw(ValueError("stop here")))
+
+
+@pytest.mark.parametrize("mode", ["fp32", "int8", "int16"])
+def test_many_files(spark, tmp_path, gauss, mode):
+    built = I.build(frame(spark, gauss), mode)
+    listed = B.export_exact_files(built, str(tmp_path / "many"), 100).collect()
+    assert len(listed) == 3 and sum(r.rows for r in listed) == 256
+    rows = {r.id: r.vec for r in B.scan_exact(spark, str(tmp_path / "many")).collect()}
+    assert rows == {r.id: r.vec for r in built.scan().collect()}
+
+
+def test_groups(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0], 7), (2, [0.0, 2.0], 7), (3, [3.0, 3.0], 8), (4, None, 8), (5, [0.0, 0.0], 9), (6, [1.0, 1.0], None)], "id bigint, vec array<float>, g int")
+    got = {(r.group_a, r.group_b): (r.pairs, r.most) for r in E.similarity_of_groups(rows, "g").collect()}
+    half = pytest.approx(0.5**0.5)
+    assert got == {(7, 7): (1, 0.0), (7, 8): (2, half), (7, 9): (2, None), (8, 9): (1, None)}

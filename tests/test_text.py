@@ -36,6 +36,16 @@ def test_merges_equal_a_scan_of_all_pairs():
         assert t.pieces(text) == slow(t, text)
 
 
+def test_words_are_merged_as_the_whole_text():
+    rng = np.random.default_rng(2)
+    vocab = list("ab▁ ") + ["▁a", "▁▁", "ab", "▁ab", "aba", "▁▁a", "  ", "b ", "ba"]
+    t = K.Tokenizer(vocab, rng.integers(-4, 0, len(vocab)).astype(float).tolist())
+    assert t.by_word and not K.Tokenizer(["a", "▁", "a▁"], [0.0] * 3).by_word
+    for _ in range(300):
+        text = "".join(rng.choice(list("ab▁ c"), rng.integers(0, 25)))
+        assert t.pieces(text) == slow(t, text) == t.merged(text)
+
+
 def test_encode_and_decode():
     t = toy(add_bos=True, add_eos=True)
     ids = t.encode("hello world")
