@@ -310,6 +310,22 @@ def nodes(spark: SparkSession, folder: str) -> DataFrame:
     return load(spark, folder).select("shard", "file").mapInArrow(run, "shard int, tree int, node int, leaf boolean, hyperplane array<float>, threshold float, left int, right int, items array<bigint>")
 
 
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, vec) of the vectors that a forest's files hold."""
+    folder = qualified(spark, folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file in b.column(0).to_pylist():
+                forest = open_shard(folder, file)
+                for low in range(0, len(forest.ids), 4096):
+                    part = forest.vectors[low : low + 4096]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * part.shape[1], pa.int32()), pa.array(part.reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([pa.array(forest.ids[low : low + 4096]), lists], names=["id", "vec"])
+
+    return load(spark, folder).select("file").mapInArrow(run, "id bigint, vec array<float>")
+
+
 def _over_shards(queries: DataFrame, folder: str, answer, out: str, names: list[str]) -> DataFrame:
     """``answer(forest, ids, vectors, file)`` for every block of queries and every shard."""
     folder = qualified(queries.sparkSession, folder)

@@ -17,7 +17,7 @@ def shared_root(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which all executors share. Without one, a temporary folder on a local master and an error elsewhere."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
-        return named.rstrip("/")
+        return qualified(spark, named.rstrip("/"))
     master = spark.sparkContext.master
     if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")

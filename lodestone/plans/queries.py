@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,11 +13,16 @@ from pyspark.sql.window import Window
 from lodestone.functions import prompts as P
 from lodestone.functions import vector as V
 from lodestone.functions.stats import latency_summary
+from lodestone.operators import encoder as N
 from lodestone.operators import evaluate as E
 from lodestone.operators import forest as T
 from lodestone.operators import index as I
+from lodestone.operators import tokenizer as K_
+from lodestone.operators.shared import materialize, shared_folder, write_bytes
 from lodestone.operators.tokenizer import mark_spaces_column
-from lodestone.operators.shared import shared_folder
+from lodestone.sources import gguf as G
+from lodestone.sources import index_files as B
+from lodestone.sources import sample as S
 
 K = 10
 SWEEP_DIMS = [64, 32, 16, 8]
@@ -212,12 +219,195 @@ def forest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves.select("tree", F.explode("items").alias("id")).groupBy("tree").agg(F.count("*").alias("items"), F.countDistinct("id").alias("ids"))
 
 
+_META = {
+    "general.architecture": (8, "sample"), "general.name": (8, 'a "name" é'), "sample.count": (4, 7), "sample.small": (0, 255), "sample.signed": (1, -5), "sample.short": (2, 65535), "sample.signed_short": (3, -300),
+    "sample.signed_int": (5, -70000), "sample.share": (6, 0.25), "sample.yes": (7, True), "sample.large": (10, 1 << 40), "sample.signed_large": (11, -(1 << 40)), "sample.double": (12, 0.1), "sample.sizes": (9, (5, [3, -1, 2])), "sample.words": (9, (8, ["a", "b c"])),
+}
+_FILE_ROWS = 4096
+
+
+def _vector_files(spark: SparkSession, sf_dir: str) -> str:
+    """Model files of the vectors: one for each label and run of ``_FILE_ROWS`` ids, with ids, vectors and their 8-bit blocks by id."""
+    folder = shared_folder(spark, "vector-files")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        for b in batches:
+            for label, part, i, vec in zip(*(c.to_pylist() for c in b.columns)):
+                held.setdefault((label, part), []).append((i, vec))
+        for (label, part), rows in held.items():
+            ids, m = np.array([i for i, _ in rows], "<i4"), np.array([v for _, v in rows], "<f4")
+            tensors = {"ids": (18, (len(ids),), ids.tobytes()), "vectors": (0, m.shape[::-1], m.tobytes()), "blocks": (8, m.shape[::-1], G.quantize_q8(m))}
+            write_bytes(f"{folder}/label-{label}-{part}.gguf", G.encode({"general.architecture": (8, "vectors"), "vectors.label": (5, label)}, tensors))
+            yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([len(rows)], pa.int64())], names=["label", "rows"])
+
+    rows = table(spark, sf_dir, "embeddings").select("label", F.floor(F.col("vec_id") / _FILE_ROWS).cast("int").alias("part"), "vec_id", "embedding")
+    written = rows.repartition("label", "part").sortWithinPartitions("label", "part", "vec_id").mapInArrow(run, "label int, rows bigint")
+    written.agg(F.sum("rows")).collect()
+    return folder
+
+
+def gguf_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys, types and values of a file that has all kinds of values."""
+    path = f"{shared_folder(spark, 'model')}/kinds.gguf"
+    G.write(path, _META, {"x": (0, (1,), b"\0\0\0\0")})
+    return G.scan_metadata(spark, path).select("key", "type", "value")
+
+
+def gguf_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tensor directories of the files of all vectors."""
+    rows = G.scan_tensors(spark, _vector_files(spark, sf_dir))
+    return rows.select(F.regexp_extract("file", r"label-(-?\d+-\d+)\.", 1).alias("file"), "name", "dtype", "shape", "offset", "size")
+
+
+def _with_ids(spark: SparkSession, folder: str, tensor: str) -> DataFrame:
+    values = G.scan_rows(spark, folder, tensor)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file in b.column(0).to_pylist():
+                ids = G.open_file(file).view("ids", "I32").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(ids)), pa.array(np.arange(len(ids))), pa.array(ids)], names=["file", "row", "id"])
+
+    ids = spark.read.format("binaryFile").load(folder).select("path").mapInArrow(run, "file string, row bigint, id bigint")
+    return values.join(ids, ["file", "row"]).select("id", "values")
+
+
+def gguf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors read back from the files' tensors."""
+    return _with_ids(spark, _vector_files(spark, sf_dir), "vectors").withColumnRenamed("values", "vec")
+
+
+def gguf_q8_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every component of the 8-bit blocks is within half a step of the vector's: a step is a 127th of the largest of its block, in half precision."""
+    blocks = _with_ids(spark, _vector_files(spark, sf_dir), "blocks")
+    rows = blocks.join(vectors(spark, sf_dir), "id")
+    most = lambda b: F.array_max(F.transform(F.slice("vec", 32 * b + 1, 32), F.abs))
+    off = lambda b: F.array_max(F.zip_with(F.slice("vec", 32 * b + 1, 32), F.slice("values", 32 * b + 1, 32), lambda x, y: F.abs(x - y)))
+    return rows.select("id", *((off(b) <= most(b) / 127 * 0.57).alias(f"block_{b}") for b in range(2)))
+
+
+def index_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of the binary files of an int8 index, many files."""
+    folder = shared_folder(spark, "index-files")
+    B.export_exact_files(I.build(vectors(spark, sf_dir), "int8"), folder, 256)
+    return B.scan_exact(spark, folder).select("id", "vec")
+
+
+def index_file_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searched after it was written to one binary file and loaded."""
+    rows, path = vectors(spark, sf_dir), f"{shared_folder(spark, 'index-file')}/one.brut"
+    B.export_exact(I.build(rows, "int16"), path)
+    return I.search(B.load_exact(spark, path), rows, K)
+
+
+def index_file_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of the binary file of each mode."""
+    rows, sizes = vectors(spark, sf_dir), []
+    for mode in SWEEP_MODES:
+        sizes.append((mode, B.export_exact(I.build(rows, mode), f"{shared_folder(spark, 'index-file')}/{mode}.brut")))
+    return spark.createDataFrame(sizes, "mode string, bytes bigint")
+
+
+def forest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that the forest's files hold."""
+    folder = shared_folder(spark, "forest")
+    T.build(vectors(spark, sf_dir), folder, T.Options(trees=1, leaf=64))
+    return T.stored(spark, folder)
+
+
+def forest_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every hundredth vector finds at least nine tenths of its ten nearest, held against the exact search."""
+    rows, folder = vectors(spark, sf_dir), shared_folder(spark, "forest")
+    T.build(rows, folder, T.Options(trees=20, leaf=32))
+    asked = rows.where(F.col("id") % 100 == 0)
+    units = lambda df: df.select("id", V.normalize("vec").alias("vec"))
+    truth = I.nearest(units(asked), units(rows), K, "cosine", exclude_self=True)
+    found = E.recall(truth, T.search(asked, folder, K, exclude_self=True, recall=0.9))
+    return found.agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("enough"))
+
+
+def callback_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of every stored row: here the sum of the codes, as whole numbers."""
+    built = I.build(vectors(spark, sf_dir), "int8")
+    return built.map_rows(lambda ids, m: np.rint(m.astype(np.float64) * 127).sum(axis=1).astype(np.int64), "bigint").withColumnRenamed("value", "total")
+
+
+def tokenizer_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids by a vocabulary without merges: characters, and bytes of those that it hasn't."""
+    tokens, scores, types = S.vocabulary(merges=False)
+    rows = K_.encode(table(spark, sf_dir, "documents"), K_.Tokenizer(tokens, scores, types, nfkc=False), "doc_id")
+    total = F.aggregate("token_ids", F.lit(0).cast("bigint"), lambda s, x: s + x)
+    weighted = F.aggregate(F.transform("token_ids", lambda x, i: x.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return rows.select(F.col("id").alias("doc_id"), F.size("token_ids").alias("n"), total.alias("total"), weighted.alias("weighted"))
+
+
+def tokenizer_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether decoding the merged ids of a text gives it again; characters that became bytes apart."""
+    tokens, scores, types = S.vocabulary()
+    tokenizer = K_.Tokenizer(tokens, scores, types, nfkc=False)
+    plain = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"[^ -~\n]", "").alias("text"))
+    ids = K_.encode(plain, tokenizer, "doc_id")
+    back = K_.decode(ids, tokenizer).select(F.col("id").alias("doc_id"), F.col("text").alias("back"))
+    return plain.join(back, "doc_id").select("doc_id", (F.col("text") == F.col("back")).alias("same"), F.length("back").alias("length"))
+
+
+def _sample_model(spark: SparkSession) -> str:
+    path = f"{shared_folder(spark, 'model')}/sample.gguf"
+    write_bytes(path, S.model())
+    return path
+
+
+def embed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector of every turn, by a small model with weights from a seed."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return N.embed_texts(turns, _sample_model(spark), "SearchQuery", 128, strict=False)
+
+
+def embed_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every vector: its dimension, its length, and no error."""
+    rows = embed_conversations(spark, sf_dir)
+    return rows.select("id", F.size("vec").alias("dim"), (F.abs(V.magnitude("vec") - 1) < 1e-4).alias("is_unit"), F.col("error"))
+
+
+def embed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text to ranked results: every benchmark text finds itself first among the vectors of all."""
+    path, texts = _sample_model(spark), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    rows = N.embed_texts(texts, path, "SemanticSimilarity", 128).select("id", "vec")
+    rows = materialize(rows, "embedded")
+    found = I.search(I.build(rows, "fp32"), rows, 1)
+    return found.select("query_id", "id", "rank", F.round("score", 4).alias("score"))
+
+
 def best_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank of each label's vectors by id: the implicit ranking of ordered results."""
     w = Window.partitionBy("label").orderBy("vec_id")
     return table(spark, sf_dir, "embeddings").select("label", "vec_id", F.row_number().over(w).alias("rank"))
 
 
+_META_SQL = "SELECT * FROM (VALUES " + ", ".join(
+    "('{}', '{}', '{}')".format(key, name, value)
+    for key, name, value in [
+        ("general.architecture", "string", '"sample"'), ("general.name", "string", '"a \\"name\\" é"'), ("sample.count", "uint32", "7"), ("sample.small", "uint8", "255"), ("sample.signed", "int8", "-5"), ("sample.short", "uint16", "65535"), ("sample.signed_short", "int16", "-300"),
+        ("sample.signed_int", "int32", "-70000"), ("sample.share", "float32", "0.25"), ("sample.yes", "bool", "true"), ("sample.large", "uint64", "1099511627776"), ("sample.signed_large", "int64", "-1099511627776"), ("sample.double", "float64", "0.1"), ("sample.sizes", "array", "[3, -1, 2]"), ("sample.words", "array", '["a", "b c"]'),
+    ]
+) + ") t(key, type, value)"
+
+_TENSORS = f"""
+WITH files AS (SELECT label || '-' || (vec_id // {_FILE_ROWS}) AS file, count(*)::BIGINT AS n, max(len(embedding))::BIGINT AS d FROM embeddings GROUP BY ALL),
+sized AS (SELECT *, 4 * n AS ids, 4 * n * d AS vectors, n * d // 32 * 34 AS blocks FROM files),
+placed AS (SELECT *, (ids + 31) // 32 * 32 AS second, (ids + 31) // 32 * 32 + (vectors + 31) // 32 * 32 AS third FROM sized)
+SELECT file, 'ids' AS name, 'I32' AS dtype, [n] AS shape, 0::BIGINT AS "offset", ids AS size FROM placed
+UNION ALL SELECT file, 'vectors', 'F32', [d, n], second, vectors FROM placed
+UNION ALL SELECT file, 'blocks', 'Q8_0', [d, n], third, blocks FROM placed"""
+
+_CHARACTERS = f"""
+WITH marked AS (SELECT doc_id, replace(replace(replace(replace(text, '  ', chr(2) || chr(2)), chr(2) || ' ', chr(2) || chr(2)), ' ', '▁'), chr(2), ' ') AS t FROM documents),
+pieces AS (SELECT doc_id, list_transform(regexp_extract_all(t, '(?s).'), lambda c: CASE WHEN c = '▁' THEN [4] WHEN c = ' ' THEN [5] WHEN c = chr(10) THEN [{4 + len(S.CHARACTERS) - 1}] WHEN c BETWEEN '!' AND '~' AND strlen(c) = 1 THEN [ascii(c) - 33 + 6]
+  ELSE list_transform(regexp_extract_all(hex(encode(c)), '..'), lambda h: 238 + ('0x' || h)::INTEGER) END) AS parts FROM marked),
+ids AS (SELECT doc_id, flatten(parts) AS ids FROM pieces)
+SELECT doc_id, len(ids)::INTEGER AS n, list_sum(ids)::BIGINT AS total, list_sum(list_transform(ids, lambda x, i: x::BIGINT * i))::BIGINT AS weighted FROM ids"""
+
 _RAW = "SELECT vec_id AS id, embedding AS vec, label FROM embeddings"
 _DOT = "list_inner_product({a}::DOUBLE[], {b}::DOUBLE[])"
 
@@ -315,6 +505,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         knn_exact_cosine, knn_int8, knn_int16, knn_native, knn_pre_normalized, knn_prefix_dim, knn_exact_euclidean, knn_label_join, vec_normalize, quantize_codes, dequantize_error, full_scan, point_lookup,
         index_metadata, index_round_trip, _rounded(recall_sweep, "recall"), pairwise_most_similar, similarity_by_label, label_centroids, topk_global, sample_rows, first_rows, dedupe_ids, prompt_build, resolve_dims, space_marks,
         _rounded(latency_percentiles, "mean"), forest_full_search, forest_euclidean, forest_search, forest_nodes, best_by_mode,
+        gguf_metadata, gguf_tensors, gguf_rows, gguf_q8_error, index_file_scan, index_file_search, index_file_size, forest_vectors, forest_recall, callback_sums,
+        tokenizer_characters, tokenizer_round_trip, embed_conversations, embed_shapes, embed_search,
     ]
     return {f.__name__: f for f in found}
 
@@ -357,5 +549,19 @@ def oracle_sql() -> dict[str, str]:
         "forest_full_search": full,
         "forest_euclidean": _EUCLIDEAN,
         "forest_nodes": "SELECT tree::INTEGER AS tree, count(*) AS items, count(DISTINCT vec_id) AS ids FROM embeddings, range(3) t(tree) GROUP BY tree",
+        "forest_vectors": f"{units} SELECT id, vec FROM units",
+        "forest_recall": "SELECT count(*) FILTER (WHERE vec_id % 100 = 0) AS queries, TRUE AS enough FROM embeddings",
+        "gguf_metadata": _META_SQL,
+        "gguf_tensors": _TENSORS,
+        "gguf_rows": "SELECT vec_id AS id, embedding AS vec FROM embeddings",
+        "gguf_q8_error": "SELECT vec_id AS id, TRUE AS block_0, TRUE AS block_1 FROM embeddings",
+        "index_file_scan": f"{units} SELECT id, list_transform({_codes('vec', 'int8')}, lambda c: (c::DOUBLE / 127)::REAL) AS vec FROM units",
+        "index_file_search": _search_sql("int16", self_too=True),
+        "index_file_size": "WITH n AS (SELECT count(*) AS n, max(len(embedding)) AS d FROM embeddings), m AS (SELECT unnest(['fp32', 'int16', 'int8']) AS mode, unnest([4, 2, 1]) AS width) SELECT mode, (20 + 4 * n + n * d * width)::BIGINT AS bytes FROM n, m",
+        "callback_sums": f"{units} SELECT id, list_sum({_codes('vec', 'int8')})::BIGINT AS total FROM units",
+        "tokenizer_characters": _CHARACTERS,
+        "tokenizer_round_trip": "SELECT doc_id, TRUE AS same, length(regexp_replace(text, '[^ -~\\n]', '', 'g'))::INTEGER AS length FROM documents",
+        "embed_shapes": "SELECT conv_id * 1000 + turn AS id, 128 AS dim, TRUE AS is_unit, NULL::VARCHAR AS error FROM conversations",
+        "embed_search": "SELECT item_id AS query_id, item_id AS id, 1 AS rank, 1.0::DOUBLE AS score FROM benchmark",
         "best_by_mode": "SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id)::INTEGER AS rank FROM embeddings",
     }

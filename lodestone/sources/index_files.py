@@ -68,6 +68,7 @@ def export_exact(index: I.Index, path: str) -> int:
     place_of = F.split("block", "-")
     blocks = materialize(pack(ordered, 8192, kind.name).select(place_of[0].cast("int").alias("part"), place_of[1].cast("int").alias("nth"), "ids", "matrix"), "index-blocks").orderBy("part", "nth")
     system, name = place(qualified(spark, path))
+    system.create_dir(name.rpartition("/")[0], recursive=True)
     with system.open_output_stream(name) as f:
         f.write(_header(index.dim, n, index.mode))
         for r in blocks.select("ids").toLocalIterator():
