@@ -345,6 +345,9 @@ def embed(requests: DataFrame, path: str, id_col: str = "id", strict: bool = Tru
                         vecs[n] = got
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vecs, pa.list_(pa.float32())), pa.array(errors, pa.string())], names=["id", "vec", "error"])
 
+    parts = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < parts:  # encoding costs far more than sending a text elsewhere
+        rows = rows.repartition(parts, F.xxhash64("id", "text"))
     return rows.mapInArrow(run, "id bigint, vec array<float>, error string")
 
 

@@ -19,11 +19,14 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
+import threading
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -227,14 +230,18 @@ def leaves_for(forest: Forest, queries: np.ndarray, k: int, recall: float, exclu
     return int(enough[0]) if len(enough) else 0
 
 
-def build(vectors: DataFrame, folder: str, options: Options = Options(), id_col: str = "id", vec_col: str = "vec", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Build and write the forest; (shard, file, rows, leaves) of each shard. Files of lost attempts aren't listed."""
+def build(vectors: DataFrame, folder: str, options: Options = Options(), id_col: str = "id", vec_col: str = "vec", shard_bytes: int = SHARD_BYTES, progress: Callable[[int, int], None] | None = None) -> DataFrame:
+    """Build and write the forest; (shard, file, rows, leaves) of each shard. Files of lost attempts aren't listed.
+
+    ``progress(trees done, trees in all)`` is called on the driver while the executors build, as their tasks end, and at the end.
+    """
     from lodestone.sources.index_files import write_forest
 
     folder = qualified(vectors.sparkSession, folder)
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
-    dim = I.check(rows)
-    shards = max(1, -(-rows.count() * dim * 4 // shard_bytes))
+    dim, count = I.measured(rows)
+    shards = max(1, -(-count * dim * 4 // shard_bytes))
+    grown = vectors.sparkSession.sparkContext.accumulator(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -244,6 +251,7 @@ def build(vectors: DataFrame, folder: str, options: Options = Options(), id_col:
         def close(shard: int) -> pa.RecordBatch:
             own = held.pop(shard)
             forest = build_local(np.concatenate([i for i, _ in own]), np.concatenate([v for _, v in own]), options)
+            grown.add(len(forest.trees))
             name = f"shard-{shard:06d}-{TaskContext.get().taskAttemptId()}.forest"
             write_bytes(f"{folder}/{name}.ids", forest.ids.astype("<i8").tobytes())
             write_bytes(f"{folder}/{name}", write_forest(Forest(options, np.arange(len(forest.ids)), forest.vectors, forest.trees)))
@@ -263,11 +271,38 @@ def build(vectors: DataFrame, folder: str, options: Options = Options(), id_col:
 
     hashed = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "vec")
     built = hashed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, file string, rows bigint, leaves bigint")
-    listed = [r.asDict() for r in built.collect()]  # a row a shard
+    with _watched(grown, shards * options.trees, progress):
+        listed = [r.asDict() for r in built.collect()]  # a row a shard
     write_bytes(f"{folder}/forest.json", json.dumps({"options": asdict(options), "dim": dim, "shards": listed}).encode())
     return load(vectors.sparkSession, folder)
 
 
+@contextmanager
+def _watched(done: Accumulator, total: int, progress: Callable[[int, int], None] | None) -> Iterator[None]:
+    """Tells ``progress`` what is done while the block runs, and that all is at its end."""
+    if progress is None:
+        yield
+        return
+    ended = threading.Event()
+
+    def watch() -> None:
+        last = -1
+        while not ended.wait(0.2):
+            now = min(done.value, total - 1)  # a task that ran twice counts twice
+            if now != last:
+                progress(now, total)
+                last = now
+
+    thread = threading.Thread(target=watch, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        ended.set()
+        thread.join()
+    progress(total, total)
+
+
 def _about(spark: SparkSession, folder: str) -> dict:
     return json.loads(read_bytes(f"{qualified(spark, folder)}/forest.json"))
 

@@ -75,12 +75,15 @@ class Index:
 
     def save(self, folder: str, mode: str = "errorifexists") -> None:
         self.table.write.mode(mode).parquet(f"{folder}/vectors")
+        self.save_metadata(folder, mode)
+
+    def save_metadata(self, folder: str, mode: str = "errorifexists") -> None:
         self.table.sparkSession.createDataFrame([(self.dim, self.mode)], "dim int, mode string").coalesce(1).write.mode(mode).parquet(f"{folder}/metadata")
 
 
 def load(spark: SparkSession, folder: str) -> Index:
     about = spark.read.parquet(f"{folder}/metadata").first()
-    return Index(spark.read.parquet(f"{folder}/vectors"), about["dim"], about["mode"])
+    return Index(spark.read.parquet(f"{folder}/vectors").select("id", "codes"), about["dim"], about["mode"])
 
 
 def exists(spark: SparkSession, folder: str) -> bool:

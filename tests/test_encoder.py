@@ -211,4 +211,11 @@ def test_stream_appends(spark, tmp_path):
         ingest.append_vectors(stream, str(tmp_path / "ix"), str(tmp_path / "cp"), "int8", 2).awaitTermination()
     table = spark.read.parquet(str(tmp_path / "ix" / "vectors"))
     assert table.count() == 6
-    assert I.search(I.Index(table.select("id", "codes"), 2, "int8"), rows.limit(1), 1).count() == 1
+    loaded = I.load(spark, str(tmp_path / "ix"))
+    assert (loaded.dim, loaded.mode, loaded.count()) == (2, "int8", 6) and I.search(loaded, rows.limit(1), 1).count() == 1
+    more = spark.createDataFrame([(9, [1.0, 1.0])], rows.schema)
+    ingest.append(more, 7, str(tmp_path / "ix"), "int8", 2)
+    ingest.append(more, 7, str(tmp_path / "ix"), "int8", 2)  # a batch that runs again
+    assert I.load(spark, str(tmp_path / "ix")).count() == 7
+    with pytest.raises(I.VectorError):
+        ingest.append(more, 8, str(tmp_path / "ix"), "int8", 2)

@@ -125,3 +125,12 @@ def test_whole_search_has_the_bits_of_the_local_one(points, metric):
     for i, (a, d) in zip(ids, T.search_whole(forest, twice, 7, ids)):
         b, e = T.search_local(forest, twice[i], 7, every, int(i))
         assert a.tolist() == b.tolist() and d.tolist() == e.tolist()
+
+
+def test_progress(spark, tmp_path, points):
+    told = []
+    T.build(frame(spark, points), str(tmp_path), T.Options(trees=3, leaf=16), shard_bytes=points.nbytes // 3, progress=lambda done, total: told.append((done, total)))
+    assert told[-1][0] == told[-1][1] and told[-1][1] % 3 == 0
+    assert [d for d, _ in told] == sorted(d for d, _ in told) and len({t for _, t in told}) == 1
+    rows = {r.id: r.vec for r in T.stored(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(points)

@@ -103,6 +103,21 @@ def test_percentiles(spark):
     assert (r.c.per_word, r.c.fixed, r.r) == (1, 1, 5)
 
 
+def test_percentiles_of_large_and_odd_groups(spark):
+    """Ties, a group that holds most rows, null keys; positions as in the sorted values."""
+    rng = np.random.default_rng(4)
+    rows = [("big", float(v)) for v in rng.normal(0, 1, 6000)] + [("ties", float(v)) for v in rng.integers(0, 3, 3000)] + [(None, 7.5), ("one", -1.0)] + [("same", 2.0)] * 500
+    df = spark.createDataFrame(rows, "g string, v double")
+    points = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
+    for accuracy in (1000, 50):
+        got = {r.g: r for r in stats.latency_summary(df, "v", ["g"], points, accuracy).collect()}
+        for g in {x for x, _ in rows}:
+            s = sorted(v for x, v in rows if x == g)
+            assert [got[g][n] for n in points] == [s[min(len(s) - 1, int(len(s) * p))] for p in points.values()]
+    r = stats.latency_summary(df, "v", [], {"p50": 0.5}).first()
+    assert r.p50 == sorted(v for _, v in rows)[len(rows) // 2]
+
+
 def test_records_and_sinks(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"icons": [{"id": "a", "title": "A", "description": "' + "é" * 100 + '"},\n {"id": "b"}]}')
     rows = C.read_records(spark, str(tmp_path / "c.json"))
