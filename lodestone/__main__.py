@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import functions as F
 
 from lodestone.functions import vector as V
+from lodestone.functions.formats import progress_line
 from lodestone.operators import encoder, evaluate, forest
 from lodestone.operators import index as exact
 from lodestone.session import get_session
@@ -37,7 +38,7 @@ def _parser() -> argparse.ArgumentParser:
     tokens = sub.add_parser("tokens", help="token ids of a text")
     tokens.add_argument("model")
     tokens.add_argument("text")
-    for name, told in (("build", "write an index and a forest"), ("search", "search a forest"), ("brute", "search an exact index"), ("eval", "recall of a forest"), ("sweep", "recall by dimension and quantisation")):
+    for name, told in (("build", "write an index and a forest"), ("search", "search a forest"), ("brute", "search an exact index"), ("eval", "recall of a forest"), ("sweep", "recall by dimension and quantisation"), ("pairs", "the most similar two"), ("batch", "embed all records and tell how long that took")):
         c = sub.add_parser(name, help=told)
         c.add_argument("folder")
         c.add_argument("--model")
@@ -70,7 +71,14 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "build":
         rows = _vectors(spark, args)
         exact.build(rows, args.mode).save(f"{args.folder}/exact", "overwrite")
-        forest.build(rows, f"{args.folder}/forest", forest.Options(args.metric, args.trees, args.leaf, args.seed)).show()
+        forest.build(rows, f"{args.folder}/forest", forest.Options(args.metric, args.trees, args.leaf, args.seed), progress=lambda done, total: print(progress_line("trees", done, total), flush=True)).show()
+    elif args.command == "pairs":
+        evaluate.argmax_pair(_vectors(spark, args)).show()
+    elif args.command == "batch":
+        records = corpus.read_records(spark, args.records)
+        requests = records.select("id", F.lit("SearchDocument").alias("task"), "title", F.col("description").alias("content"), F.lit(args.dim).alias("dim"))
+        for name, value in encoder.throughput(requests, args.model).items():
+            print(f"{name} {value:.3f}")
     elif args.command in ("search", "brute"):
         asked = _query(spark, args)
         found = forest.search(asked, f"{args.folder}/forest", args.k, args.search_k) if args.command == "search" else exact.search(exact.load(spark, f"{args.folder}/exact"), asked, args.k)

@@ -182,3 +182,11 @@ def similarity_of_groups(vectors: DataFrame, group_col: str) -> DataFrame:
 def most_similar(vectors: DataFrame, n: int = 1) -> DataFrame:
     """The ``n`` pairs of rows with the largest similarity, the first by ids of equals."""
     return pairwise(vectors, n).orderBy(F.desc("similarity"), "a", "b").limit(n)
+
+
+def argmax_pair(vectors: DataFrame) -> DataFrame:
+    """(a, b, similarity): the pair of the largest similarity above 0, the first by ids of equals; where none is above 0, the least id twice and 0."""
+    best = most_similar(vectors, 1).where("similarity > 0")
+    least = vectors.where(F.col("vec").isNotNull()).agg(F.min("id").alias("least"))
+    both = least.join(best, F.lit(True), "left").where("least is not null")  # a row each
+    return both.select(F.coalesce("a", "least").alias("a"), F.coalesce("b", "least").alias("b"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))

@@ -346,19 +346,29 @@ def nodes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, folder: str) -> DataFrame:
-    """(id, vec) of the vectors that a forest's files hold."""
+    """(shard, position, id, vec) of the vectors that a forest's files hold."""
     folder = qualified(spark, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for file in b.column(0).to_pylist():
+            for shard, file in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 forest = open_shard(folder, file)
                 for low in range(0, len(forest.ids), 4096):
                     part = forest.vectors[low : low + 4096]
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * part.shape[1], pa.int32()), pa.array(part.reshape(-1)))
-                    yield pa.RecordBatch.from_arrays([pa.array(forest.ids[low : low + 4096]), lists], names=["id", "vec"])
+                    places = np.arange(low, low + len(part), dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), shard, np.int32)), pa.array(places), pa.array(forest.ids[low : low + 4096]), lists], names=["shard", "position", "id", "vec"])
+
+    return load(spark, folder).select("shard", "file").mapInArrow(run, "shard int, position bigint, id bigint, vec array<float>")
 
-    return load(spark, folder).select("file").mapInArrow(run, "id bigint, vec array<float>")
+
+def vector_at(spark: SparkSession, folder: str, shard: int, position: int) -> np.ndarray:
+    """The vector at a place of a shard; an ``IndexError`` beyond its end."""
+    folder = qualified(spark, folder)
+    file = next((s["file"] for s in _about(spark, folder)["shards"] if s["shard"] == shard), None)
+    if file is None or position < 0:
+        raise IndexError(position)
+    return open_shard(folder, file).vectors[position]
 
 
 def _over_shards(queries: DataFrame, folder: str, answer, out: str, names: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import prompts as P
 from lodestone.functions import vector as V
+from lodestone.functions.formats import duration
 from lodestone.functions.stats import latency_summary
 from lodestone.operators import encoder as N
 from lodestone.operators import evaluate as E
@@ -140,8 +141,22 @@ def similarity_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors and distinct ids by label."""
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids"), F.min("vec_id").alias("first_id"), F.max("vec_id").alias("last_id"))
+    """Mean vector of each label: components are averaged by their place, so a label with most rows is summed where they are first."""
+    rows = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x"))
+    means = rows.groupBy("label", "pos").agg((F.round(F.avg(F.col("x").cast("double")), 6) + 0.0).alias("mean"), F.count("*").alias("n"))
+    lists = means.groupBy("label").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("means"))  # as many as components
+    return lists.select("label", "n", F.col("means.mean").alias("centroid"))
+
+
+def argmax_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most similar two, by the rule that a similarity has to be above 0."""
+    return E.argmax_pair(vectors(spark, sf_dir))
+
+
+def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of events, taken as nanoseconds of all sizes, in the units that reports print."""
+    ns = (F.abs(F.col("value")) * F.pow(F.lit(10.0), F.col("event_id") % 9)).cast("bigint")
+    return table(spark, sf_dir, "events").where("value is not null").select("event_id", duration(ns).alias("text"))
 
 
 def topk_global(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,7 +328,7 @@ def forest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors that the forest's files hold."""
     folder = shared_folder(spark, "forest")
     T.build(vectors(spark, sf_dir), folder, T.Options(trees=1, leaf=64))
-    return T.stored(spark, folder)
+    return T.stored(spark, folder).select("id", "vec")
 
 
 def forest_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,9 +395,12 @@ def embed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank of each label's vectors by id: the implicit ranking of ordered results."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return table(spark, sf_dir, "embeddings").select("label", "vec_id", F.row_number().over(w).alias("rank"))
+    """Of each quantisation, how many vectors have the same nearest as without one."""
+    rows = vectors(spark, sf_dir)
+    nearest = lambda mode: I.search(I.build(rows, mode), rows, 1, exclude_self=True).select("query_id", "id", F.lit(mode).alias("mode"))
+    truth = nearest("fp32").select("query_id", F.col("id").alias("best"))
+    found = nearest("int16").union(nearest("int8")).join(truth, "query_id")
+    return found.groupBy("mode").agg(F.count("*").alias("queries"), F.sum((F.col("id") == F.col("best")).cast("bigint")).alias("same"))
 
 
 _META_SQL = "SELECT * FROM (VALUES " + ", ".join(
@@ -408,6 +426,10 @@ pieces AS (SELECT doc_id, list_transform(regexp_extract_all(t, '(?s).'), lambda
 ids AS (SELECT doc_id, flatten(parts) AS ids FROM pieces)
 SELECT doc_id, len(ids)::INTEGER AS n, list_sum(ids)::BIGINT AS total, list_sum(list_transform(ids, lambda x, i: x::BIGINT * i))::BIGINT AS weighted FROM ids"""
 
+_DURATIONS = """
+WITH ns AS (SELECT event_id, trunc(abs(value) * pow(10.0::DOUBLE, event_id % 9))::BIGINT AS n FROM events WHERE value IS NOT NULL)
+SELECT event_id, CASE WHEN n >= 1000000000 THEN printf('%.2fs', n / 1e9::DOUBLE) WHEN n >= 1000000 THEN printf('%.1fms', n / 1e6::DOUBLE) WHEN n >= 1000 THEN printf('%.1fµs', n / 1e3::DOUBLE) ELSE n || 'ns' END AS text FROM ns"""
+
 _RAW = "SELECT vec_id AS id, embedding AS vec, label FROM embeddings"
 _DOT = "list_inner_product({a}::DOUBLE[], {b}::DOUBLE[])"
 
@@ -506,7 +528,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         index_metadata, index_round_trip, _rounded(recall_sweep, "recall"), pairwise_most_similar, similarity_by_label, label_centroids, topk_global, sample_rows, first_rows, dedupe_ids, prompt_build, resolve_dims, space_marks,
         _rounded(latency_percentiles, "mean"), forest_full_search, forest_euclidean, forest_search, forest_nodes, best_by_mode,
         gguf_metadata, gguf_tensors, gguf_rows, gguf_q8_error, index_file_scan, index_file_search, index_file_size, forest_vectors, forest_recall, callback_sums,
-        tokenizer_characters, tokenizer_round_trip, embed_conversations, embed_shapes, embed_search,
+        argmax_pair, durations, tokenizer_characters, tokenizer_round_trip, embed_conversations, embed_shapes, embed_search,
     ]
     return {f.__name__: f for f in found}
 
@@ -537,7 +559,7 @@ def oracle_sql() -> dict[str, str]:
         "recall_sweep": f"SELECT dim, mode, bytes, round(recall, 6) AS recall FROM ({_sweep_sql()})",
         "pairwise_most_similar": f"{_PAIRS} SELECT a, b, similarity FROM pairs ORDER BY similarity DESC, a, b LIMIT 1",
         "similarity_by_label": f"{_PAIRS} SELECT label_a, label_b, count(*) AS pairs, max(similarity) AS most FROM pairs GROUP BY label_a, label_b",
-        "label_centroids": "SELECT label, count(*) AS n, count(DISTINCT vec_id) AS ids, min(vec_id) AS first_id, max(vec_id) AS last_id FROM embeddings GROUP BY label",
+        "label_centroids": "WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings), m AS (SELECT label, pos, round(avg(x), 6) + 0.0 AS mean, count(*) AS n FROM x GROUP BY label, pos) SELECT label, max(n) AS n, list(mean ORDER BY pos) AS centroid FROM m GROUP BY label",
         "topk_global": f"{_PAIRS} SELECT a, b, similarity FROM pairs ORDER BY similarity DESC, a, b LIMIT 100",
         "sample_rows": "SELECT vec_id AS id FROM embeddings ORDER BY md5('42|' || vec_id), vec_id LIMIT 50",
         "first_rows": "SELECT vec_id AS id FROM embeddings ORDER BY vec_id LIMIT 50",
@@ -563,5 +585,7 @@ def oracle_sql() -> dict[str, str]:
         "tokenizer_round_trip": "SELECT doc_id, TRUE AS same, length(regexp_replace(text, '[^ -~\\n]', '', 'g'))::INTEGER AS length FROM documents",
         "embed_shapes": "SELECT conv_id * 1000 + turn AS id, 128 AS dim, TRUE AS is_unit, NULL::VARCHAR AS error FROM conversations",
         "embed_search": "SELECT item_id AS query_id, item_id AS id, 1 AS rank, 1.0::DOUBLE AS score FROM benchmark",
-        "best_by_mode": "SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id)::INTEGER AS rank FROM embeddings",
+        "best_by_mode": f"WITH a AS ({_search_sql('fp32')}), b AS ({_search_sql('int16')}), c AS ({_search_sql('int8')}), found AS (SELECT 'int16' AS mode, * FROM b UNION ALL SELECT 'int8', * FROM c) SELECT mode, count(*) AS queries, count(*) FILTER (WHERE a.id = found.id) AS same FROM found JOIN a USING (query_id) WHERE a.rank = 1 AND found.rank = 1 GROUP BY mode",
+        "argmax_pair": f"{_PAIRS} SELECT a, b, similarity FROM pairs WHERE similarity > 0 ORDER BY similarity DESC, a, b LIMIT 1",
+        "durations": _DURATIONS,
     }

@@ -192,3 +192,10 @@ def test_groups(spark):
     got = {(r.group_a, r.group_b): (r.pairs, r.most) for r in E.similarity_of_groups(rows, "g").collect()}
     half = pytest.approx(0.5**0.5)
     assert got == {(7, 7): (1, 0.0), (7, 8): (2, half), (7, 9): (2, None), (8, 9): (1, None)}
+
+
+def test_argmax_pair(spark):
+    rows = lambda m: frame(spark, m, range(5, 5 + len(m)))
+    assert tuple(E.argmax_pair(rows([[1, 0], [1, 1], [1, 1], [2, 2]])).first()) == (6, 7, pytest.approx(1))
+    assert tuple(E.argmax_pair(rows([[1, 0], [-1, 0], [0, 1]])).first()) == (5, 5, 0.0)
+    assert E.argmax_pair(rows([[1, 0]]).limit(0)).count() == 0

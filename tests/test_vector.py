@@ -70,3 +70,13 @@ def test_names():
     assert [V.parse_quantization(x) for x in ("q8", "Q16", "f32", "float32")] == ["int8", "int16", "fp32", "fp32"]
     with pytest.raises(ValueError):
         V.parse_quantization("int4")
+
+
+def test_formats(spark):
+    from lodestone.functions import formats
+
+    assert [formats.quantization_label(x) for x in ("Q8", "f32", "q4")] == ["int8", "fp32", "unknown"] and [formats.quantization_bits(x) for x in ("q16", "x")] == [16, 0]
+    assert formats.progress_line("trees", 3, 20) == "[trees] 3/20 (15.0%)" and formats.progress_line("x", 0, 0) == ""
+    cases = {12: "12ns", 999: "999ns", 1000: "1.0µs", 2_340_000: "2.3ms", 1150: "1.1µs", 1250: "1.2µs", None: None, 1_500_000_000: "1.50s"}
+    rows = spark.createDataFrame([(n,) for n in cases], "n bigint").select("n", formats.duration(F.col("n")).alias("t")).collect()
+    assert {r.n: r.t for r in rows} == cases
