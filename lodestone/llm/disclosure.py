@@ -286,6 +286,14 @@ def _rewritten(texts: pa.Array, terms: pa.Array, removed: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([texts, *(pa.array(counts[:, k]) for k in range(3))], names=["text", "n_entities", "n_generalised", "n_removed"])
 
 
+def _holds(texts: pa.Array) -> pa.Array:
+    """Whether each text has an entity."""
+    out = np.zeros(len(texts), bool)
+    for low, _, data, offsets in _parts(texts):
+        out[[low + r for r in {r for r, *_ in entities(data, offsets)}]] = True
+    return pa.array(out)
+
+
 def _added(docs: DataFrame, name: str, text_col: str, **thresholds) -> DataFrame:
     """Add struct column ``name``: (text, n_entities, n_generalised, n_removed)."""
     found, held = disclosures(docs, text_col, **thresholds)
@@ -294,9 +302,13 @@ def _added(docs: DataFrame, name: str, text_col: str, **thresholds) -> DataFrame
     key, size, terms = (fresh([*docs.columns, name], x) for x in ("text_key", "text_size", "text_terms"))
     per_text = materialize(per_text.toDF(key, size, terms), "text-terms")
     text = column(text_col).cast("string")
-    joined = docs.withColumn(key, F.xxhash64(text)).withColumn(size, F.octet_length(text)).join(per_text, [key, size], "left")
     made = F.arrow_udf(_rewritten, "text string, n_entities bigint, n_generalised bigint, n_removed bigint").asNondeterministic()
-    return joined.withColumn(name, made(text, F.col(f"{terms}.term"), F.col(f"{terms}.removed"))).drop(key, size, terms)
+    holds = F.arrow_udf(_holds, "boolean")(text)
+    # texts without entities have no terms to look up, so they aren't shuffled
+    joined = docs.where(holds).withColumn(key, F.xxhash64(text)).withColumn(size, F.octet_length(text)).join(per_text, [key, size], "left")
+    some = joined.withColumn(name, made(text, F.col(f"{terms}.term"), F.col(f"{terms}.removed"))).drop(key, size, terms)
+    none = F.struct(text.alias("text"), *(F.lit(0).cast("bigint").alias(n) for n in ("n_entities", "n_generalised", "n_removed")))
+    return some.unionByName(docs.where(~F.coalesce(holds, F.lit(False))).withColumn(name, none))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:

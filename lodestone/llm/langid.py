@@ -30,6 +30,8 @@ SAMPLE = 12288
 SOURCES = 48
 BLOCK = 1024
 TOLERANCE = 0.03
+#: Ids of documents to learn from that are broadcast, some 4 MB; those of more languages are joined by a shuffle.
+LISTED = 1 << 17
 
 _LOW = np.full(256, 32, np.uint8)
 for _b in range(128, 256):
@@ -169,7 +171,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Normalised labelled text of each language: ``sample`` symbols from the first documents by a hash of their ids, long enough ones first."""
     quota = sample // sources
     key = F.coalesce(column(id_col).cast("bigint"), F.xxhash64(column(text_col)))
-    letters = F.octet_length(F.regexp_replace(F.substring(column(text_col), 1, sample), r"[\x00-@\[-`{-\x7f]+", ""))
+    letters_of = lambda n: F.octet_length(F.regexp_replace(F.substring(column(text_col), 1, n), r"[\x00-@\[-`{-\x7f]+", ""))
+    # no more than the quota is asked for, which the beginning of most texts has
+    letters = F.when(letters_of(4 * quota) >= quota, quota).otherwise(letters_of(sample))
     rows = docs.select(key.alias("id"), column(lang_col).cast("string").alias("lang"), (F.octet_length(column(text_col)) < quota).alias("short"), letters.alias("letters"))
     rows = rows.where("lang is not null and letters > 0").select("id", "lang", "short", F.least("letters", F.lit(quota)).alias("letters"))
     w = Window.partitionBy("lang").orderBy("short", F.xxhash64("id"), "id")
@@ -184,6 +188,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     text = docs.select(key.alias("id"), column(lang_col).cast("string").alias("lang"), column(text_col).alias("text"), (F.octet_length(column(text_col)) < quota).alias("short")).where("text is not null")
     # of a document that occurs in several rows one text, so what is collected is bounded too
     head = F.substring("text", 1, sample)
+    ids = F.broadcast(ids) if len(chosen) <= LISTED else ids
     got = text.join(ids, ["id", "lang"]).groupBy("lang", "id").agg(F.min("short").alias("short"), F.min_by(head, F.struct("short", head)).alias("text")).collect()
     out: dict[str, bytes] = {}
     for r in sorted(got, key=lambda r: (r.lang, r.short, r.id, r.text)):

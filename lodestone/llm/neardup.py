@@ -410,7 +410,7 @@ def _links(texts: DataFrame, members: DataFrame, least: int, scratch: Scratch, m
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, group_id, keep): ``group_id`` is the least id of the document's group, which is the one to keep."""
+    """(doc_id, group_id, n_links, keep): ``group_id`` is the least id of the document's group, which is the one to keep; ``n_links`` counts the other documents that links lead to."""
     bounded_batches(docs.sparkSession)
     size, scratch = bands * rows, Scratch()
     source = docs.select(column(id_col).cast("bigint").alias("id"), column(text_col).cast("string").alias("text")).where("id is not null")
@@ -427,12 +427,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.union(signed.join(several, "id").select(F.col("text").alias("a"), "b"))
     roots = scratch.keep(components(links), "roots")
     tied = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct()
-    tied = tied.join(texts.select(F.col("text").alias("node"), "first"), "node")
-    tied = tied.join(tied.groupBy("root").agg(F.min("first").alias("group_id")), "root").select("node", "group_id")
-    of_text = texts.select("text", "first").join(tied, F.col("text") == F.col("node"), "left").select("text", F.coalesce("group_id", "first").alias("group_id"))
-    found = firsts.select("id", "text").join(of_text, "text").select("id", "group_id")
+    held = texts.select("text", "first").join(firsts.groupBy("text").agg(F.count("*").alias("documents")), "text", "left").fillna(0, "documents")
+    tied = tied.join(held.withColumnRenamed("text", "node"), "node")
+    tied = tied.join(tied.groupBy("root").agg(F.min("first").alias("group_id"), F.sum("documents").alias("all")), "root").select("node", "group_id", "all")
+    of_text = held.join(tied, F.col("text") == F.col("node"), "left").select("text", F.coalesce("group_id", "first").alias("group_id"), F.coalesce("all", "documents").alias("all"))
+    found = firsts.select("id", "text").join(of_text, "text").select("id", "group_id", "all")
     everyone = source.select(F.col("id").alias("doc_id")).distinct()
-    out = everyone.join(found, everyone["doc_id"] == found["id"], "left").select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id"))
+    out = everyone.join(found, everyone["doc_id"] == found["id"], "left")
+    out = out.select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id"), (F.coalesce("all", F.lit(1)) - 1).alias("n_links"))
     return scratch.finish(out.withColumn("keep", F.col("doc_id") == F.col("group_id")), "near-duplicates")
 
 

@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     text = docs.select(column(id_col).cast("bigint").alias("id"), column(text_col).cast("string").alias("text")).where("text is not null")
     # bounded by train_docs, whatever the table's size and however often a row occurs; texts stay with the executors until chosen
     scratch = Scratch()
-    rows = scratch.keep(text.join(sample, "id").groupBy("id").agg(F.min("label").alias("label"), F.min("text").alias("text")), "labelled")
+    rows = scratch.keep(text.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("label").alias("label"), F.min("text").alias("text")), "labelled")
     size = {r.id: r.n for r in rows.select("id", F.octet_length("text").alias("n")).collect()}
     left, taken = {0: train_bytes // 2, 1: train_bytes // 2}, []
     for r in chosen:

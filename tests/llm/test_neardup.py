@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -132,7 +133,9 @@ def test_against_brute_force(spark):
 def test_groups_keep_their_least_id(spark):
     rows = corpus(np.random.default_rng(2), 40)
     out = N.near_duplicates(frame(spark, rows)).collect()
+    size = Counter(r.group_id for r in out)
     for r in out:
+        assert r.n_links == size[r.group_id] - 1
         assert r.group_id <= r.doc_id and r.keep == (r.group_id == r.doc_id)
     kept = N.dedup(frame(spark, rows)).collect()
     assert {r.doc_id for r in kept} == {r.doc_id for r in out if r.keep}
@@ -142,6 +145,8 @@ def test_thousands_of_copies(spark):
     text = " ".join(f"w{i}" for i in range(80))
     rows = [(i, text) for i in range(3000)] + [(5000 + i, text + f" more{i} more{i}a") for i in range(400)] + [(9000, "another text of its own entirely")]
     out = {r.doc_id: r.group_id for r in N.near_duplicates(frame(spark, rows)).collect()}
+    links = {r.doc_id: r.n_links for r in N.near_duplicates(frame(spark, [*rows, (7, text), (7, "said otherwise"), (8, None)])).collect()}
+    assert links[0] == links[7] == links[5399] == 3399 and links[9000] == 0 and links[8] == 3399
     assert {g for i, g in out.items() if i < 9000} == {0} and out[9000] == 9000
 
 
