@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.shared import small
+
 PACKED = "block string, n int, ids binary, matrix binary"
 
 
@@ -72,6 +74,18 @@ def pack(vectors: DataFrame, rows: int, kind: str, prepare: Callable[[np.ndarray
     return vectors.select(F.col("id").cast("bigint").alias("id"), "vec").mapInArrow(run, PACKED)
 
 
+#: Rows of a block of a side that Spark finds small.
+SMALL_ROWS = 256
+
+
+def packed(vectors: DataFrame, rows: int, kind: str, prepare: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """``pack`` for the side whose blocks are the units of work: of a small table, which may lie in one file, smaller ones, brought to as many tasks as there are cores."""
+    if not small(vectors):
+        return pack(vectors, rows, kind, prepare)
+    blocks, parts = pack(vectors, min(rows, SMALL_ROWS), kind, prepare), vectors.sparkSession.sparkContext.defaultParallelism
+    return blocks.repartition(parts, "block") if vectors.rdd.getNumPartitions() < parts else blocks
+
+
 def unpack(ids: bytes, raw: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
     own = np.frombuffer(ids, np.int64)
     return own, np.frombuffer(raw, kind).reshape(len(own), -1)

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import vector as V
 from lodestone.operators import index as I
-from lodestone.operators.blocks import Top, best_pairs, pack, quantize_rows, unit_rows, unpack
+from lodestone.operators.blocks import Top, best_pairs, pack, packed, quantize_rows, unit_rows, unpack
 from lodestone.operators.shared import materialize, small
 
 
@@ -69,7 +69,7 @@ def sweep(vectors: DataFrame, dims: list[int], modes: list[str], k: int = 10, ba
             for n, (top, _) in enumerate(found):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top.row), n, np.int32)), pa.array(top.ids[top.row]), pa.array(top.id), pa.array(top.value)], names=["kind", "query_id", "id", "score"])
 
-    left, right = pack(asked, I.QUERY_ROWS, "float32").select("block", "ids", "matrix"), pack(rows, I.CORPUS_ROWS, "float32").select("block", "ids", "matrix")
+    left, right = packed(asked, I.QUERY_ROWS, "float32").select("block", "ids", "matrix"), pack(rows, I.CORPUS_ROWS, "float32").select("block", "ids", "matrix")
     if not small(asked) and not small(rows):
         left, right = materialize(left, "query-blocks"), materialize(right, "corpus-blocks")
     pairs = left.toDF("q_block", "q_ids", "q_matrix").crossJoin(right)
@@ -97,7 +97,7 @@ def _pairs(vectors: DataFrame, use: Callable[[Iterator[tuple]], Iterator[pa.Reco
     Blocks are paired, those in the upper triangle solved, and cosines summed component by component. The last ``tail``
     components of a vector aren't part of it.
     """
-    blocks = pack(vectors, 1024, "float64").select("block", "ids", "matrix")
+    blocks = packed(vectors, 1024, "float64").select("block", "ids", "matrix")
     if not small(vectors):
         blocks = materialize(blocks, "pair-blocks")  # read many times
 

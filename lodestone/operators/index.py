@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import vector as V
 from lodestone.operators import shared
-from lodestone.operators.blocks import Top, best_pairs, matrix, pack, quantize_rows, unit_rows, unpack
+from lodestone.operators.blocks import Top, best_pairs, matrix, pack, packed, quantize_rows, unit_rows, unpack
 from lodestone.operators.shared import materialize, small
 
 QUERY_ROWS = 1024
@@ -173,7 +173,7 @@ def solve(queries: DataFrame, corpus: DataFrame, k: int, metric: str, kind: str,
     queries and corpus as they are packed.
     """
     once = not small(queries) and not small(corpus)
-    left = pack(queries, QUERY_ROWS, "float32", ask).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
+    left = packed(queries, QUERY_ROWS, "float32", ask).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
     right = pack(corpus, CORPUS_ROWS, kind, keep).select("ids", "matrix")
     if once:
         left, right = materialize(left, "query-blocks"), materialize(right, "corpus-blocks")
