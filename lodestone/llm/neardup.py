@@ -38,6 +38,8 @@ BANDS = 40
 ROWS = 3
 THRESHOLD = 0.4
 BUCKET = 4096
+#: Ids that ``dedup`` broadcasts.
+LISTED = 1 << 20
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x2545F4914F6CDD1D
@@ -440,9 +442,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of ``docs`` for each group; rows with a null id stay."""
-    gone = near_duplicates(docs, id_col, text_col, **options).where("not keep")
     name, key = fresh(docs.columns, "gone_id"), column(id_col)
-    left = docs.join(gone.select(F.col("doc_id").alias(name)), key.cast("bigint") == F.col(name), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, **options).where("not keep").select(F.col("doc_id").alias(name))
+    # ids of some 10 MB are broadcast; for more, texts are shuffled once
+    gone = F.broadcast(gone) if gone.count() <= LISTED else gone
+    left = docs.join(gone, key.cast("bigint") == F.col(name), "left_anti")
     again = docs.where(key.isNotNull()).groupBy(key.alias(name)).agg(F.count("*").alias("rows")).where("rows > 1").select(name)
     if again.isEmpty():
         return left

@@ -130,7 +130,9 @@ def test_against_brute_force(spark):
     assert found > 100 and missed / (found + missed) < 0.02 and wrong == 0
 
 
-def test_groups_keep_their_least_id(spark):
+@pytest.mark.parametrize("listed", [N.LISTED, 0])
+def test_groups_keep_their_least_id(spark, monkeypatch, listed):
+    monkeypatch.setattr(N, "LISTED", listed)
     rows = corpus(np.random.default_rng(2), 40)
     out = N.near_duplicates(frame(spark, rows)).collect()
     size = Counter(r.group_id for r in out)
