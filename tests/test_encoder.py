@@ -219,3 +219,18 @@ def test_stream_appends(spark, tmp_path):
     assert I.load(spark, str(tmp_path / "ix")).count() == 7
     with pytest.raises(I.VectorError):
         ingest.append(more, 8, str(tmp_path / "ix"), "int8", 2)
+
+
+def test_attention_of_long_texts_by_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(N, "LOGITS", 64)
+    for size in (1, 6):  # logits that exponentials take as they are, and larger ones
+        q, k, v = (size * rng.standard_normal((3, 21, h, 8)).astype(np.float32) for h in (4, 2, 2))
+        want = np.stack([N.attention(*x, 8**-0.5) for x in zip(q, k, v)])
+        np.testing.assert_allclose(N.attention_many(q, k, v, 8**-0.5), want, rtol=1e-3, atol=1e-3)
+
+
+def test_texts_are_spread_over_many_tasks(spark, toy):
+    path = toy[0] if isinstance(toy, tuple) else toy
+    texts = spark.range(8).selectExpr("id", "'some words' AS text").repartition(spark.sparkContext.defaultParallelism)
+    assert N.embed_texts(texts, str(path), dim=128, strict=False).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
