@@ -9,24 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.shared import drop_folder, exists, materialize, place, qualified, read_bytes, shared_folder, write_bytes
+from lodestone.operators.shared import bounded_batches, drop_folder, exists, materialize, place, qualified, read_bytes, shared_folder, write_bytes
 
-__all__ = ["drop_folder", "exists", "materialize", "place", "qualified", "read_bytes", "shared_folder", "write_bytes"]
+__all__ = ["bounded_batches", "drop_folder", "exists", "materialize", "place", "qualified", "read_bytes", "shared_folder", "write_bytes"]
 
 #: Bytes of text that the vectorised kernels work on at once; bounds their memory, never what is processed.
 SLICE_BYTES = 1 << 20
 
-#: Bytes of an Arrow batch that is handed to Python.
-BATCH_BYTES = 4 << 20
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Let Spark hand texts to Python in batches of ``BATCH_BYTES``; 10,000 long ones would fill a worker.
-
-    The size is a setting of the session, so it changes for all that the session runs, unless it was set to another than the default."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "67108864b") in ("67108864b", "64MB"):
-        spark.conf.set(key, str(BATCH_BYTES))
-
 
 class Scratch:
     """Intermediate tables of one call, which ``finish`` deletes once its result is written."""

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.shared import small
+from lodestone.operators.shared import bounded_batches, expected_bytes, materialize, small
 
 PACKED = "block string, n int, ids binary, matrix binary"
 
@@ -40,6 +41,8 @@ def quantize_rows(v: np.ndarray, mode: str) -> np.ndarray:
 def pack(vectors: DataFrame, rows: int, kind: str, prepare: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Rows of (id, vec) as blocks of at most ``rows`` vectors, ``prepare`` applied, with components of numpy type ``kind``."""
 
+    bounded_batches(vectors.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -86,7 +89,21 @@ def packed(vectors: DataFrame, rows: int, kind: str, prepare: Callable[[np.ndarr
     return blocks.repartition(parts, "block") if vectors.rdd.getNumPartitions() < parts else blocks
 
 
-def unpack(ids: bytes, raw: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
+#: Bytes of the blocks that a task of a cartesian product pairs its own with: a task that meets more of them has to measure fewer pairs, as its best are known sooner.
+GATHERED_BYTES = 48 << 20
+
+
+def spread(blocks: DataFrame, what: str) -> DataFrame:
+    """``blocks`` written once, in as many files as give all cores their share, whatever files the vectors came in."""
+    return materialize(blocks.repartition(2 * blocks.sparkSession.sparkContext.defaultParallelism), what)
+
+
+def gathered(blocks: DataFrame) -> DataFrame:
+    """Written ``blocks`` in partitions of about ``GATHERED_BYTES``, for the side that every task goes through."""
+    return blocks.coalesce(max(1, -(-expected_bytes(blocks) // GATHERED_BYTES)))
+
+
+def unpack(ids: bytes | pa.Buffer, raw: bytes | pa.Buffer, kind: str) -> tuple[np.ndarray, np.ndarray]:
     own = np.frombuffer(ids, np.int64)
     return own, np.frombuffer(raw, kind).reshape(len(own), -1)
 
@@ -110,38 +127,100 @@ class Top:
         self.least[row[last]] = val[last]
 
 
-def best_pairs(top: Top, q: np.ndarray, ids: np.ndarray, m: np.ndarray, metric: str, scale: float, exclude_self: bool, step: int = 4096) -> None:
+#: Vectors of a block whose products with the queries are held at once.
+TILE = 1024
+
+
+def margin_of(dim: int) -> float:
+    """Bound of the error of a sum of ``dim`` products in single precision, as a share of the product of the lengths."""
+    return max(1e-5, 1.2e-7 * (dim + 8))
+
+
+def hits(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of what is true in a contiguous matrix that is nearly all false: eight places are looked at as one number."""
+    flat = mask.reshape(-1)
+    if flat.size % 8:
+        return np.nonzero(mask)
+    at = np.flatnonzero(flat.view(np.uint64))
+    at = (at[:, None] * 8 + np.arange(8)).reshape(-1)
+    return np.divmod(at[flat[at]], mask.shape[1])
+
+
+@dataclass
+class Kind:
+    """Queries, vectors and best of one way to measure, of several that one product in single precision sifts; no value is farther than ``away`` from that product over the lengths."""
+
+    top: Top
+    q: np.ndarray
+    m: np.ndarray
+    scale: float = 1.0
+    away: float = 0.0
+
+
+def best_pairs(top: Top, q: np.ndarray, ids: np.ndarray, m: np.ndarray, metric: str, scale: float, exclude_self: bool, step: int = TILE) -> None:
     """Add all pairs of the queries ``q`` with the rows of ``m`` that can be among the best.
 
-    Products in single precision sift with a margin for their error; what passes is summed in double precision,
-    component by component, which gives the same bits as a fold over the components.
+    Values are products over ``scale`` ("dot"), distances turned ("euclidean"), or, of unit vectors, ``1 - product``
+    turned ("cosine").
     """
-    single, exact = q.astype(np.float32), q.astype(np.float64)
-    size = np.sqrt((exact**2).sum(axis=1))
-    for low in range(0, len(m), step):
-        part = m[low : low + step]
-        own = ids[low : low + step]
-        rough = single @ part.astype(np.float32).T
-        norm = np.sqrt((part.astype(np.float64) ** 2).sum(axis=1))
-        if metric == "euclidean":
-            rough = 2 * rough - (size**2)[:, None] - (norm**2)[None, :]
-            margin = 1e-5 * (1 + (size[:, None] + norm[None, :]) ** 2)
-            bound = np.where(np.isfinite(top.least), -(np.minimum(top.least, 0) ** 2), -np.inf)
-        else:
-            margin = 1e-5 * (1e-30 + size[:, None] * norm[None, :])
-            bound = top.least * scale
-        if rough.shape[1] > top.k + 1:  # the k best of this part bound it too, the query itself apart
-            kth = np.partition(rough - margin, rough.shape[1] - top.k - 1, axis=1)[:, rough.shape[1] - top.k - 1]
-            bound = np.maximum(bound, kth)
-        r, c = np.nonzero(rough + margin >= bound[:, None])
+    sift([Kind(top, q, m, scale)], q, ids, m, metric, scale, exclude_self, step)
+
+
+def sift(kinds: list[Kind], q: np.ndarray, ids: np.ndarray, m: np.ndarray, metric: str, scale: float, exclude_self: bool, step: int = TILE) -> None:
+    """``best_pairs`` of several kinds of the same vectors, whose ``k`` is the same.
+
+    Products of ``q`` and ``m`` in single precision sift with a margin for their error; what passes is summed in double
+    precision, component by component, which gives the same bits as a fold over the components. A query that hasn't
+    ``k`` yet is bounded by the best of the rows at hand, all others by the least of their best.
+    """
+    turned, k, own = metric == "euclidean", kinds[0].top.k, kinds[0].top.ids
+    long, share = q.astype(np.float64), margin_of(q.shape[1])
+    exact = [long if x.q is q else x.q.astype(np.float64) for x in kinds]
+    size, away = np.sqrt((long**2).sum(axis=1)), max(x.away for x in kinds)
+    single = np.concatenate([2 * long, np.ones((len(q), 1))], axis=1).astype(np.float32) if turned else q.astype(np.float32)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    rough, mask = np.empty((len(q), min(step, len(m))), np.float32), np.empty((len(q), min(step, len(m))), bool)
+
+    def measure() -> None:
+        r, c = (np.concatenate(x) for x in zip(*waiting))
+        waiting.clear()
         if exclude_self:
-            other = top.ids[r] != own[c]
+            other = own[r] != ids[c]
             r, c = r[other], c[other]
-        value = np.zeros(len(r))
-        for at in range(0, len(r), 1 << 16):
-            s = slice(at, at + (1 << 16))
-            if metric == "euclidean":
-                value[s] = -np.sqrt(np.add.accumulate((exact[r[s]] - part[c[s]].astype(np.float64)) ** 2, axis=1)[:, -1])
-            else:
-                value[s] = np.add.accumulate(exact[r[s]] * part[c[s]].astype(np.float64), axis=1)[:, -1] / scale
-        top.add(r, own[c], value)
+        for at in range(0, len(r), 1 << 15):
+            row, col = r[at : at + (1 << 15)], c[at : at + (1 << 15)]
+            for x, whole in zip(kinds, exact):
+                if turned:
+                    value = -np.sqrt(np.add.accumulate((whole[row] - x.m[col].astype(np.float64)) ** 2, axis=1)[:, -1])
+                else:
+                    value = np.add.accumulate(whole[row] * x.m[col].astype(np.float64), axis=1)[:, -1]
+                    value = value / x.scale if metric == "dot" else np.clip(value, -1, 1) - 1
+                good = value >= x.top.least[row]
+                x.top.add(row[good], ids[col[good]], value[good])
+
+    for low in range(0, len(m), step):
+        part = m[low : low + step].astype(np.float32)
+        square = np.einsum("ij,ij->i", part, part, dtype=np.float64)
+        most = float(np.sqrt(square.max()))
+        least = np.minimum.reduce([x.top.least for x in kinds]) - away
+        if turned:  # the squared distance turned, but for the square of the query
+            part = np.concatenate([part, -square[:, None].astype(np.float32)], axis=1)
+            margin = share * (1 + (size + most) ** 2)
+            bound = size**2 - np.minimum(least, 0) ** 2 - margin
+        else:
+            margin = share * (1e-30 + size * most)
+            bound = (least * scale if metric == "dot" else least + 1) - margin
+        if rough.shape[1] != len(part):
+            rough, mask = np.empty((len(q), len(part)), np.float32), np.empty((len(q), len(part)), bool)
+        np.matmul(single, part.T, out=rough)
+        new = np.flatnonzero(np.isneginf(least))
+        if len(new) and rough.shape[1] > k + 1:  # the k best of this part, the query itself apart
+            kth = np.partition(rough[new], rough.shape[1] - k - 1, axis=1)[:, rough.shape[1] - k - 1]
+            bound[new] = np.maximum(bound[new], (np.minimum(kth, 1) if metric == "cosine" else kth) - 2 * margin[new] - 2 * away * scale)
+        np.greater_equal(rough, bound.astype(np.float32)[:, None], out=mask)
+        r, c = hits(mask)
+        waiting.append((r, c + low))
+        if len(new) or sum(len(r) for r, _ in waiting) > 2 * len(q):
+            measure()
+    if waiting:
+        measure()
