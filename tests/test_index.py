@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.functions import vector as V
@@ -199,3 +200,77 @@ def test_argmax_pair(spark):
     assert tuple(E.argmax_pair(rows([[1, 0], [1, 1], [1, 1], [2, 2]])).first()) == (6, 7, pytest.approx(1))
     assert tuple(E.argmax_pair(rows([[1, 0], [-1, 0], [0, 1]])).first()) == (5, 5, 0.0)
     assert E.argmax_pair(rows([[1, 0]]).limit(0)).count() == 0
+
+
+def _odd_rows(n=700):
+    """(id, vec, group): ids in no order and negative, copies, turned and zero vectors, groups of unequal size."""
+    rng = np.random.default_rng(5)
+    m = np.round(rng.standard_normal((n, 6)), 2).astype(np.float32)
+    m[50:60], m[60:63], m[63] = m[0], 0, -m[0]
+    ids = rng.permutation(n) * 3 - 500
+    return [(int(i), v.tolist(), int(g)) for i, v, g in zip(ids, m, rng.integers(0, 4, n) * (np.arange(n) % 5 > 0) - 1)]
+
+
+def test_pairs_are_sifted_without_loss(spark, monkeypatch):
+    """Only what may be among the best is summed in double precision: far fewer than all pairs, on blocks whose ids overlap or not."""
+    rows = _odd_rows()
+    count = 0
+    exact, whole = E._cosines, [(np.array(v, np.float64), i, g) for i, v, g in rows]
+    want = []
+    for x, i, g in whole:
+        for y, j, h in whole:
+            if i < j and x.any() and y.any():
+                want.append((float(np.add.accumulate(x * y)[-1] / (np.sqrt(np.add.accumulate(x * x)[-1]) * np.sqrt(np.add.accumulate(y * y)[-1]))), i, j, g, h))
+    best = sorted(want, key=lambda t: (-t[0], t[1], t[2]))
+    most, n = {}, {}
+    for s, _, _, g, h in want:
+        most[g, h] = max(most.get((g, h), -2), s)
+    for _, i, g in whole:
+        for _, j, h in whole:
+            n[g, h] = n.get((g, h), 0) + (i < j)
+    for ordered in (rows, sorted(rows)):
+        df = spark.createDataFrame(ordered, "id long, vec array<float>, label int").coalesce(3)
+        assert [tuple(r) for r in E.most_similar(df, 80).collect()] == [(i, j, s) for s, i, j, _, _ in best[:80]]
+        got = {(r.group_a, r.group_b): (r.pairs, r.most) for r in E.similarity_of_groups(df, "label").collect()}
+        assert got == {k: (n[k], most[k]) for k in n if n[k]}
+
+    def counted(x, y, r, c):
+        nonlocal count
+        count += len(r)
+        return exact(x, y, r, c)
+
+    monkeypatch.setattr(E, "_cosines", counted)
+    sides, rng = [], np.random.default_rng(6)
+    for low in (0, 400):
+        sides.append(E.Side(pa.py_buffer(np.arange(low, low + 400).tobytes()), pa.py_buffer(rng.standard_normal((400, 16)).tobytes()), 0))
+    held = []
+    monkeypatch.setattr(E, "_pairs", lambda vectors, use, out, tail=0: held.append(use))
+    monkeypatch.setattr(E, "_single", lambda vectors: vectors)
+    E.pairwise(None, 5)
+    assert sum(b.num_rows for b in held[0](iter([(sides[0], sides[0], True), (sides[0], sides[1], False)]))) == 5
+    assert count < 2000
+
+
+def test_native_search_of_sifted_pairs(spark):
+    rows = spark.createDataFrame([(i, v) for i, v, _ in _odd_rows(300)], "id long, vec array<float>")
+    built = I.build(rows, "int8")
+    want = sorted(map(tuple, I.search_native(built, rows, 5, exclude_self=True).collect()))
+    assert sorted(map(tuple, I.search_native(built, rows, 5, exclude_self=True, all_pairs=False).collect())) == want
+    assert sorted(map(tuple, I.search(built, rows, 5, exclude_self=True).collect())) == want
+
+
+@pytest.mark.parametrize("metric", ["dot", "euclidean", "cosine"])
+def test_tiles_lose_nothing(metric):
+    from lodestone.operators.blocks import Top, best_pairs, unit_rows
+
+    m = unit_rows(np.array([v for _, v, _ in _odd_rows()], np.float32))
+    ids = np.array([i for i, _, _ in _odd_rows()])
+    top = Top(ids[:90], 7)
+    for low in (0, 333):
+        best_pairs(top, m[:90], ids[low : low + 333 if not low else None], m[low : low + 333 if not low else None], metric, 1.0, True, step=64)
+    x = m.astype(np.float64)
+    for n in range(90):
+        value = -np.sqrt(np.add.accumulate((x[n] - x) ** 2, axis=1)[:, -1]) if metric == "euclidean" else np.add.accumulate(x[n] * x, axis=1)[:, -1]
+        value = np.clip(value, -1, 1) - 1 if metric == "cosine" else value
+        order = [i for i in np.lexsort((ids, -value)) if i != n][:7]
+        assert top.id[top.row == n].tolist() == ids[order].tolist() and top.value[top.row == n].tolist() == value[order].tolist()
