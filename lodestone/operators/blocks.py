@@ -22,9 +22,17 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+UNIT_ROWS = 8192
+
+
 def unit_rows(v: np.ndarray) -> np.ndarray:
     """Unit vectors with the bits of the column expression: squares in single precision, summed one after another in double. Zero rows stay."""
     v = v.astype(np.float32)
+    if v.ndim == 2 and len(v) > UNIT_ROWS:  # sums of so many rows at once
+        out = np.empty_like(v)
+        for low in range(0, len(v), UNIT_ROWS):
+            out[low : low + UNIT_ROWS] = unit_rows(v[low : low + UNIT_ROWS])
+        return out
     total = np.add.accumulate((v * v).astype(np.float64), axis=-1)[..., -1:]
     return v * np.where(total > 0, 1 / np.sqrt(np.where(total > 0, total, 1)), 1).astype(np.float32)
 

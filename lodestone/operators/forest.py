@@ -33,13 +33,13 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import vector as V
 from lodestone.operators import index as I
-from lodestone.operators.blocks import matrix, pack, unit_rows, unpack
-from lodestone.operators.shared import qualified, read_bytes, write_bytes
+from lodestone.operators.blocks import Top, best_pairs, matrix, pack, unit_rows, unpack
+from lodestone.operators.shared import bounded_batches, place, qualified, read_bytes, write_bytes
 
 SHARD_BYTES = 64 << 20
-#: Queries that ``recall`` is measured with, and bytes of a block of products in a search of whole shards.
+#: Queries that ``recall`` is measured with, and queries of a block.
 MEASURED = 96
-PRODUCT_BYTES = 8 << 20
+QUERY_ROWS = 1024
 _STRIDE = 7919
 
 
@@ -180,32 +180,14 @@ def search_local(forest: Forest, query: np.ndarray, k: int, search_k: int | None
 
 
 def search_whole(forest: Forest, queries: np.ndarray, k: int, exclude: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Ids and distances of the ``k`` nearest of all vectors, for every query: products in single precision sift, with a margin for their error."""
-    metric, own = forest.options.metric, forest.vectors
+    """Ids and distances of the ``k`` nearest of all vectors, for every query: ``best_pairs`` of the shard as one block."""
+    metric = forest.options.metric
     q = unit_rows(queries) if metric == "cosine" else queries.astype(np.float32)
-    want = min(k + (exclude is not None), len(own))
-    norms = np.sqrt(np.einsum("ij,ij->i", own, own, dtype=np.float64))
-    most, error = norms.max(initial=0), 4 * (own.shape[1] + 4) * float(np.finfo(np.float32).eps)
-    out = []
-    step = max(1, PRODUCT_BYTES // (4 * max(1, len(own))))
-    for low in range(0, len(q), step):
-        part = q[low : low + step]
-        near = part @ own.T
-        if metric == "euclidean":  # half of the squared distance less that of the query, turned
-            near -= (norms**2 / 2).astype(np.float32)
-        length = np.sqrt((part.astype(np.float64) ** 2).sum(axis=1))
-        for i, row in enumerate(near):
-            least = float(np.partition(row, len(row) - want)[len(row) - want])
-            if metric == "cosine":
-                least = min(least, 1.0)  # as distances are clipped
-            margin = error * most * (float(length[i]) + (most if metric == "euclidean" else 0.0))
-            at = np.flatnonzero(~(row < least - margin))
-            ids, away = forest.ids[at], distances(metric, part[i], own[at])
-            if exclude is not None:
-                ids, away = ids[ids != exclude[low + i]], away[ids != exclude[low + i]]
-            order = np.lexsort((ids, away))[:k]
-            out.append((ids[order], away[order]))
-    return out
+    top = Top(exclude if exclude is not None else np.arange(len(q)), k)
+    if len(q) and len(forest.ids):
+        best_pairs(top, q, forest.ids, forest.vectors, metric, 1.0, exclude is not None)
+    edge = np.searchsorted(top.row, np.arange(len(q) + 1))
+    return [(top.id[low:high], 0 - top.value[low:high]) for low, high in zip(edge, edge[1:])]
 
 
 def leaves_for(forest: Forest, queries: np.ndarray, k: int, recall: float, exclude: np.ndarray | None = None) -> int:
@@ -237,6 +219,7 @@ def build(vectors: DataFrame, folder: str, options: Options = Options(), id_col:
     """
     from lodestone.sources.index_files import write_forest
 
+    bounded_batches(vectors.sparkSession)
     folder = qualified(vectors.sparkSession, folder)
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
     dim, count = I.measured(rows)
@@ -313,18 +296,23 @@ def load(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(r["shard"], r["file"], r["rows"], r["leaves"]) for r in about["shards"]], "shard int, file string, rows bigint, leaves bigint")
 
 
-_open: dict[str, Forest] = {}
+_open: dict[tuple[str, bool], Forest] = {}
 
 
-def open_shard(folder: str, file: str) -> Forest:
-    """Read once in each Python worker; one shard is held at a time."""
-    from lodestone.sources.index_files import read_forest
+def open_shard(folder: str, file: str, trees: bool = True) -> Forest:
+    """Read once in each Python worker; one shard is held at a time. Without ``trees`` only ids and vectors are read, which is all that a search of the whole shard needs."""
+    from lodestone.sources.index_files import forest_head, read_forest
 
-    key = f"{folder}/{file}"
+    key = (f"{folder}/{file}", trees)
     if key not in _open:
         _open.clear()
-        forest = read_forest(read_bytes(key))
-        forest.ids = np.frombuffer(read_bytes(f"{key}.ids"), "<i8")
+        if trees:
+            forest = read_forest(read_bytes(key[0]))
+        else:
+            system, path = place(key[0])
+            with system.open_input_file(path) as f:
+                forest = forest_head(f)
+        forest.ids = np.frombuffer(read_bytes(f"{key[0]}.ids"), "<i8")
         _open[key] = forest
     return _open[key]
 
@@ -371,10 +359,10 @@ def vector_at(spark: SparkSession, folder: str, shard: int, position: int) -> np
     return open_shard(folder, file).vectors[position]
 
 
-def _over_shards(queries: DataFrame, folder: str, answer, out: str, names: list[str]) -> DataFrame:
-    """``answer(forest, ids, vectors, file)`` for every block of queries and every shard."""
+def _over_shards(queries: DataFrame, folder: str, answer, out: str, names: list[str], whole: frozenset[str] = frozenset()) -> DataFrame:
+    """``answer(forest, ids, vectors, file)`` for every block of queries and every shard; those of the files ``whole`` are opened without trees."""
     folder = qualified(queries.sparkSession, folder)
-    blocks = pack(queries.select(F.col("id"), F.col("vec").cast("array<float>").alias("vec")), 256, "float32").select("block", "ids", "matrix")
+    blocks = pack(queries.select(F.col("id"), F.col("vec").cast("array<float>").alias("vec")), QUERY_ROWS, "float32").select("block", "ids", "matrix")
     shards = load(queries.sparkSession, folder).select("shard", "file")
     parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -382,7 +370,7 @@ def _over_shards(queries: DataFrame, folder: str, answer, out: str, names: list[
         for b in batches:
             for file, ids, raw in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 own, q = unpack(ids.as_py(), raw.as_py(), "float32")
-                yield pa.RecordBatch.from_arrays(answer(open_shard(folder, file), own, q, file), names=names)
+                yield pa.RecordBatch.from_arrays(answer(open_shard(folder, file, file not in whole), own, q, file), names=names)
 
     # a row a shard: names alone, which Spark broadcasts while they are small; a task gets the blocks of few shards
     ordered = blocks.crossJoin(shards).repartitionByRange(parts, "file", "block").sortWithinPartitions("file")
@@ -414,21 +402,25 @@ def search(queries: DataFrame, folder: str, k: int = 10, search_k: int | None =
     if recall is not None and (search_k is not None or not 0 < recall <= 1):
         raise I.VectorError("recall must be in (0, 1] and takes the place of search_k")
     folder = qualified(queries.sparkSession, folder)
-    dim = _about(queries.sparkSession, folder)["dim"]
+    about = _about(queries.sparkSession, folder)
+    dim = about["dim"]
     rows = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec"))
     wrong = rows.where(F.col("vec").isNull() | (F.size("vec") != dim)).first()
     if wrong:
         raise I.VectorError(f"query {wrong['id']} isn't of dimension {dim}")
     need = measured_leaves(rows, folder, k, recall, exclude_self) if recall is not None else {}
 
+    # to visit all leaves is to search the shard whole
+    whole = frozenset(s["file"] for s in about["shards"] if (not need.get(s["file"]) if recall is not None else search_k is not None and search_k >= s["leaves"]))
+
     def answer(forest: Forest, ids: np.ndarray, q: np.ndarray, file: str) -> list[pa.Array]:
-        if recall is not None and not need.get(file):
+        if file in whole:
             found = search_whole(forest, q, k, ids if exclude_self else None)
         else:
             found = [search_local(forest, v, k, need.get(file, search_k), int(i) if exclude_self else None) for i, v in zip(ids, q)]
         return [pa.array(np.repeat(ids, [len(a) for a, _ in found])), pa.array(np.concatenate([a for a, _ in found])), pa.array(np.concatenate([d for _, d in found]))]
 
-    scored = _over_shards(rows, folder, answer, "query_id bigint, id bigint, distance double", ["query_id", "id", "distance"])
+    scored = _over_shards(rows, folder, answer, "query_id bigint, id bigint, distance double", ["query_id", "id", "distance"], whole)
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

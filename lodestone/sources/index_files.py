@@ -167,6 +167,20 @@ def write_forest(forest: Forest) -> bytes:
     return b"".join(out)
 
 
+def forest_head(f) -> Forest:
+    """Ids and vectors of an open file, without the trees behind them."""
+    raw = f.read(20)
+    if len(raw) < 20 or raw[:4] != b"ANNG":
+        raise FormatError("no forest")
+    _, version, metric, dim, trees, leaf, _, n = struct.unpack("<4s6HI", raw)
+    if version != 1 or metric >= len(_METRICS):
+        raise FormatError(f"version {version}, metric {metric}")
+    ids, vectors = f.read(4 * n), f.read(4 * n * dim)
+    if len(vectors) < 4 * n * dim:
+        raise FormatError("broken forest: file too short")
+    return Forest(Options(_METRICS[metric], trees, leaf), np.frombuffer(ids, "<i4").astype(np.int64), np.frombuffer(vectors, "<f4").reshape(n, dim), [])
+
+
 def read_forest(raw: bytes) -> Forest:
     if len(raw) < 20 or raw[:4] != b"ANNG":
         raise FormatError("no forest")

@@ -134,3 +134,26 @@ def test_progress(spark, tmp_path, points):
     assert [d for d, _ in told] == sorted(d for d, _ in told) and len({t for _, t in told}) == 1
     rows = {r.id: r.vec for r in T.stored(spark, str(tmp_path)).collect()}
     assert len(rows) == len(points)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_all_leaves_are_a_whole_search(spark, tmp_path, monkeypatch, metric):
+    """Where all leaves are asked for no tree is walked, and the results are those of walking them."""
+    m = np.random.default_rng(8).standard_normal((300, 8)).astype(np.float32)
+    m[7], m[8] = m[3], 2 * m[3]
+    rows = spark.createDataFrame([(i * 2, v.tolist()) for i, v in enumerate(m)], "id long, vec array<float>")
+    folder = str(tmp_path / metric)
+    built = T.build(rows, folder, T.Options(metric, trees=2, leaf=8, seed=3), shard_bytes=5000)
+    most = built.agg({"leaves": "max"}).first()[0]
+    found = {}
+    for r in T.search(rows, folder, 5, int(most), exclude_self=True).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.distance, r.id))
+    forest = T.build_local(np.arange(300) * 2, m, T.Options(metric, trees=2, leaf=8, seed=3))
+    for i, v in enumerate(m):
+        ids, away = T.search_local(forest, v, 5, 10_000, i * 2)
+        assert found[i * 2] == list(zip(away.tolist(), ids.tolist()))
+    opened = []
+    monkeypatch.setattr(T, "_over_shards", lambda *x: opened.append(x[-1]) or spark.createDataFrame([], "query_id long, id long, distance double"))
+    T.search(rows, folder, 5, int(most))
+    T.search(rows, folder, 5, 1)
+    assert len(opened[0]) == built.count() > 1 and not opened[1]
