@@ -132,3 +132,26 @@ def test_records_and_sinks(spark, tmp_path):
     assert "| 768 | int8 | 3.00 | 0.26 | 95.08 | 4.92 |" in C.markdown(m)
     C.write_report_csv(m, str(tmp_path / "r"))
     assert spark.read.option("header", True).csv(str(tmp_path / "r")).count() == 1
+
+
+def test_texts_become_objects_a_slice_at_a_time(spark, monkeypatch):
+    """However large a batch is, its texts and ids are Python's objects a slice at a time, and no row is lost."""
+    import pyarrow as pa
+
+    from lodestone.operators import tokenizer as T
+    from lodestone.sources import sample as S
+
+    texts = ["ab" * (n % 7 * 500) if n % 5 else None for n in range(400)]
+    for column in (pa.array(texts), pa.array([None if t is None else [1] * len(t) for t in texts], pa.list_(pa.int32()))):
+        monkeypatch.setattr(T, "SLICE_BYTES", 10_000)
+        parts = list(T._slices(column))
+        assert pa.concat_arrays(parts).equals(column) and len(parts) > 20
+        assert all(len(p) == 1 or p.nbytes < 40_000 for p in parts)
+    tokens, scores, types = S.vocabulary()
+    t = T.Tokenizer(tokens, scores, types, nfkc=False)
+    long = "the" * 5000
+    assert t.decode(t.encode(long)) == long and not any(len(w) > T._KEPT_LENGTH for w in t.known)
+    df = spark.createDataFrame([(1, "the and"), (2, None), (3, ""), (4, long)], "id long, text string")
+    got = {r.id: r.token_ids for r in T.encode(df, t).collect()}
+    assert got == {1: t.encode("the and"), 2: None, 3: [], 4: t.encode(long)}
+    assert {r.id: r.text for r in T.decode(T.encode(df, t), t).collect()} == {1: "the and", 2: None, 3: "", 4: long}
