@@ -7,7 +7,8 @@ or the unknown id if the vocabulary hasn't those.
 
 Merges never join characters that no piece has side by side, so a text falls into chunks that are encoded by
 themselves. Each Arrow batch is cut into chunks with array operations, its distinct chunks are encoded once
-(kept from batch to batch in a bounded cache) and the ids are gathered for all occurrences. Chunks of up to 32
+(kept from batch to batch in bounded caches) and the ids are gathered for all occurrences. Chunks of up to 15 bytes, nearly
+all of them, are found by their bytes in a table of arrays and never become Python's objects; longer ones are. Chunks of up to 32
 known characters are merged side by side, each with its agenda as a row of a matrix; the others one by one with a heap.
 
 A model that isn't of the merge type, or that changes texts otherwise (a normaliser, white space taken out, no mark before
@@ -30,7 +31,12 @@ from lodestone.llm.common import bounded_batches, column, spans, text_parts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+#: Chunks of more than ``SHORT`` bytes that are kept.
 CACHE = 300_000
+#: Bytes of a chunk that its key holds beside their number.
+SHORT = 15
+#: Places of the table of short chunks, which is emptied when it might be filled by more than half and ``AT_ONCE``, and chunks that are sought at once.
+SLOTS, AT_ONCE = 1 << 20, 1 << 17
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -69,6 +75,46 @@ def check_model(model: bytes) -> None:
         raise ValueError("the model normalises texts: only a mark before the text and marks for spaces are supported")
 
 
+SPREAD = 0x9E3779B97F4A7C15
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _home(low: np.ndarray, high: np.ndarray, slots: int) -> np.ndarray:
+    """Where a key is first sought among ``slots``, a power of two."""
+    h = (low ^ high * np.uint64(0xBF58476D1CE4E5B9)) * np.uint64(SPREAD)
+    return (((h ^ h >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)) >> np.uint64(65 - slots.bit_length())).astype(np.int64)
+
+
+class Places:
+    """Keys of two numbers, the second not 0, each in a place of its own (open addressing, all keys of a call side by side)."""
+
+    def __init__(self, slots: int):
+        self.slots, self.used = slots, 0
+        self.low, self.high = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.value = np.zeros(slots, np.int64)
+
+    def claim(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the keys, and which of them (one of equals) got theirs now. There must be room for all."""
+        at = _home(low, high, self.slots)
+        fresh, rest, spot = [np.zeros(0, np.int64)], np.arange(len(at)), at
+        while len(rest):
+            empty = np.flatnonzero(self.high[spot] == 0)
+            if len(empty):
+                own, free = rest[empty], spot[empty]
+                self.value[free] = own  # of several one stays, and it is the one that gets the place
+                first = self.value[free] == own
+                own, free = own[first], free[first]
+                self.low[free], self.high[free] = low[own], high[own]
+                fresh.append(own)
+            other = np.flatnonzero((self.low[spot] != low[rest]) | (self.high[spot] != high[rest]))
+            rest = rest[other]
+            spot = (spot[other] + 1) & (self.slots - 1)
+            at[rest] = spot
+        new = np.concatenate(fresh)
+        self.used += len(new)
+        return at, new
+
+
 class Codec:
     """A vocabulary read from the bytes of a model file, with its agenda encoder and its decoder."""
 
@@ -114,15 +160,24 @@ class Codec:
         self.begins = np.cumsum(self.widths) - self.widths
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self._empty()
         pairs = {}
         for piece, i in self.ids.items():
             for k in range(1, len(piece)):
                 a, b = self.ids.get(piece[:k]), self.ids.get(piece[k:])
                 if a is not None and b is not None:
                     pairs[a * self.size + b] = i
-        self.pair_keys = np.array(sorted(pairs) or [-1], np.int64)
-        self.pair_piece = np.array([pairs[k] for k in sorted(pairs)] or [0], np.int32)
-        cost = np.full(self.size, np.inf, np.float32)
+        # pairs of ids and the piece that they make, one number each, in open addressing; -1 is an empty place
+        bits = max(4, (4 * len(pairs)).bit_length())
+        self.shift, self.piece_bits = np.uint64(64 - bits), self.size.bit_length()
+        table = [-1] * (1 << bits)
+        for key, i in pairs.items():
+            at = (key * SPREAD & (1 << 64) - 1) >> 64 - bits
+            while table[at] >= 0:
+                at = (at + 1) & (1 << bits) - 1
+            table[at] = key << self.piece_bits | i
+        self.pairs = np.array(table, np.int64)
+        cost = np.full(self.size + 1, np.inf, np.float32)  # the last is that of no piece, -1
         for piece, i in self.ids.items():
             cost[i] = self.cost[piece]
         self.piece_cost = cost
@@ -179,47 +234,86 @@ class Codec:
                 out.append(self.unknown)
         return out
 
-    def _joined(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cost and id of the piece that each pair of ids makes; infinite where it is none."""
-        key = left.astype(np.int64) * self.size + right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        piece = self.pair_piece[at]
-        return np.where((self.pair_keys[at] == key) & (left >= 0) & (right >= 0), self.piece_cost[piece], np.inf).astype(np.float32), piece
-
-    def _merge_many(self, chars: np.ndarray) -> list[bytes]:
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that each pair of ids makes, -1 where it is none."""
+        key = np.where((left >= 0) & (right >= 0), left.astype(np.int64) * self.size + right, -2)
+        at = (key.view(np.uint64) * np.uint64(SPREAD) >> self.shift).view(np.int64)
+        got = self.pairs[at]
+        same = got >> self.piece_bits == key
+        piece = np.where(same, got & (1 << self.piece_bits) - 1, -1).astype(np.int32)
+        rest = np.flatnonzero(~same & (got >= 0) & (key >= 0))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & (len(self.pairs) - 1)
+            got = self.pairs[at[rest]]
+            same = got >> self.piece_bits == key[rest]
+            piece[rest[same]] = got[same] & (1 << self.piece_bits) - 1
+            rest = rest[~same & (got >= 0)]
+        return piece
+
+    def _merge_many(self, chars: np.ndarray) -> np.ndarray:
         """Ids of chunks of up to equal length (rows of character ids, -1 behind): their agendas side by side.
 
-        A row of ``cost`` is a chunk's agenda; its least entry, the leftmost of equals, is merged in every round.
+        A row of ``cost`` is a chunk's agenda; its least entry, the leftmost of equals, is merged in every round. A merged
+        pair stays in the left one's place, and ``after`` and ``before`` lead past the other's. Each end of a row has a place for nothing.
         """
-        rows, width = chars.shape
-        done: list[bytes] = [b""] * rows
-        part, row = chars, np.arange(rows)
-        cost, _ = self._joined(part[:, :-1], part[:, 1:])
-        place = np.arange(width)
+        rows, width = len(chars), chars.shape[1] + 2
+        done = np.full((rows, width), -1, np.int32)
+        done[:, 1:-1] = chars
+        part, row, first = done.copy().reshape(-1), np.arange(rows), np.arange(rows) * width
+        after, before = np.arange(1, len(part) + 1), np.arange(-1, len(part) - 1)
+        made = np.full(len(part), -1, np.int32)
+        made[:-1] = self._joined(part[:-1], part[1:])
+        cost = self.piece_cost[made]
         while True:
-            top = cost.argmin(axis=1) if width > 1 else np.zeros(len(part), np.int64)
-            live = cost[np.arange(len(part)), top] < np.inf if width > 1 else np.zeros(len(part), bool)
-            if not live.all():
-                rest = part[~live]
-                size = (rest >= 0).sum(axis=1) * 4
-                raw, line = np.ascontiguousarray(rest, np.int32).tobytes(), 4 * width
-                for k, (r, n) in enumerate(zip(row[~live].tolist(), size.tolist())):
-                    done[r] = raw[k * line : k * line + n]
-                part, cost, row, top = part[live], cost[live], row[live], top[live]
-            if not len(part):
-                return done
-            every = np.arange(len(part))
-            _, piece = self._joined(part[every, top], part[every, top + 1])
-            move = place[None, :] > top[:, None]
-            part = np.where(move, np.pad(part, ((0, 0), (0, 1)), constant_values=-1)[:, 1:], part)
-            part[every, top] = piece
-            cost = np.where(move[:, :-1], np.pad(cost, ((0, 0), (0, 1)), constant_values=np.inf)[:, 1:], cost)
-            after = np.minimum(top + 1, width - 1)
-            cost[every, np.minimum(top, width - 2)], _ = self._joined(part[every, top], np.where(top + 1 < width, part[every, after], -1))
-            has = np.flatnonzero(top > 0)
-            cost[has, top[has] - 1], _ = self._joined(part[has, top[has] - 1], part[has, top[has]])
+            at = first + cost.reshape(-1, width).argmin(axis=1)
+            live = np.flatnonzero(cost[at] < np.inf)
+            if 2 * len(live) < len(row):
+                done[row] = part.reshape(-1, width)
+                if not len(live):
+                    return done[:, 1:-1]
+                back = ((live - np.arange(len(live))) * width)[:, None]
+                part, made, cost = (x.reshape(-1, width)[live].reshape(-1) for x in (part, made, cost))
+                after, before = ((x.reshape(-1, width)[live] - back).reshape(-1) for x in (after, before))
+                row, at, first = row[live], at[live] - back[:, 0], first[: len(live)]
+            else:
+                at = at[live]
+            gone, last, piece = after[at], before[at], made[at]
+            then = after[gone]
+            part[at], part[gone] = piece, -1
+            cost[gone] = np.inf
+            after[at], before[then] = then, at
+            new = self._joined(np.concatenate([piece, part[last]]), np.concatenate([part[then], piece]))
+            fresh, n = self.piece_cost[new], len(at)
+            made[at], cost[at] = new[:n], fresh[:n]
+            made[last], cost[last] = new[n:], fresh[n:]
+
+    def _many(self, text: str, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the chunks of ``length`` characters that make up ``text``: all ids, where a chunk's begin and how many they are."""
+        code = self.char_ids[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        begin = np.cumsum(length) - length
+        plain = (np.minimum.reduceat(code, begin) >= 0) & (length <= 32)
+        order = np.argsort(length, kind="stable")
+        order = order[plain[order]]
+        flat, which, count = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], np.zeros(len(length), np.int64)
+        for low in range(0, len(order), 4096):
+            own = order[low : low + 4096]
+            width = max(2, int(length[own].max()))
+            at = begin[own][:, None] + np.arange(width)
+            ids = self._merge_many(np.where(np.arange(width) < length[own][:, None], code[np.minimum(at, len(code) - 1)], -1))
+            count[own] = (ids >= 0).sum(axis=1)
+            flat.append(ids[ids >= 0])
+            which.append(own)
+        odd = np.flatnonzero(~plain)
+        for i in odd.tolist():
+            flat.append(np.array(self.chunk_ids(text[begin[i] : begin[i] + length[i]]), np.int32))
+            count[i] = len(flat[-1])
+        along = np.concatenate([*which, odd])
+        start = np.empty(len(length), np.int64)
+        start[along] = np.cumsum(count[along]) - count[along]
+        return np.concatenate(flat), start, count
 
     def _known(self, chunks: list[str]) -> list[bytes]:
+        """Ids of long chunks."""
         young, old = self.young, self.old
         out = [young.get(c) for c in chunks]
         missing = [k for k, x in enumerate(out) if x is None]
@@ -231,27 +325,62 @@ class Codec:
             else:
                 out[k] = got
         if fresh:
-            length = np.array([len(chunks[k]) for k in fresh])
-            code = self.char_ids[np.frombuffer("".join(chunks[k] for k in fresh).encode("utf-32-le", "surrogatepass"), np.uint32)]
-            begin = np.cumsum(length) - length
-            plain = (np.minimum.reduceat(code, begin) >= 0) & (length <= 32)
-            order = np.argsort(length, kind="stable")
-            order = order[plain[order]]
-            for low in range(0, len(order), 4096):
-                own = order[low : low + 4096]
-                width = max(2, int(length[own].max()))
-                at = begin[own][:, None] + np.arange(width)
-                chars = np.where(np.arange(width) < length[own][:, None], code[np.minimum(at, len(code) - 1)], -1)
-                for i, ids in zip(own.tolist(), self._merge_many(chars)):
-                    out[fresh[i]] = ids
-            for i in np.flatnonzero(~plain).tolist():
-                out[fresh[i]] = np.array(self.chunk_ids(chunks[fresh[i]]), np.int32).tobytes()
+            flat, start, count = self._many("".join(chunks[k] for k in fresh), np.array([len(chunks[k]) for k in fresh]))
+            for k, low, n in zip(fresh, start.tolist(), count.tolist()):
+                out[k] = flat[low : low + n].tobytes()
         for k in missing:
             if len(self.young) >= CACHE // 2:
                 self.old, self.young = self.young, {}
             self.young[chunks[k]] = out[k]
         return out
 
+    def _empty(self) -> None:
+        """Forget the short chunks. A value is where the ids begin, times 256, and how many they are."""
+        self.short, self.pool, self.pooled = Places(SLOTS), np.empty(1 << 16, np.int32), 0
+
+    def _learn(self, laid: np.ndarray, begin: np.ndarray, length: np.ndarray, at: np.ndarray) -> None:
+        """Encode short chunks, whose places are ``at``."""
+        start = np.cumsum(length) - length
+        raw = laid[np.repeat(begin - start, length) + np.arange(int(length.sum()))]
+        flat, first, count = self._many(raw.tobytes().decode(), np.add.reduceat((raw & 0xC0 != 0x80).astype(np.int64), start))
+        if self.pooled + len(flat) > len(self.pool):
+            grown = np.empty(2 * (self.pooled + len(flat)), np.int32)
+            grown[: self.pooled] = self.pool[: self.pooled]
+            self.pool = grown
+        self.pool[self.pooled : self.pooled + len(flat)] = flat
+        self.short.value[at] = (self.pooled + first) * 256 + count
+        self.pooled += len(flat)
+
+    def _ids(self, laid: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks one after another, and how many each has. ``laid`` has 16 bytes more than the chunks."""
+        each, start = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+        if self.short.used + len(begin) > self.short.slots // 2 + AT_ONCE:
+            self._empty()
+        fits = length <= SHORT
+        short, long = (slice(None), np.zeros(0, np.int64)) if fits.all() else (np.flatnonzero(fits), np.flatnonzero(~fits))
+        b, n = begin[short], length[short]
+        if len(b):
+            word = np.ndarray(len(laid) - 7, "<u8", laid, strides=(1,))  # the eight bytes from each one on
+            low = word[b] & _MASK[np.minimum(n, 8)]
+            high = word[b + 8] & _MASK[np.maximum(n - 8, 0)] | n.astype(np.uint64) << np.uint64(56)
+            at, new = self.short.claim(low, high)
+            if len(new):
+                self._learn(laid, b[new], n[new], at[new])
+            value = self.short.value[at]
+            each[short], start[short] = value & 255, value >> 8
+        known: list[bytes] = []
+        if len(long):
+            chunks = pa.array([laid[x : x + y].tobytes().decode() for x, y in zip(begin[long].tolist(), length[long].tolist())], pa.large_string()).dictionary_encode()
+            found = self._known(chunks.dictionary.to_pylist())
+            known = [found[k] for k in chunks.indices.to_pylist()]
+            each[long] = [len(k) // 4 for k in known]
+        end = np.cumsum(each)
+        ids = self.pool[np.repeat(np.where(fits, start - (end - each), -(end - each)), each) + np.arange(end[-1])]
+        if len(long):
+            here = each[long]
+            ids[np.repeat(end[long] - np.cumsum(here), here) + np.arange(int(here.sum()))] = np.frombuffer(b"".join(known), np.int32)
+        return ids, each
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and 64-bit offsets; nulls have none."""
         if pc.any(pc.match_substring(texts, MARK)).as_py():
@@ -271,24 +400,19 @@ class Codec:
         if not filled.any():
             return np.zeros(0, np.int32), np.zeros(len(n), np.int64)
         first = (offsets[:-1] + np.cumsum(filled) - filled)[filled]  # with a mark put before each text
-        laid = np.full(len(data) + len(first), 32, np.uint8)
+        total = len(data) + len(first)
+        laid = np.full(total + 16, 32, np.uint8)
         laid[np.arange(len(data)) + np.repeat(np.cumsum(filled), n)] = data
-        cut = np.empty(len(laid), bool)
+        cut = np.empty(total, bool)
         cut[0] = True
-        cut[1:] = ~self.touching[(laid[:-1].astype(np.uint16) << 8) | laid[1:]]
+        cut[1:] = ~self.touching[(laid[: total - 1].astype(np.uint16) << 8) | laid[1:total]]
         cut[first] = True
         begin = np.flatnonzero(cut)
-        chunks = pa.StringArray.from_buffers(len(begin), pa.py_buffer(np.append(begin, len(laid)).astype(np.int32)), pa.py_buffer(laid)).dictionary_encode()
-        which = chunks.indices.to_numpy()
-        known = self._known(chunks.dictionary.to_pylist())
-        flat = np.frombuffer(b"".join(known), np.int32)
-        width = np.array([len(k) for k in known]) // 4
-        start = np.cumsum(width) - width
-        each = width[which]
-        end = np.cumsum(each)
-        ids = flat[np.repeat(start[which] - (end - each), each) + np.arange(end[-1])]
-        upto = np.concatenate([[0], end])
-        place = np.searchsorted(begin, np.append(first, len(laid)))
+        length = np.diff(begin, append=total)
+        found = [self._ids(laid, begin[low : low + AT_ONCE], length[low : low + AT_ONCE]) for low in range(0, len(begin), AT_ONCE)]
+        ids, each = (np.concatenate(x) for x in zip(*found))
+        upto = np.concatenate([[0], np.cumsum(each)])
+        place = np.searchsorted(begin, np.append(first, total))
         counts = np.zeros(len(n), np.int64)
         counts[filled] = np.diff(upto[place])
         return ids, counts

@@ -39,6 +39,50 @@ def test_agenda_takes_the_best_score_first():
         assert c.chunk_ids(word) == c.library.encode(word[1:])
 
 
+def words(n, seed):
+    rng = np.random.default_rng(seed)
+    letters = list("abcdefghijklmnop") + ["é", "ß", "日", "the", "tion", "\u0000"]
+    return [" ".join("".join(rng.choice(letters, int(k))) for k in rng.integers(1, 9, 40)) for _ in range(n)]
+
+
+def test_short_chunks_never_become_objects(monkeypatch):
+    c, seen = S.Codec(MODEL), []
+    known = c._known
+    monkeypatch.setattr(c, "_known", lambda chunks: seen.extend(chunks) or known(chunks))
+    texts = words(200, 5)
+    ids, offsets = c.encode(pa.array(texts))
+    assert split(ids, offsets) == library(texts)[0]
+    assert all(len(x.encode()) > S.SHORT for x in seen) and c.short.used > 1000
+
+
+def test_chunks_of_all_lengths_share_no_keys():
+    # beginnings of each other, zero bytes at their end, and lengths on both sides of a key's
+    texts = ["a" * n + z * m for n in range(20) for z in "\u0000bé" for m in range(6)] + ["\u0000" * n for n in range(20)]
+    ids, offsets = S.Codec(MODEL).encode(pa.array(texts * 2))
+    assert split(ids, offsets) == library(texts)[0] * 2
+
+
+@pytest.mark.parametrize("slots, at_once", [(1 << 10, 1 << 9), (1 << 12, 7), (1 << 20, 100)])
+def test_table_of_short_chunks_is_emptied_when_full(monkeypatch, slots, at_once):
+    monkeypatch.setattr(S, "SLOTS", slots)
+    monkeypatch.setattr(S, "AT_ONCE", at_once)
+    c, emptied = S.Codec(MODEL), []
+    empty = c._empty
+    monkeypatch.setattr(c, "_empty", lambda: emptied.append(1) or empty())
+    for seed in (1, 2, 1):
+        texts = words(100, seed)
+        ids, offsets = c.encode(pa.array(texts))
+        assert split(ids, offsets) == library(texts)[0]
+    assert bool(emptied) == (slots < 1 << 20)
+
+
+def test_rows_merged_side_by_side_are_those_of_the_heap():
+    c, rng = S.codec(MODEL), np.random.default_rng(9)
+    chunks = ["".join(rng.choice(list("abcdehinorst"), int(n))) for n in rng.integers(1, 33, 3000)]
+    flat, start, count = c._many("".join(chunks), np.array([len(x) for x in chunks]))
+    assert all(flat[a : a + n].tolist() == c.chunk_ids(x) for x, a, n in zip(chunks, start, count))
+
+
 def test_long_text():
     text = "The quick brown fox, déjà vu. " * 40_000 + "q" * 5000
     ids, offsets = S.codec(MODEL).encode(pa.array([text]))
